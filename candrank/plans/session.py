@@ -12,6 +12,7 @@ def local_session(cpus: int | str = "*", app: str = "candrank", memory: str = "8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         # A repeated key in an answer keeps its last value instead of failing the parse.
         .config("spark.sql.variant.allowDuplicateKeys", "true")
         .getOrCreate()

@@ -25,12 +25,22 @@ def candidate_stream(spark: SparkSession, path: str, columns=C.KNOWN_COLUMNS) ->
         .option("enforceSchema", False)
         .csv(path)
     )
+    place = [
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    ]
+    return files.select("role", *place, *columns)
+
+
+def _with_sequence(batch: DataFrame, number: int) -> DataFrame:
+    """Order of arrival: batch, file, block, then the row number taken on the scan."""
     seq = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.lit(number).cast("long").alias("batch"),
+        F.col("_file").alias("file"),
+        F.col("_block").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return files.select("role", seq.alias("ingest_seq"), *columns)
+    return batch.withColumn("ingest_seq", seq).drop("_file", "_block")
 
 
 def ingest_stream(stream: DataFrame, resumes, store: Store, as_of_batch, checkpoint: str):
@@ -42,8 +52,7 @@ def ingest_stream(stream: DataFrame, resumes, store: Store, as_of_batch, checkpo
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        seq = F.struct(F.lit(number).cast("long").alias("batch"), "ingest_seq.*")
-        rows = batch.withColumn("ingest_seq", seq)
+        rows = _with_sequence(batch, number)
         run_ingest(store, rows, resumes(), as_of_batch(number), accumulate=True)
 
     return (
