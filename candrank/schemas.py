@@ -2,6 +2,8 @@
 
 from pyspark.sql import types as T
 
+from candrank.constants import RANKED_COLUMNS
+
 KEY = ("role", "candidate_id")
 
 _s, _t, _d, _b, _i = (
@@ -67,3 +69,6 @@ PAGES = _struct(
     ("extractor", _s),
     ("error", _s),
 )
+
+# The ranked files as they are read back: all text, ``role`` from the folder.
+RANKED_SCHEMA = _struct(*[(c, _s) for c in RANKED_COLUMNS], ("role", _s))

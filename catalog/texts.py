@@ -175,7 +175,7 @@ def prompt_build(spark, sf):
         "role",
         "candidate_id",
         F.md5(prompt).alias("digest"),
-        F.length(prompt).cast("long").alias("n_chars"),
+        F.coalesce(F.length(prompt), F.lit(0)).cast("long").alias("n_chars"),
         F.col("block").isNull().alias("skipped"),
     )
 
@@ -350,7 +350,7 @@ QUERIES = {
         prompt_build,
         f"""{_LABELLED_BLOCKS}
         SELECT role, candidate_id, md5(prefix || chr(10) || chr(10) || block) AS digest,
-               length(prefix || chr(10) || chr(10) || block) AS n_chars, block IS NULL AS skipped
+               coalesce(length(prefix || chr(10) || chr(10) || block), 0) AS n_chars, block IS NULL AS skipped
         FROM blocks JOIN prefixes USING (role)""",
     ),
     **{
