@@ -83,12 +83,12 @@ def _command(body: Column, tool: str) -> tuple[Column, Column, Column]:
         .when(is_result & ~success, F.concat(F.lit("command did not succeed: "), F.to_json(body)))
         .when(missing & ~bare, F.concat(F.lit("envelope has no result: "), F.to_json(body)))
         .when(
-            ~missing & ~V.kind(result).isin("STRING", "OBJECT"),
+            ~missing & ~V.is_text(result) & ~V.is_object(result),
             F.concat(F.lit("result has an unexpected type: "), V.kind(result)),
         )
     )
     text = F.when(~missing, strip_fences(V.text(result)))
-    return early, text, F.when(bare, body).when(V.kind(result) == "OBJECT", result)
+    return early, text, F.when(bare, body).when(V.is_object(result), result)
 
 
 _PARSERS = {
@@ -99,13 +99,15 @@ _PARSERS = {
 }
 
 
-def _body(raw: Column, dialect: str) -> Column:
-    whole = F.try_parse_json(raw)
+def _with_body(df: DataFrame, dialect: str) -> DataFrame:
     if dialect != "command":
-        return whole
+        return V.with_json(df, "_body", F.col("_raw"))
     # Some tools print text before the envelope: read from the first brace to the end.
-    rest = F.when(F.endswith(raw, F.lit("}")), F.substr(raw, F.greatest(F.instr(raw, "{"), F.lit(1))))
-    return F.coalesce(whole, F.try_parse_json(rest))
+    raw = F.col("_raw")
+    start = F.greatest(F.instr(raw, "{"), F.lit(1))
+    rest = F.when(F.endswith(raw, F.lit("}")), F.substr(raw, start))
+    both = V.with_json(V.with_json(df, "_whole", raw), "_rest", rest)
+    return both.withColumn("_body", F.coalesce("_whole", "_rest")).drop("_whole", "_rest")
 
 
 def parse_replies(df: DataFrame, dialect: str, tool: str = C.FULL_TOOL, raw: str = "raw") -> DataFrame:
@@ -116,7 +118,7 @@ def parse_replies(df: DataFrame, dialect: str, tool: str = C.FULL_TOOL, raw: str
     if dialect not in _PARSERS:
         raise ValueError(f"dialect must be one of {DIALECTS}")
     text = strip(F.col(raw)) if dialect == "command" else F.col(raw)
-    staged = df.withColumn("_raw", text).withColumn("_body", _body(F.col("_raw"), dialect))
+    staged = _with_body(df.withColumn("_raw", text), dialect)
     early, content, direct = _PARSERS[dialect](F.col("_body"), tool)
     unreadable = F.concat(F.lit("answer is not JSON: "), tail(F.col("_raw"), C.PAYLOAD_TAIL_CHARS))
     staged = staged.withColumns(
@@ -125,34 +127,35 @@ def parse_replies(df: DataFrame, dialect: str, tool: str = C.FULL_TOOL, raw: str
             "_content": content,
             "_direct": direct,
         }
-    ).withColumn("_inner", F.try_parse_json(F.col("_content")))
+    )
+    staged = V.with_json(staged, "_inner", F.col("_content"))
     inside = F.concat(F.lit("content is not JSON: "), tail(F.col("_content"), C.PAYLOAD_TAIL_CHARS))
     error = F.coalesce(
         F.col("_early"), F.when(F.col("_content").isNotNull() & F.col("_inner").isNull(), inside)
     )
-    return (
-        staged.withColumn("parse_error", error)
-        .withColumn(
-            "payload",
-            F.when(F.col("parse_error").isNull(), F.coalesce("_inner", "_direct")),
-        )
-        .drop("_raw", "_body", "_early", "_content", "_direct", "_inner")
-    )
+    payload = F.when(error.isNull(), F.coalesce("_inner", "_direct"))
+    done = V.settled(staged, payload=payload, parse_error=error)
+    return done.drop("_raw", "_body", "_early", "_content", "_direct", "_inner")
 
 
-def command_error(stdout: Column, stderr: Column) -> Column:
-    """Reason of a failed command: the first text that is not empty, unwrapped if JSON."""
+def command_errors(df: DataFrame, stdout: Column, stderr: Column) -> DataFrame:
+    """Add ``message``, the reason of a failed command.
+
+    It is the first text that is not empty, or the result or error field in it.
+    """
     chunk = F.coalesce(F.nullif(strip(stderr), F.lit("")), F.nullif(strip(stdout), F.lit("")))
-    body = F.try_parse_json(chunk)
+    staged = V.with_json(df.withColumn("_chunk", chunk), "_env", F.col("_chunk"))
+    body = F.col("_env")
     result, fault = V.field(body, "$.result"), V.field(body, "$.error")
-    cut = tail(chunk, C.MESSAGE_TAIL_CHARS)
-    return (
-        F.when(chunk.isNull(), F.lit("(no output on stdout or stderr)"))
+    cut = tail(F.col("_chunk"), C.MESSAGE_TAIL_CHARS)
+    message = (
+        F.when(F.col("_chunk").isNull(), F.lit("(no output on stdout or stderr)"))
         .when(~V.is_object(body), cut)
         .when(V.truthy(result), V.as_message(result))
         .when(V.truthy(fault), V.as_message(fault))
         .otherwise(tail(F.to_json(body), C.MESSAGE_TAIL_CHARS))
     )
+    return staged.withColumn("message", message).drop("_chunk", "_env")
 
 
 def resolve_attempts(

@@ -123,13 +123,17 @@ def build_requests(
 
 
 def parsed_attempts(attempts: DataFrame, dialect: str, tool: str) -> DataFrame:
-    """Attempts with ``payload`` as JSON text and one ``error`` for call and parse faults."""
+    """Attempts with ``payload`` as JSON text and one ``error`` for call and parse faults.
+
+    The raw answer stays beside them.
+    """
     called = attempts.withColumnRenamed("error", "_call_error")
     parsed = parse_replies(called, dialect, tool)
     fault = F.coalesce("_call_error", "parse_error")
     return parsed.select(
         *KEY,
         "attempt",
+        "raw",
         "answered_at",
         F.when(fault.isNull(), F.to_json("payload")).alias("payload"),
         F.when(fault.isNull() & F.col("payload").isNull(), F.lit("answer has no payload"))
@@ -151,7 +155,7 @@ def run_attempts(
     """Attempt rounds until every request is answered or the delays run out.
 
     A round is one distributed job over the requests still without a readable answer.
-    ``save(attempts, round)`` writes its answers before anything reads them, so a lost
+    ``save(attempts, round)`` writes its parsed answers before anything reads them, so a lost
     executor repeats calls of unfinished tasks only and no finished round. It may return
     answers an interrupted run of the same name already wrote.
     """
@@ -161,10 +165,8 @@ def run_attempts(
     for number in range(1, len(delays) + 2):
         if number > 1:
             time.sleep(delays[number - 2])
-        answers = save(
-            call_scorer(left, scorer.call, number, concurrency, threads, tasks), number
-        )
-        rounds.append(parsed_attempts(answers, scorer.dialect, tool))
+        answers = call_scorer(left, scorer.call, number, concurrency, threads, tasks)
+        rounds.append(save(parsed_attempts(answers, scorer.dialect, tool), number))
         failed = rounds[-1].filter(F.col("payload").isNull()).select(*KEY)
         if number > len(delays) or failed.isEmpty():
             break

@@ -70,11 +70,8 @@ def _checked(df: DataFrame, checks: list[tuple[str, Column]], score: Column) ->
     invalid = F.when(~V.is_object(F.col("payload")), F.lit("answer is not an object")).when(
         F.size("_names") > 0, problem
     )
-    return (
-        df.withColumn("_names", names)
-        .withColumn("invalid", invalid)
-        .withColumn("score", F.when(F.col("invalid").isNull(), score))
-    )
+    named = df.withColumn("_names", names)
+    return V.settled(named, invalid=invalid, score=F.when(invalid.isNull(), score))
 
 
 def validate_full(

@@ -14,12 +14,14 @@ def document_view(texts: DataFrame) -> DataFrame:
     Unreadable documents are dropped. A missing total is 0.0, a missing recommendation
     is false, a missing summary is empty; ``reply_id`` is NULL where the id is missing.
     """
-    doc = texts.select("role", "candidate_id", F.try_parse_json("document").alias("_doc"))
+    doc = V.with_json(texts, "_doc", F.col("document"))
 
     def part(name: str):
         return V.field(F.col("_doc"), f"$.{name}")
 
-    return doc.filter(V.is_object(F.col("_doc"))).select(
+    # The parsed document and the check of it stay in one place, see V.settled.
+    readable = F.filter(F.array("_doc"), V.is_object)
+    return doc.select("role", "candidate_id", F.explode(readable).alias("_doc")).select(
         "role",
         "candidate_id",
         V.text(part("candidate_id")).alias("reply_id"),

@@ -163,9 +163,8 @@ def command_error(spark, sf):
     stdout = F.when(k == 1, F.concat(F.lit('{"result":'), quoted("text"), F.lit("}"))).otherwise(
         F.lit("")
     )
-    return table(spark, sf, "documents").select(
-        "doc_id", F.md5(replies.command_error(stdout, stderr)).alias("digest")
-    )
+    found = replies.command_errors(table(spark, sf, "documents"), stdout, stderr)
+    return found.select("doc_id", F.md5("message").alias("digest"))
 
 
 def attempts_resolved(spark, sf):
