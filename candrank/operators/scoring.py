@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from time import sleep
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,7 +164,7 @@ def run_attempts(
     left = requests
     for number in range(1, len(delays) + 2):
         if number > 1:
-            time.sleep(delays[number - 2])
+            sleep(delays[number - 2])
         answers = call_scorer(left, scorer.call, number, concurrency, threads, tasks)
         rounds.append(save(parsed_attempts(answers, scorer.dialect, tool), number))
         failed = rounds[-1].filter(F.col("payload").isNull()).select(*KEY)

@@ -33,13 +33,11 @@ def document_view(texts: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, role: str) -> DataFrame:
     """``<path>/<candidate_id>.json`` files as (role, candidate_id, document)."""
-    files = (
-        spark.read.option("pathGlobFilter", "*.json")
-        .text(path, wholetext=True)
-        .withColumn("_name", F.col("_metadata.file_name"))
-    )
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    # The name comes encoded as in a URI, where a plus sign is only a plus sign.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     return files.select(
         F.lit(role).alias("role"),
-        F.expr("left(_name, length(_name) - 5)").alias("candidate_id"),
+        F.left(name, F.length(name) - 5).alias("candidate_id"),
         F.col("value").alias("document"),
     )
