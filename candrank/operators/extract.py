@@ -72,28 +72,29 @@ def read_files(
     """(role, candidate_id, content) -> (role, candidate_id, text, extractor, error).
 
     The readers come from the user, because decoding a file format is a library's work.
-    They run in the scan's own tasks, one file at a time, and later readers only where
-    the earlier text is too short. A reader that raises fails its file, not the job.
+    They run where the rows are, one file at a time, and later readers only where the
+    earlier text is too short. A reader that raises fails its file, not the job. A row
+    without content keeps its place with nothing read.
     """
 
-    def one(content: bytes):
+    def one(content):
+        if content is None:
+            return None, None, None
         text, name = "", None
-        for name, reader in readers:
-            text = "\n".join(p for p in reader(content) if p).strip()
-            if len(text) >= min_chars:
-                break
+        try:
+            for name, reader in readers:
+                text = "\n".join(p for p in reader(content) if p).strip()
+                if len(text) >= min_chars:
+                    break
+        except Exception as e:
+            return None, None, str(e)
         return text.encode("utf-8", "ignore").decode("utf-8"), name, None
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            rows = []
-            for content in batch["content"]:
-                try:
-                    rows.append(one(content))
-                except Exception as e:
-                    rows.append((None, None, str(e)))
+            rows = [one(content) for content in batch["content"]]
             read = pd.DataFrame(rows, columns=["text", "extractor", "error"], index=batch.index)
             yield pd.concat([batch[list(KEY)], read], axis=1)
 
@@ -138,12 +139,33 @@ def parse_results(queued: DataFrame, readings: DataFrame) -> DataFrame:
     ).drop("_found")
 
 
-def resume_texts(results: DataFrame) -> DataFrame:
-    return results.filter(F.col("outcome") == "parsed").select(
-        *KEY, "text", "extractor", F.length("text").alias("n_chars")
+def parse_files(
+    queued: DataFrame, files: DataFrame, readers: list[tuple[str, PageReader]]
+) -> DataFrame:
+    """As ``parse_results``, reading the files of the queue in place.
+
+    The queue is joined to the contents before the readers run, so their texts are not
+    moved afterwards; between bucketed tables nothing is.
+    """
+    both = queued.select(*KEY).join(files.select(*KEY, "content"), list(KEY), "left")
+    read = read_files(both, readers)
+    has_file = F.col("extractor").isNotNull() | F.col("error").isNotNull()
+    return read.withColumn("outcome", parse_outcome(has_file, F.col("text"), F.col("error")))
+
+
+def with_length(results: DataFrame) -> DataFrame:
+    """Results as they are stored; the text is kept only where it is useful."""
+    kept = F.when(F.col("outcome") == "parsed", F.col("text"))
+    return results.select(
+        *KEY, kept.alias("text"), "extractor", "error", "outcome", F.length("text").alias("n_chars")
     )
 
 
+def useful(results: DataFrame) -> DataFrame:
+    """The texts to score. A key is parsed once, so it has one."""
+    return results.filter(F.col("outcome") == "parsed")
+
+
 def parse_events(results: DataFrame) -> DataFrame:
     """State events of a parse run; skipped candidates stay untouched."""
     failed = F.col("outcome") == "failed"

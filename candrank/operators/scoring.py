@@ -15,6 +15,7 @@ from candrank import constants as C
 from candrank.operators.replies import DIALECTS, parse_replies, resolve_attempts
 from candrank.operators.requests import request_json, with_prefix
 from candrank.operators.validate import any_failed, validate_full, validate_knockout
+from candrank.plans.joins import fits
 from candrank.schemas import ATTEMPT, KEY
 
 MODES = ("single", "two-stage")
@@ -69,24 +70,46 @@ class Scorers:
         return full, self.make(other, knockout_model or self._factories[other.lower()][1])
 
 
-def call_scorer(
-    requests: DataFrame,
-    call: Call,
-    attempt: int,
-    concurrency: int,
-    threads: int = 1,
-    tasks: int | None = None,
-) -> DataFrame:
-    """One call per request; at most ``concurrency`` in flight over the whole cluster.
+def tasks_for(concurrency: int, threads: int = 1, tasks: int | None = None) -> int:
+    """Task count that keeps at most ``concurrency`` calls in flight over the cluster.
 
-    The rows go to ``concurrency / threads`` tasks by key, each with ``threads`` calls in
-    flight. ``tasks`` sets another task count: more and shorter tasks lose less work with
-    an executor, and the session's cores times ``threads`` are then the limit in flight.
-    The result must be written before it is used: evaluating it again calls again.
+    Each task has ``threads`` calls in flight. ``tasks`` sets another count: more and
+    shorter tasks lose less work with an executor, and 0 leaves the rows where they are,
+    which saves moving their texts. The session's cores times ``threads`` are then the
+    limit in flight.
     """
     if concurrency < 1 or threads < 1:
         raise ValueError("concurrency and threads must be at least 1")
-    threads = min(threads, concurrency)
+    return tasks if tasks is not None else max(1, concurrency // threads)
+
+
+def build_requests(
+    blocks: DataFrame,
+    prefixes: DataFrame,
+    scorer: Scorer,
+    full: bool,
+    tasks: int = 0,
+    system: str = C.SYSTEM_PROMPT,
+) -> DataFrame:
+    """Blocks that have text -> (keys, request), spread over ``tasks`` (0: in place).
+
+    The rows are spread before the prefix and the schema are added, so these do not
+    travel. Prefixes too large to broadcast need a join of their own, and the rows are
+    spread after it.
+    """
+    ready, small = blocks.filter(F.col("block").isNotNull()), fits(prefixes)
+    if tasks and small:
+        ready = ready.repartition(tasks, *KEY)
+    body = request_json(scorer.dialect, scorer.model, full, system, scorer.thinking)
+    requests = with_prefix(ready, prefixes).select(*KEY, body.alias("request"))
+    return requests.repartition(tasks, *KEY) if tasks and not small else requests
+
+
+def call_scorer(requests: DataFrame, call: Call, attempt: int, threads: int = 1) -> DataFrame:
+    """One call per request, ``threads`` in flight per task.
+
+    The result must be written before it is used: evaluating it again calls again.
+    """
 
     def one(request: str):
         try:
@@ -107,19 +130,7 @@ def call_scorer(
                 out["answered_at"] = pd.to_datetime([a[2] for a in answers], utc=True)
                 yield out
 
-    spread = requests.select(*KEY, "request").repartition(
-        tasks or concurrency // threads, *KEY
-    )
-    return spread.mapInPandas(run, ATTEMPT)
-
-
-def build_requests(
-    blocks: DataFrame, prefixes: DataFrame, scorer: Scorer, full: bool, system: str = C.SYSTEM_PROMPT
-) -> DataFrame:
-    """Blocks that have text -> (keys, request)."""
-    ready = with_prefix(blocks.filter(F.col("block").isNotNull()), prefixes)
-    body = request_json(scorer.dialect, scorer.model, full, system, scorer.thinking)
-    return ready.select(*KEY, body.alias("request"))
+    return requests.select(*KEY, "request").mapInPandas(run, ATTEMPT)
 
 
 def parsed_attempts(attempts: DataFrame, dialect: str, tool: str) -> DataFrame:
@@ -143,34 +154,31 @@ def parsed_attempts(attempts: DataFrame, dialect: str, tool: str) -> DataFrame:
 
 
 def run_attempts(
-    requests: DataFrame,
+    build: Callable[[DataFrame | None], DataFrame],
     scorer: Scorer,
     full: bool,
     save: Callable[[DataFrame, int], DataFrame],
-    concurrency: int = C.DEFAULT_CONCURRENCY,
     threads: int = 1,
-    tasks: int | None = None,
     delays: Sequence[float] = C.RETRY_DELAYS_SECONDS,
 ) -> DataFrame:
     """Attempt rounds until every request is answered or the delays run out.
 
-    A round is one distributed job over the requests still without a readable answer.
-    ``save(attempts, round)`` writes its parsed answers before anything reads them, so a lost
-    executor repeats calls of unfinished tasks only and no finished round. It may return
-    answers an interrupted run of the same name already wrote.
+    A round is one distributed job. ``build(None)`` gives the requests of the first, and
+    ``build(keys)`` those of the keys still without a readable answer.
+    ``save(attempts, round)`` writes a round's parsed answers before anything reads them,
+    so a lost executor repeats calls of unfinished tasks only and no finished round. It
+    may return answers an interrupted run already wrote.
     """
     tool = C.FULL_TOOL if full else C.KNOCKOUT_TOOL
-    rounds = []
-    left = requests
+    rounds, failed = [], None
     for number in range(1, len(delays) + 2):
         if number > 1:
             sleep(delays[number - 2])
-        answers = call_scorer(left, scorer.call, number, concurrency, threads, tasks)
+        answers = call_scorer(build(failed), scorer.call, number, threads)
         rounds.append(save(parsed_attempts(answers, scorer.dialect, tool), number))
         failed = rounds[-1].filter(F.col("payload").isNull()).select(*KEY)
         if number > len(delays) or failed.isEmpty():
             break
-        left = requests.join(failed, list(KEY), "left_semi")
     every = rounds[0]
     for more in rounds[1:]:
         every = every.unionByName(more)
@@ -183,18 +191,28 @@ def resolve(attempts: DataFrame) -> DataFrame:
     return picked.drop("attempts").withColumn("payload", F.try_parse_json("payload"))
 
 
+def readiness(queued: DataFrame, texts: DataFrame) -> DataFrame:
+    """Queued keys with ``ready``: there is a text. Only keys are read."""
+    has = texts.select(*KEY, F.lit(True).alias("_has"))
+    both = queued.select(*KEY).join(has, list(KEY), "left")
+    return both.select(*KEY, F.col("_has").isNotNull().alias("ready"))
+
+
 def outcomes(
-    blocks: DataFrame, resolved: DataFrame, full: bool, single: bool, prefixes: DataFrame | None = None
+    queued: DataFrame,
+    resolved: DataFrame,
+    full: bool,
+    single: bool,
+    prefixes: DataFrame | None = None,
 ) -> DataFrame:
-    """Queued keys with ``outcome``, ``error``, ``score`` and ``answered_at``.
+    """Queued keys (with ``ready``) -> ``outcome``, ``error``, ``score``, ``answered_at``.
 
     skipped: no text. failed: no answer or an invalid one. knocked_out: a failed knockout,
     in the knockout pass or in single mode; the full pass of the two-stage mode ranks such
     a candidate, with the recommendation forced to false. ``prefixes`` switches on the
     strict check of rubric ids.
     """
-    queued = blocks.select(*KEY, F.col("block").isNotNull().alias("_ready"))
-    both = queued.join(resolved, list(KEY), "left")
+    both = queued.select(*KEY, "ready").join(resolved, list(KEY), "left")
     criterion_ids = knockout_ids = None
     if prefixes is not None:
         both = with_prefix(both, prefixes.drop("prefix"))
@@ -206,13 +224,13 @@ def outcomes(
     )
     error = F.coalesce("error", "invalid")
     out = any_failed(F.col("score.knockouts"))
-    outcome = F.when(~F.col("_ready"), "skipped").when(error.isNotNull(), "failed")
+    outcome = F.when(~F.col("ready"), "skipped").when(error.isNotNull(), "failed")
     if single or not full:
         outcome = outcome.when(out, "knocked_out")
     return checked.select(
         *KEY,
         outcome.otherwise("passed").alias("outcome"),
-        F.when(F.col("_ready"), error).alias("error"),
+        F.when(F.col("ready"), error).alias("error"),
         "score",
         "answered_at",
     )
@@ -237,22 +255,40 @@ def score_events(results: DataFrame, full: bool, single: bool, stamp_answers: bo
     )
 
 
-def score_documents(results: DataFrame, stage: str) -> DataFrame:
-    """One JSON document per valid answer."""
-    return results.filter(F.col("score").isNotNull()).select(
+def with_document(results: DataFrame, full: bool) -> DataFrame:
+    """Results as they are stored: the score as a JSON document, NULL where there is none,
+    and beside it the fields a ranking reads, so that it need not parse the document.
+    """
+    shown = {
+        "reply_id": F.col("score.candidate_id"),
+        "weighted_total": F.col("score.weighted_total") if full else F.lit(0.0),
+        "recommend": F.col("score.recommend") if full else F.lit(False),
+        "summary": F.col("score.summary") if full else F.lit(""),
+    }
+    return results.select(
         *KEY,
-        F.lit(stage).alias("stage"),
+        F.lit("full" if full else "knockout").alias("stage"),
+        "outcome",
+        "error",
+        "answered_at",
         F.to_json("score", {"ignoreNullFields": "false"}).alias("document"),
+        *[value.alias(name) for name, value in shown.items()],
     )
 
 
-def latest_documents(documents: DataFrame) -> DataFrame:
+def latest_documents(results: DataFrame) -> DataFrame:
     """The document written last per key; within one run the full pass comes last.
 
-    ``documents``: keys, stage, document and ``run`` (increasing).
+    ``results``: keys, stage, run (increasing) and the stored columns.
     """
     order = F.struct("run", F.when(F.col("stage") == "full", 1).otherwise(0))
-    return documents.groupBy(*KEY).agg(F.max_by("document", order).alias("document"))
+    kept = [c for c in results.columns if c not in (*KEY, "stage", "run")]
+    last = (
+        results.filter(F.col("document").isNotNull())
+        .groupBy(*KEY)
+        .agg(F.max_by(F.struct(*kept), order).alias("_last"))
+    )
+    return last.select(*KEY, "_last.*")
 
 
 def score_summary(stages: list[tuple[str, DataFrame]]) -> DataFrame:

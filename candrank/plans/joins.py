@@ -17,6 +17,10 @@ def size_in_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(row)), F.lit(0))).first()[0]
 
 
+def fits(lookup: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    return size_in_bytes(lookup) <= limit
+
+
 def lookup_join(
     large: DataFrame,
     lookup: DataFrame,
@@ -35,7 +39,7 @@ def lookup_join(
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     on = list(on)
-    if size_in_bytes(lookup) <= limit:
+    if fits(lookup, limit):
         return large.join(F.broadcast(lookup), on, how)
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

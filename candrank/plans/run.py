@@ -19,7 +19,6 @@ from candrank.operators import extract, ingest, ranking, rubric, scoring, state
 from candrank.operators.requests import candidate_blocks, role_prefixes
 from candrank.schemas import KEY
 from candrank.sources.candidates import IngestError, unknown_columns
-from candrank.sources.documents import document_view
 from candrank.sources.rankings import write_ranked
 from candrank.sources.resumes import ranked_bundle
 from candrank.sources.store import Store
@@ -34,10 +33,9 @@ def current_state(store: Store, seq_type=None) -> DataFrame:
 
 
 def _metadata(store: Store, strict: bool) -> tuple[DataFrame, list[str]]:
-    raw = store.read("candidates")
-    columns = [c for c in raw.columns if c not in ("role", "ingest_seq")]
-    lookup = ingest.metadata_keep_first if strict else ingest.metadata_keep_last
-    return lookup(raw), columns
+    """The lookup of input columns: last row per untrimmed id, or the state's own rows."""
+    lookup = ingest.metadata_keep_first(store.read("candidates")) if strict else store.read("metadata")
+    return lookup, [c for c in lookup.columns if c not in ("role", "ingest_seq")]
 
 
 def run_ingest(
@@ -57,12 +55,21 @@ def run_ingest(
     if "candidate_id" not in raw.columns:
         raise IngestError(f"required column candidate_id is missing; found {raw.columns}")
     ours = store.write("input", raw)
+    last = ingest.metadata_keep_last(ours)
     if accumulate or not store.exists("candidates"):
         store.append("candidates", ours)
+        if store.exists("metadata"):
+            # Later rows win, so the old lookup and the new rows give the new lookup.
+            last = ingest.metadata_keep_last(store.read("metadata").unionByName(last))
     else:
         roles = ours.select("role").distinct()
-        others = store.read("candidates").join(roles, "role", "left_anti")
-        store.write("candidates", others.unionByName(ours, allowMissingColumns=True))
+
+        def others(table: str) -> DataFrame:
+            return store.read(table).join(roles, "role", "left_anti")
+
+        store.write("candidates", others("candidates").unionByName(ours, True))
+        last = others("metadata").unionByName(last, True)
+    store.write("metadata", last)
     if "content" in resumes.columns:
         resumes = store.append_new("resumes", resumes.select(*KEY, "content"))
     found = ingest.resume_presence(
@@ -87,15 +94,15 @@ def run_parse(
     Either ``readers`` decode the stored contents, or ``readings`` (role, candidate_id,
     text, extractor, error) come from a decoder outside.
     """
-    before = current_state(store)
+    before, label = current_state(store), _label(store)
     queued = state.queue(before, "parse")
     if readings is None:
-        contents = store.read("resumes").join(queued.select(*KEY), list(KEY), "left_semi")
-        readings = extract.read_files(contents, list(readers or extract.PDF_READERS))
-    results = store.once(
-        f"parsed/{_label(store)}", extract.parse_results(queued, readings)
-    )
-    store.append_new("texts", extract.resume_texts(results))
+        results = extract.parse_files(
+            queued, store.read("resumes"), list(readers or extract.PDF_READERS)
+        )
+    else:
+        results = extract.parse_results(queued, readings)
+    results = store.append_run("texts", extract.with_length(results), label, aligned=readings is None)
     after = state.apply_events(before, extract.parse_events(results), as_of)
     store.write("state", after, aligned=True)
     return extract.parse_summary(results)
@@ -152,32 +159,29 @@ def _stage(store, stage, queue, scorer, prefixes, settings, as_of) -> DataFrame:
     full, single = stage != "knockout", stage == "single"
     before, label = current_state(store), _label(store)
     metadata, columns = _metadata(store, settings.strict_metadata)
-    if store.exists("texts"):
-        texts = store.read("texts")
-    else:
-        texts = store.spark.createDataFrame([], "role string, candidate_id string, text string")
-    blocks = candidate_blocks(state.queue(before, queue), texts, metadata, columns)
+    texts = extract.useful(store.read("texts"))
+    queued = state.queue(before, queue)
+    blocks = candidate_blocks(queued, texts, metadata, columns)
+    tasks = scoring.tasks_for(settings.concurrency, settings.threads, settings.tasks)
+
+    def build(keys: DataFrame | None) -> DataFrame:
+        due = blocks if keys is None else blocks.join(keys, list(KEY), "left_semi")
+        return scoring.build_requests(due, prefixes, scorer, full, tasks)
 
     def save(answers: DataFrame, number: int) -> DataFrame:
         return store.once(f"attempts/{label}-{stage}-{number}", answers)
 
     attempts = scoring.run_attempts(
-        scoring.build_requests(blocks, prefixes, scorer, full),
-        scorer,
-        full,
-        save,
-        settings.concurrency,
-        settings.threads,
-        settings.tasks,
-        settings.delays,
+        build, scorer, full, save, settings.threads, settings.delays
     )
-    strict = prefixes if settings.strict_ids else None
-    results = store.once(
-        f"results/{label}-{stage}",
-        scoring.outcomes(blocks, scoring.resolve(attempts), full, single, strict),
+    results = scoring.outcomes(
+        scoring.readiness(queued, texts),
+        scoring.resolve(attempts),
+        full,
+        single,
+        prefixes if settings.strict_ids else None,
     )
-    documents = scoring.score_documents(results, "full" if full else "knockout")
-    store.append("documents", documents.withColumn("run", F.lit(label)))
+    results = store.append_run("results", scoring.with_document(results, full), label, aligned=True)
     events = scoring.score_events(results, full, single, settings.stamp_answers)
     store.write("state", state.apply_events(before, events, as_of), aligned=True)
     return results
@@ -196,8 +200,8 @@ def run_rank(
     """
     now = current_state(store)
     metadata, _ = _metadata(store, strict_metadata)
-    view = document_view(scoring.latest_documents(store.read("documents")))
-    rows = ranking.scored_candidates(now, view, metadata, trust_reply_id)
+    documents = scoring.latest_documents(store.read("results"))
+    rows = ranking.scored_candidates(now, documents, metadata, trust_reply_id)
     ranked = store.write(
         "ranked",
         ranking.projected(

@@ -39,8 +39,8 @@ def ranked_bundle(
     names = with_bundle_names(top).select("role", "candidate_id", "rank", "file_name")
     keys = top.select("role", "candidate_id").limit(max_literals + 1).collect()
     if len(keys) <= max_literals:
-        ids = sorted({k.candidate_id for k in keys})
-        resumes = resumes.filter(F.col("candidate_id").isin(ids))
+        for name in ("role", "candidate_id"):
+            resumes = resumes.filter(F.col(name).isin(sorted({k[name] for k in keys})))
     return resumes.join(names, ["role", "candidate_id"], "inner").select(
         "role", "rank", "file_name", "content"
     )

@@ -4,10 +4,14 @@
 leaves its ``_SUCCESS`` file; older versions stay for readers that still use them.
 
 With ``buckets`` the tables are hash-bucketed and sorted on the key. Tables with the same
-bucket count then join on the key without an exchange, so the wide text and document
-tables are shuffled once, when they are first written, and never again by a stage.
+bucket count then join on the key without an exchange, so the wide text and answer tables
+are shuffled at most once, when they are first written, and never again by a stage.
 Sorting puts one role's rows together, so a filter on ``role`` skips row groups. Without
-``buckets`` the tables are partitioned by ``role``.
+``buckets`` the tables are partitioned by ``role``; a rebalance splits a large role into
+several files and keeps small ones in one.
+
+Raw input may hold any number of rows per key. It is never moved by key, so a repeated id
+cannot fill one task.
 """
 
 from __future__ import annotations
@@ -16,11 +20,15 @@ import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candrank.schemas import KEY
 
 
+RAW_TABLES = ("input", "candidates")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
@@ -59,8 +67,9 @@ class Store:
         return f"{self.root}/{table}/v={max(used) + 1:08d}"
 
     # -- tables -----------------------------------------------------------------------
-    def _bucketed(self, schema: T.StructType) -> bool:
-        return bool(self.buckets) and set(KEY) <= set(schema.names)
+    def _bucketed(self, path: str, schema: T.StructType) -> bool:
+        table = path[len(self.root) + 1 :].rpartition("/")[0]
+        return bool(self.buckets) and set(KEY) <= set(schema.names) and table not in RAW_TABLES
 
     def _name(self, path: str) -> str:
         return "candrank_" + hashlib.sha256(path.encode()).hexdigest()[:24]
@@ -80,14 +89,14 @@ class Store:
         self._save(path, df, "errorifexists", aligned)
         return self._open(path, df.schema)
 
-    def append(self, table: str, df: DataFrame) -> DataFrame:
+    def append(self, table: str, df: DataFrame, aligned: bool = False) -> DataFrame:
         """Add rows to the current version, or start one. Returns the whole table."""
         known = self.versions(table)
         if not known:
-            return self.write(table, df)
+            return self.write(table, df, aligned)
         path = f"{self.root}/{table}/v={known[-1]:08d}"
         schema = self.read(table).schema
-        self._save(path, df.select(*schema.names), "append", False)
+        self._save(path, df.select(*schema.names), "append", aligned)
         self.spark.catalog.refreshByPath(path)
         return self._open(path, schema)
 
@@ -97,12 +106,26 @@ class Store:
             df = df.join(self.read(table).select(*KEY), list(KEY), "left_anti")
         return self.append(table, df)
 
+    def append_run(self, table: str, df: DataFrame, run: str, aligned: bool = False) -> DataFrame:
+        """Append ``df`` under the name ``run`` and return the run's rows.
+
+        Rows an interrupted run already committed are returned as they are, and ``df`` is
+        not computed then.
+        """
+
+        def done(whole: DataFrame) -> DataFrame:
+            return whole.filter(F.col("run") == run)
+
+        if self.exists(table) and not done(self.read(table)).isEmpty():
+            return done(self.read(table))
+        return done(self.append(table, df.withColumn("run", F.lit(run)), aligned))
+
     def once(self, table: str, df: DataFrame) -> DataFrame:
         """Write ``df`` unless an interrupted run already did; nothing is computed then."""
         return self.read(table) if self.exists(table) else self.write(table, df)
 
     def _save(self, path: str, df: DataFrame, mode: str, aligned: bool) -> None:
-        if self._bucketed(df.schema):
+        if self._bucketed(path, df.schema):
             name = self._name(path)
             placed = df if aligned else df.repartition(self.buckets, *KEY)
             (
@@ -114,7 +137,9 @@ class Store:
                 .saveAsTable(name)
             )
         elif "role" in df.columns:
-            df.write.mode(mode).partitionBy("role").parquet(path)
+            table = path[len(self.root) + 1 :].rpartition("/")[0]
+            placed = df if table in RAW_TABLES else df.hint("rebalance", "role")
+            placed.write.mode(mode).partitionBy("role").parquet(path)
         else:
             df.write.mode(mode).parquet(path)
 
@@ -122,7 +147,7 @@ class Store:
         return f"{self.root}/_schema{path[len(self.root):]}"
 
     def _open(self, path: str, schema: T.StructType) -> DataFrame:
-        if not self._bucketed(schema):
+        if not self._bucketed(path, schema):
             return self.spark.read.schema(schema).parquet(path).select(*schema.names)
         name = self._name(path)
         if not self.spark.catalog.tableExists(name):

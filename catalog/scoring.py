@@ -79,15 +79,12 @@ def _recorded(spark, sf, full: bool) -> DataFrame:
 
 
 def _stage(spark, sf, before: DataFrame, queue: str, full: bool, single: bool):
-    people = select(spark, sf, PEOPLE)
-    blocks = requests.candidate_blocks(
-        state.queue(before, queue), select(spark, sf, _TEXTS), people, PEOPLE_COLUMNS
-    )
-    ready = blocks.filter(F.col("block").isNotNull()).select(*KEY)
+    queued = scoring.readiness(state.queue(before, queue), select(spark, sf, _TEXTS))
+    ready = queued.filter("ready").select(*KEY)
     answers = _recorded(spark, sf, full).join(ready, list(KEY), "left_semi")
     attempts = scoring.parsed_attempts(answers, "chat_completion", "")
     results = written(
-        scoring.outcomes(blocks, scoring.resolve(attempts), full, single), "results"
+        scoring.outcomes(queued, scoring.resolve(attempts), full, single), "results"
     )
     after = state.apply_events(before, scoring.score_events(results, full, single), AS_OF)
     return results, written(after, "state")
@@ -124,7 +121,7 @@ def documents_written(spark, sf):
     """The stored JSON of valid answers: total, forced recommendation and whole summary."""
     (_, results), *_ = _single(spark, sf)[0]
     doc = F.parse_json("document")
-    return scoring.score_documents(results, "full").select(
+    return scoring.with_document(results, True).filter("document is not null").select(
         *KEY,
         F.variant_get(doc, "$.weighted_total", "double").alias("weighted_total"),
         F.variant_get(doc, "$.recommend", "boolean").alias("recommend"),
@@ -179,12 +176,16 @@ def scorer_rounds(spark, sf):
     blocks = requests.candidate_blocks(people, texts, people, PEOPLE_COLUMNS)
     prefixes = requests.role_prefixes(rubrics(spark, sf), select(spark, sf, JOBS))
     scorer = _scorer()
+
+    def build(keys):
+        due = blocks if keys is None else blocks.join(keys, list(KEY), "left_semi")
+        return scoring.build_requests(due, prefixes, scorer, True, scoring.tasks_for(8))
+
     attempts = scoring.run_attempts(
-        scoring.build_requests(blocks, prefixes, scorer, True),
+        build,
         scorer,
         True,
         lambda answers, number: written(answers, f"attempts-{number}"),
-        concurrency=8,
         delays=(0.0,),
     )
     resolved = scoring.resolve(attempts)

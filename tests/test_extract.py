@@ -80,7 +80,11 @@ def test_readers(spark):
     }
     events = {r.candidate_id: (r.event, r.failure_status) for r in extract.parse_events(results).collect()}
     assert events["broken"] == ("failed", "failed_parse") and "gone" not in events
-    assert [r.candidate_id for r in extract.resume_texts(results).collect()] == ["long"]
+    stored = extract.with_length(results)
+    assert [(r.candidate_id, r.n_chars) for r in extract.useful(stored).collect()] == [("long", 302)]
+    assert stored.filter("text is not null").count() == 1
+    in_place = extract.parse_files(queued, df, [("one", first), ("two", second)])
+    assert {r.candidate_id: r.outcome for r in in_place.collect()} == outcomes
 
 
 def test_lone_surrogate_is_dropped(spark):

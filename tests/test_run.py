@@ -240,11 +240,11 @@ def test_interrupted_stage_reuses_saved_answers(spark, tmp_path):
     settings = run.ScoreSettings(delays=())
     original, calls = store.append, []
 
-    def failing(table, df):
-        if table == "documents" and not calls:
+    def failing(table, *args):
+        if table == "results" and not calls:
             calls.append(1)
             raise OSError("lost")
-        return original(table, df)
+        return original(table, *args)
 
     store.append = failing
     with pytest.raises(OSError):

@@ -32,7 +32,10 @@ def test_calls_in_flight_stay_bounded(spark, tmp_path, concurrency, threads):
             f.write(f"{start} {time.time()}")
         return request
 
-    done = scoring.call_scorer(requests_of(spark, 24), call, 1, concurrency, threads)
+    tasks = scoring.tasks_for(concurrency, threads)
+    done = scoring.call_scorer(
+        requests_of(spark, 24).repartition(tasks, "role", "candidate_id"), call, 1, threads
+    )
     rows = done.collect()
     assert sorted(r.raw for r in rows) == sorted(f"q{i}" for i in range(24))
     spans = [tuple(map(float, p.read_text().split())) for p in tmp_path.iterdir()]
@@ -42,7 +45,8 @@ def test_calls_in_flight_stay_bounded(spark, tmp_path, concurrency, threads):
 
 def test_bad_limits(spark):
     with pytest.raises(ValueError):
-        scoring.call_scorer(requests_of(spark, 1), str, 1, 0)
+        scoring.tasks_for(0)
+    assert scoring.tasks_for(8, 3) == 2 and scoring.tasks_for(4, 1, 0) == 0
     with pytest.raises(ValueError):
         scoring.Scorer("other", "m", str)
 
@@ -71,8 +75,12 @@ def test_rounds_repeat_failures_only(spark, tmp_path, monkeypatch):
         saved.append(number)
         return spark.read.parquet(path)
 
+    def build(keys):
+        due = requests_of(spark, 15)
+        return due if keys is None else due.join(keys, ["role", "candidate_id"], "left_semi")
+
     attempts = scoring.run_attempts(
-        requests_of(spark, 15), scoring.Scorer("local_chat", "m", call), True, save, delays=(2.0, 8.0)
+        build, scoring.Scorer("local_chat", "m", call), True, save, delays=(2.0, 8.0)
     )
     assert waits == [2.0, 8.0] and saved == [1, 2, 3]
     got = {r.candidate_id: r for r in scoring.resolve(attempts).withColumn("payload", F.to_json("payload")).collect()}
@@ -109,7 +117,7 @@ def test_scorers_by_name():
 
 
 def result(spark, full, single, answers, texts):
-    blocks = spark.createDataFrame([("r", k, t) for k, t in texts.items()], f"{KEYS}, block string")
+    queued = spark.createDataFrame([("r", k, t is not None) for k, t in texts.items()], f"{KEYS}, ready boolean")
     rows = [("r", k, p, e) for k, (p, e) in answers.items()]
     resolved = spark.createDataFrame(rows, f"{KEYS}, p string, error string").select(
         "role",
@@ -118,7 +126,7 @@ def result(spark, full, single, answers, texts):
         "error",
         F.lit(None).cast("timestamp").alias("answered_at"),
     )
-    return scoring.outcomes(blocks, resolved, full, single)
+    return scoring.outcomes(queued, resolved, full, single)
 
 
 def payload(passed, total=5):
@@ -163,13 +171,35 @@ def test_outcomes_by_mode(spark):
     }
     summary = scoring.score_summary([("single", single)]).drop("role").first().asDict()
     assert summary == {"stage1_scored": 1, "stage2_scored": 1, "knocked_out": 1, "failed": 3, "skipped": 1}
-    docs = {r.candidate_id: json.loads(r.document) for r in scoring.score_documents(single, "full").collect()}
+    stored = scoring.with_document(single, True)
+    docs = {r.candidate_id: json.loads(r.document) for r in stored.collect() if r.document}
     assert set(docs) == {"ok", "out"} and docs["out"]["recommend"] is False
 
 
+def test_requests_stay_in_their_tasks(spark):
+    """Prefix and schema are joined after the rows are spread, not before."""
+    blocks = spark.createDataFrame([("r", f"c{i}", "b") for i in range(9)], f"{KEYS}, block string")
+    prefixes = spark.createDataFrame(
+        [("r", "p", ["a"], ["k"])], "role string, prefix string, criterion_ids array<string>, knockout_ids array<string>"
+    )
+    scorer = scoring.Scorer("command", "m", str)
+    spread = scoring.build_requests(blocks, prefixes, scorer, True, 3)
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("BroadcastHashJoin") < plan.index("REPARTITION_BY_NUM")
+    assert spread.rdd.getNumPartitions() == 3 and spread.count() == 9
+    in_place = scoring.build_requests(blocks, prefixes, scorer, True)
+    assert "REPARTITION" not in in_place._jdf.queryExecution().executedPlan().toString()
+
+
 def test_full_pass_replaces_the_knockout_document(spark):
     docs = spark.createDataFrame(
-        [("r", "a", "full", "new", "s1"), ("r", "a", "knockout", "old", "s1"), ("r", "b", "full", "x", "s1"), ("r", "b", "knockout", "y", "s2")],
+        [
+            ("r", "a", "full", "new", "s1"),
+            ("r", "a", "knockout", "old", "s1"),
+            ("r", "b", "full", "x", "s1"),
+            ("r", "b", "knockout", "y", "s2"),
+            ("r", "b", "knockout", None, "s3"),
+        ],
         f"{KEYS}, stage string, document string, run string",
     )
     assert {r.candidate_id: r.document for r in scoring.latest_documents(docs).collect()} == {"a": "new", "b": "y"}
