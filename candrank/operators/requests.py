@@ -72,9 +72,9 @@ def candidate_blocks(
     return both.select(*KEY, block.alias("block"))
 
 
-def with_prefix(blocks: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Add the role's prefix after the last shuffle, so it never travels with the rows."""
-    return lookup_join(blocks, prefixes, ["role"], "inner")
+def with_prefix(blocks: DataFrame, prefixes: DataFrame, small: bool | None = None) -> DataFrame:
+    """Add the role's prefix and ids; see ``lookup_join`` for ``small``."""
+    return lookup_join(blocks, prefixes, ["role"], "inner", small=small)
 
 
 def request_json(

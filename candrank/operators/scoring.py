@@ -90,18 +90,20 @@ def build_requests(
     full: bool,
     tasks: int = 0,
     system: str = C.SYSTEM_PROMPT,
+    small: bool | None = None,
 ) -> DataFrame:
     """Blocks that have text -> (keys, request), spread over ``tasks`` (0: in place).
 
     The rows are spread before the prefix and the schema are added, so these do not
     travel. Prefixes too large to broadcast need a join of their own, and the rows are
-    spread after it.
+    spread after it. ``small`` passes on an answer of ``fits`` for the prefixes.
     """
-    ready, small = blocks.filter(F.col("block").isNotNull()), fits(prefixes)
+    ready = blocks.filter(F.col("block").isNotNull())
+    small = fits(prefixes) if small is None else small
     if tasks and small:
         ready = ready.repartition(tasks, *KEY)
     body = request_json(scorer.dialect, scorer.model, full, system, scorer.thinking)
-    requests = with_prefix(ready, prefixes).select(*KEY, body.alias("request"))
+    requests = with_prefix(ready, prefixes, small).select(*KEY, body.alias("request"))
     return requests.repartition(tasks, *KEY) if tasks and not small else requests
 
 

@@ -29,17 +29,19 @@ def lookup_join(
     limit: int = BROADCAST_BYTES,
     salts: int = SALTS,
     salt_by: Sequence[str] = ("candidate_id",),
+    small: bool | None = None,
 ) -> DataFrame:
     """``large`` left or inner join ``lookup`` on a key that may be very hot in ``large``.
 
     The lookup is measured first. Up to ``limit`` bytes it is broadcast. Beyond that the
     hot keys of ``large`` are spread over ``salts`` sub-keys and the lookup rows are
     repeated once per sub-key, which gives the same rows from an ordinary shuffle join.
+    ``small`` passes on an answer of ``fits`` for the same lookup.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     on = list(on)
-    if fits(lookup, limit):
+    if fits(lookup, limit) if small is None else small:
         return large.join(F.broadcast(lookup), on, how)
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from candrank import constants as C
 from candrank.operators import extract, ingest, ranking, rubric, scoring, state
 from candrank.operators.requests import candidate_blocks, role_prefixes
+from candrank.plans.joins import fits
+from candrank.plans.scratch import written
 from candrank.schemas import KEY
 from candrank.sources.candidates import IngestError, unknown_columns
 from candrank.sources.rankings import write_ranked
@@ -143,7 +145,7 @@ def run_score(
     before = current_state(store)
     if settings.retry_failed and state.retry_count(before):
         store.write("state", state.retry_reset(before, as_of), aligned=True)
-    prefixes = role_prefixes(rubrics, jobs)
+    prefixes = written(role_prefixes(rubrics, jobs), "prefixes")
     single = settings.mode == "single"
     if single:
         results = _stage(store, "single", "stage1", scorer, prefixes, settings, as_of)
@@ -162,11 +164,12 @@ def _stage(store, stage, queue, scorer, prefixes, settings, as_of) -> DataFrame:
     texts = extract.useful(store.read("texts"))
     queued = state.queue(before, queue)
     blocks = candidate_blocks(queued, texts, metadata, columns)
+    small = fits(prefixes)
     tasks = scoring.tasks_for(settings.concurrency, settings.threads, settings.tasks)
 
     def build(keys: DataFrame | None) -> DataFrame:
         due = blocks if keys is None else blocks.join(keys, list(KEY), "left_semi")
-        return scoring.build_requests(due, prefixes, scorer, full, tasks)
+        return scoring.build_requests(due, prefixes, scorer, full, tasks, small=small)
 
     def save(answers: DataFrame, number: int) -> DataFrame:
         return store.once(f"attempts/{label}-{stage}-{number}", answers)

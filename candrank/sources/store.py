@@ -84,8 +84,10 @@ class Store:
         path = self._next(table)
         # The schema is kept beside the data: an empty version has no file to infer from,
         # and a partition value such as "007" must stay text.
-        note = self.spark.createDataFrame([(df.schema.json(),)], "value string")
-        note.coalesce(1).write.mode("overwrite").text(self._schema_path(path))
+        fs, note = self._fs_path(self._schema_path(path))
+        out = fs.create(note, True)
+        out.write(df.schema.json().encode("utf-8"))
+        out.close()
         self._save(path, df, "errorifexists", aligned)
         return self._open(path, df.schema)
 
@@ -144,7 +146,16 @@ class Store:
             df.write.mode(mode).parquet(path)
 
     def _schema_path(self, path: str) -> str:
-        return f"{self.root}/_schema{path[len(self.root):]}"
+        return f"{self.root}/_schema{path[len(self.root):]}.json"
+
+    def _schema(self, path: str) -> T.StructType:
+        fs, note = self._fs_path(self._schema_path(path))
+        source = fs.open(note)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+        return T.StructType.fromJson(json.loads(text))
 
     def _open(self, path: str, schema: T.StructType) -> DataFrame:
         if not self._bucketed(path, schema):
@@ -165,5 +176,4 @@ class Store:
         if not known or (version is not None and version not in known):
             raise FileNotFoundError(f"no committed version of {table} under {self.root}")
         path = f"{self.root}/{table}/v={version or known[-1]:08d}"
-        kept = self.spark.read.text(self._schema_path(path)).first()[0]
-        return self._open(path, T.StructType.fromJson(json.loads(kept)))
+        return self._open(path, self._schema(path))

@@ -4,8 +4,8 @@ import csv
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
+from candrank.operators import extract, ranking, requests, scoring, state
 from candrank.operators.scoring import Scorer
 from candrank.plans import run
 from candrank.sources.candidates import read_candidates
@@ -56,6 +56,18 @@ def answer(request: str) -> str:
     return json.dumps({"choices": [{"finish_reason": "stop", "message": {"content": json.dumps(payload)}}]})
 
 
+@pytest.fixture(autouse=True)
+def _interpreted(spark):
+    """Many tiny jobs: compiling code for each would take most of the time."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+    spark.conf.unset("spark.sql.codegen.factoryMode")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 SCORER = Scorer("chat_completion", "m", answer)
 
 
@@ -169,6 +181,31 @@ def test_single_mode_end_to_end(spark, tmp_path, buckets):
     assert bytes(bundle[1].content).decode() == long("OK 3")
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_bucketed_stages_move_no_rows(spark, tmp_path):
+    inputs(tmp_path)
+    store = Store(spark, str(tmp_path / "store"), 4)
+    start(spark, tmp_path, store)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        now, results = store.read("state"), store.read("results")
+        texts, metadata = extract.useful(store.read("texts")), store.read("metadata")
+        queued = state.queue(now, "stage1")
+        blocks = requests.candidate_blocks(queued, texts, metadata, ["candidate_id", "name"])
+        reading = extract.parse_files(state.queue(now, "parse"), store.read("resumes"), [("p", reader)])
+        after = state.apply_events(now, scoring.score_events(results, True, True), AS_OF)
+        rows = ranking.scored_candidates(now, scoring.latest_documents(results), metadata)
+        answers = store.read("attempts/s00000002-single-1")
+        checked = scoring.outcomes(scoring.readiness(queued, texts), scoring.resolve(answers), True, True)
+        for df in (blocks, reading, after, rows, checked, state.upsert(now, store.read("arrived"), AS_OF)):
+            assert exchanges(df) == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_two_stage_and_retry(spark, tmp_path):
     inputs(tmp_path)
     store = Store(spark, str(tmp_path / "store"), 4)
