@@ -139,9 +139,14 @@ def run_score(
     as_of,
     knockout_scorer: scoring.Scorer | None = None,
     settings: ScoreSettings = ScoreSettings(),
+    checked: bool = False,
 ) -> DataFrame:
-    """Score the queue in one pass, or survivors of a knockout pass; return the summary."""
-    rubric.check(rubrics)
+    """Score the queue in one pass, or survivors of a knockout pass; return the summary.
+
+    ``checked`` says that the rubrics have been checked already.
+    """
+    if not checked:
+        rubric.check(rubrics)
     before = current_state(store)
     if settings.retry_failed and state.retry_count(before):
         store.write("state", state.retry_reset(before, as_of), aligned=True)
@@ -248,15 +253,15 @@ def run_all(
     started = store.exists("state")
     if fresh and started:
         raise ValueError("a fresh start needs a new store; this one holds a state")
+    if not started and (raw is None or resumes is None):
+        raise ValueError("a fresh start needs candidates and resumes")
+    rubric.check(rubrics)
     summaries = {}
     if not started:
-        if raw is None or resumes is None:
-            raise ValueError("a fresh start needs candidates and resumes")
-        rubric.check(rubrics)
         summaries["ingest"] = run_ingest(store, raw, resumes, as_of)
     summaries["parse"] = run_parse(store, as_of, readers, readings)
     summaries["score"] = run_score(
-        store, rubrics, jobs, scorer, as_of, knockout_scorer, settings
+        store, rubrics, jobs, scorer, as_of, knockout_scorer, settings, checked=True
     )
     summaries["rank"] = run_rank(store, out, top)
     summaries["status"] = state.status_counts(current_state(store)).orderBy("role", "status")
