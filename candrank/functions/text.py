@@ -10,6 +10,12 @@ from candrank import constants as C
 REPLACEMENT = "\ufffd"
 
 
+def named(name: str, parent: str | None = None) -> Column:
+    """A column by its exact name, whatever characters an input file put into it."""
+    exact = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{parent}.{exact}" if parent else exact)
+
+
 def strip(text: Column) -> Column:
     """Cut Unicode white space at both ends (linear in the text, no regex)."""
     return F.btrim(text, F.lit(C.WHITESPACE))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candrank import constants as C
-from candrank.functions.text import strip
+from candrank.functions.text import named, strip
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -45,7 +45,7 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     """
     names = [c for c in df.columns if c not in columns]
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select(*[F.col(f"`{c}`") for c in names], F.inline(F.array(row)))
+    return df.select(*map(named, names), F.inline(F.array(row)))
 
 
 def field(value: Column, path: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candrank.functions.text import strip_or_empty, strip_or_null
+from candrank.functions.text import named, strip_or_empty, strip_or_null
 
 
 def _ensure(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -36,11 +36,11 @@ def keep_first(rows: DataFrame) -> DataFrame:
     """
     payload = [c for c in rows.columns if c not in ("role", "candidate_id")]
     first = rows.groupBy("role", "candidate_id").agg(
-        F.min_by(F.struct(*payload), "ingest_seq").alias("_first"),
+        F.min_by(F.struct(*map(named, payload)), "ingest_seq").alias("_first"),
         (F.count(F.lit(1)) - 1).alias("duplicates"),
     )
     return first.select(
-        "role", "candidate_id", *[F.col(f"_first.`{c}`") for c in payload], "duplicates"
+        "role", "candidate_id", *[named(c, "_first") for c in payload], "duplicates"
     )
 
 
@@ -50,9 +50,9 @@ def metadata_keep_last(raw: DataFrame) -> DataFrame:
     last = (
         raw.filter(F.col("candidate_id") != "")
         .groupBy("role", "candidate_id")
-        .agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in payload]), "ingest_seq").alias("_last"))
+        .agg(F.max_by(F.struct(*map(named, payload)), "ingest_seq").alias("_last"))
     )
-    return last.select("role", "candidate_id", *[F.col(f"_last.`{c}`") for c in payload])
+    return last.select("role", "candidate_id", *[named(c, "_last") for c in payload])
 
 
 def metadata_keep_first(raw: DataFrame) -> DataFrame:

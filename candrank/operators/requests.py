@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candrank import constants as C
-from candrank.functions.text import strip
+from candrank.functions.text import named, strip
 from candrank.operators.rubric import answer_schema, rubric_block
 from candrank.plans.joins import lookup_join
 from candrank.schemas import KEY
@@ -20,7 +20,7 @@ def metadata_block(columns: Sequence[str], prefix: str = "") -> Column:
     """``key: value`` lines of the non-empty columns, in column order."""
     lines = []
     for name in columns:
-        value = F.col(f"`{prefix}{name}`")
+        value = named(prefix + name)
         lines.append(F.when(value != "", F.concat(F.lit(f"{name}: "), value)))
     return F.concat_ws("\n", *lines) if lines else F.lit("")
 
@@ -63,7 +63,7 @@ def candidate_blocks(
     Metadata is narrow and joined first. The text table is joined on the key both tables
     are bucketed by, and unlike the narrow side it is not moved again.
     """
-    meta = metadata.select(*KEY, *[F.col(f"`{c}`").alias(f"_m_{c}") for c in metadata_columns])
+    meta = metadata.select(*KEY, *[named(c).alias(f"_m_{c}") for c in metadata_columns])
     found = queued.select(*KEY).join(meta, list(KEY), "left")
     both = found.join(texts.select(*KEY, "text"), list(KEY), "left")
     block = candidate_block(

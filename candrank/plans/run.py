@@ -166,7 +166,10 @@ def _stage(store, stage, queue, scorer, prefixes, settings, as_of) -> DataFrame:
     full, single = stage != "knockout", stage == "single"
     before, label = current_state(store), _label(store)
     metadata, columns = _metadata(store, settings.strict_metadata)
-    texts = extract.useful(store.read("texts"))
+    if store.exists("texts"):
+        texts = extract.useful(store.read("texts"))
+    else:  # nothing has been parsed yet, so nothing is due either
+        texts = store.spark.createDataFrame([], "role string, candidate_id string, text string")
     queued = state.queue(before, queue)
     blocks = candidate_blocks(queued, texts, metadata, columns)
     small = fits(prefixes)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candrank import constants as C
+from candrank.functions.text import named
 
 
 class IngestError(Exception):
@@ -25,13 +27,17 @@ def _reader(spark: SparkSession, multi_line: bool):
 
 
 def check_header(header: list[str] | None, where: str) -> list[str]:
-    """Required columns present, none twice; returns the unknown ones in file order."""
+    """Required columns present, none twice; returns the unknown ones in file order.
+
+    Names that differ only in case count as the same, because Spark could not tell them apart.
+    """
     if not header:
         raise IngestError(f"{where}: the file has no header row")
     missing = [c for c in C.REQUIRED_COLUMNS if c not in header]
     if missing:
         raise IngestError(f"{where}: required columns {missing} are missing; found {header}")
-    twice = sorted({c for c in header if header.count(c) > 1})
+    lower = [c.lower() for c in header]
+    twice = sorted({c for c in header if lower.count(c.lower()) > 1})
     if twice:
         raise IngestError(f"{where}: columns {twice} appear more than once")
     return unknown_columns(header)
@@ -53,10 +59,8 @@ def read_candidates(
     """
     try:
         first = _reader(spark, multi_line).option("header", False).csv(path).head(1)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            raise IngestError(f"{path}: not found") from e
-        raise
+    except AnalysisException as e:
+        raise IngestError(f"{path}: not found") from e
     names = list(first[0]) if first else None
     if names and all(n is None for n in names):
         names = None
@@ -73,4 +77,4 @@ def read_candidates(
         F.monotonically_increasing_id().alias("row"),
     )
     where = F.lit(role) if isinstance(role, str) else role
-    return raw.select(where.alias("role"), seq.alias("ingest_seq"), *[F.col(f"`{c}`") for c in raw.columns])
+    return raw.select(where.alias("role"), seq.alias("ingest_seq"), *map(named, raw.columns))

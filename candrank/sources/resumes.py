@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candrank.operators.ranking import with_bundle_names
+from candrank.sources.candidates import IngestError
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    try:
+        return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    except AnalysisException as e:
+        raise IngestError(f"{path}: resume folder not found") from e
 
 
 def _keyed(files: DataFrame, role: str, suffix: str, *columns: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from candrank.functions.text import named
 from candrank.schemas import KEY
 
 
@@ -98,7 +99,7 @@ class Store:
             return self.write(table, df, aligned)
         path = f"{self.root}/{table}/v={known[-1]:08d}"
         schema = self.read(table).schema
-        self._save(path, df.select(*schema.names), "append", aligned)
+        self._save(path, df.select(*map(named, schema.names)), "append", aligned)
         self.spark.catalog.refreshByPath(path)
         return self._open(path, schema)
 
@@ -159,10 +160,10 @@ class Store:
 
     def _open(self, path: str, schema: T.StructType) -> DataFrame:
         if not self._bucketed(path, schema):
-            return self.spark.read.schema(schema).parquet(path).select(*schema.names)
+            return self.spark.read.schema(schema).parquet(path).select(*map(named, schema.names))
         name = self._name(path)
         if not self.spark.catalog.tableExists(name):
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+            columns = ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in schema)
             keys = ", ".join(KEY)
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "

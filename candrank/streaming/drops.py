@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candrank import constants as C
+from candrank.functions.text import named
 from candrank.plans.run import run_ingest
 from candrank.sources.candidates import check_header
 from candrank.sources.store import Store
@@ -29,7 +30,7 @@ def candidate_stream(spark: SparkSession, path: str, columns=C.KNOWN_COLUMNS) ->
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
     ]
-    return files.select("role", *place, *columns)
+    return files.select("role", *place, *map(named, columns))
 
 
 def _with_sequence(batch: DataFrame, number: int) -> DataFrame:

@@ -229,7 +229,7 @@ def validate_full(spark, sf):
         F.col("score.candidate_id").alias("reply_id"),
         F.col("score.weighted_total").alias("weighted_total"),
         F.col("score.criteria")[0]["score"].alias("first_score"),
-        F.col("score.recommend").alias("recommend"),
+        F.col("score.recommend").cast("string").alias("recommend"),
         F.md5("score.summary").alias("digest"),
     )
 
@@ -246,7 +246,7 @@ def validate_knockout(spark, sf):
         "candidate_id",
         "invalid",
         F.col("score.candidate_id").alias("reply_id"),
-        F.col("score.passed").alias("passed"),
+        F.col("score.passed").cast("string").alias("passed"),
     )
 
 
@@ -309,7 +309,7 @@ QUERIES = {
                CASE WHEN invalid IS NULL THEN reply END AS reply_id,
                CASE WHEN invalid IS NULL THEN total END AS weighted_total,
                CASE WHEN invalid IS NULL THEN cast(10 AS double) END AS first_score,
-               CASE WHEN invalid IS NULL THEN k <> 6 END AS recommend,
+               CASE WHEN invalid IS NULL THEN cast(k <> 6 AS varchar) END AS recommend,
                CASE WHEN invalid IS NULL THEN md5(text) END AS digest FROM e""",
     ),
     "validate_strict": (
@@ -323,6 +323,6 @@ QUERIES = {
         f"""WITH d AS ({_DOCS}), e AS (SELECT *, {_INVALID.format(criteria='', rest='')} AS invalid FROM d)
         SELECT 'c' || doc_id AS candidate_id, invalid,
                CASE WHEN invalid IS NULL THEN reply END AS reply_id,
-               CASE WHEN invalid IS NULL THEN k <> 6 END AS passed FROM e""",
+               CASE WHEN invalid IS NULL THEN cast(k <> 6 AS varchar) END AS passed FROM e""",
     ),
 }

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from candrank.operators import ingest
+from candrank.plans.run import run_ingest
 from candrank.sources.candidates import IngestError, read_candidates, unknown_columns
+from candrank.sources.resumes import resume_presence
+from candrank.sources.store import Store
 
 
 def put(path, text, encoding="utf-8"):
@@ -46,6 +49,8 @@ def test_byte_order_mark_is_accepted(spark, tmp_path):
         ("name,current_title\nx,y\n", "candidate_id"),
         ("", "no header"),
         ("candidate_id,name,name\n1,2,3\n", "more than once"),
+        ("candidate_id,name,Name\n1,2,3\n", "more than once"),
+        ("Candidate_ID\n1\n", "candidate_id"),
     ],
 )
 def test_bad_headers(spark, tmp_path, text, message):
@@ -56,6 +61,8 @@ def test_bad_headers(spark, tmp_path, text, message):
 def test_missing_file(spark, tmp_path):
     with pytest.raises(IngestError, match="not found"):
         read_candidates(spark, str(tmp_path / "none.csv"), "r")
+    with pytest.raises(IngestError, match="not found"):
+        resume_presence(spark, str(tmp_path / "none"), "r")
 
 
 def test_files_with_another_header_are_refused(spark, tmp_path):
@@ -132,3 +139,28 @@ def test_sequence_follows_the_file(spark, tmp_path):
     ids = [r.candidate_id for r in df.repartition(5).orderBy("ingest_seq").collect()]
     assert ids == [f"c{i}" for i in range(5000)]
     assert df.select(F.col("ingest_seq.file")).distinct().count() == 1
+
+
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_any_header_name_and_any_duplicate_reach_the_store(spark, tmp_path, buckets):
+    """Unusual column names, a hot id and two roles; the second input replaces one role."""
+    hot = "".join(f"c1,n{i},a,b,c\n" for i in range(50))
+    path = put(tmp_path / "a.csv", 'candidate_id,Full Name,x.y,"p,q=r;(s)",role_hint\n' + hot + "c2,n,a,,c\n")
+    files = spark.createDataFrame([("r", "c1"), ("s", "c1")], "role string, candidate_id string")
+    store = Store(spark, str(tmp_path / "store"), buckets)
+    got = run_ingest(store, read_candidates(spark, path, "r"), files, "2024-01-01").first()
+    assert (got.ingested, got.duplicates_skipped) == (2, 49)
+    assert got.unknown_columns == "Full Name, x.y, p,q=r;(s), role_hint"
+    run_ingest(store, read_candidates(spark, path, "s"), files, "2024-01-02")
+    again = put(tmp_path / "b.csv", "candidate_id,name\nc2,late\n")
+    run_ingest(store, read_candidates(spark, again, "r"), files, "2024-01-03")
+    lookup = {(r.role, r.candidate_id): (r["Full Name"], r["name"]) for r in store.read("metadata").collect()}
+    assert lookup == {("r", "c2"): (None, "late"), ("s", "c1"): ("n49", None), ("s", "c2"): ("n", None)}
+    states = {(r.role, r.candidate_id): r.status for r in store.read("state").collect()}
+    assert states == {
+        ("r", "c1"): "ok",
+        ("r", "c2"): "no_resume",
+        ("s", "c1"): "ok",
+        ("s", "c2"): "no_resume",
+    }
+    assert store.read("candidates").count() == 52
