@@ -57,11 +57,12 @@ def fixed(x: Column, digits: int) -> Column:
     """Format a double with 1-3 decimals, rounding its exact binary value half to even.
 
     ``format_string`` rounds the shortest decimal text instead, so 8.1245 would print as
-    8.125 although the stored double lies below the tie. Scaling by a power of two is
-    exact: for 0 <= x < 16 the scaled value fits a long, and the tie is decided in exact
-    decimal arithmetic. Other values keep ``format_string``.
+    8.125 although the stored double lies below the tie. Near a tie the value is scaled by
+    a power of two, which is exact: for 0 <= x < 16 it then fits a long, and the tie is
+    decided in exact decimal arithmetic. Other values keep ``format_string``.
     """
     unit = 10**digits
+    near = F.abs(F.pmod(x * F.lit(float(unit)), F.lit(1.0)) - F.lit(0.5)) < F.lit(1e-6)
     small = x < F.lit(2.0**-7)
 
     def scaled(power: int) -> Column:
@@ -73,7 +74,9 @@ def fixed(x: Column, digits: int) -> Column:
         tie = (top % bottom) == F.lit(0)
         return F.when(tie, quotient - quotient % F.lit(2)).otherwise(quotient)
 
-    units = F.when(small, scaled(66)).otherwise(scaled(59))
+    exact = F.when(small, scaled(66)).otherwise(scaled(59))
+    plain = F.floor(x * F.lit(float(unit)) + F.lit(0.5))
+    units = F.when(near, exact).otherwise(plain)
     text = F.concat(
         F.call_function("div", units, F.lit(unit)).cast("string"),
         F.lit("."),

@@ -48,9 +48,9 @@ def _content(content: Column, empty: str) -> Column:
 def _chat_completion(body: Column, tool: str) -> tuple[Column, Column, Column]:
     """First choice; a cut answer, a refusal and empty content are errors, in this order."""
     choice = V.field(body, "$.choices[0]")
-    refusal = V.field(choice, "$.message.refusal")
-    content = V.field(choice, "$.message.content")
-    finish = V.text(V.field(choice, "$.finish_reason"))
+    refusal = V.field(body, "$.choices[0].message.refusal")
+    content = V.field(body, "$.choices[0].message.content")
+    finish = V.text(V.field(body, "$.choices[0].finish_reason"))
     early = F.coalesce(
         F.when(choice.isNull(), F.lit("answer has no choice"))
         .when(finish == "length", F.lit("answer cut by the token limit"))
