@@ -86,8 +86,11 @@ def rank_all(
     if largest <= window_rows:
         number = F.row_number().over(W.partitionBy("role").orderBy(*rank_order()))
         return rows.withColumn("rank", number.cast("long"))
+    # Written first: finding the ranges then reads the order columns only, and the joins
+    # behind the rows run once.
     placed = written(
-        rows.orderBy("role", *rank_order())
+        written(rows, "rank-input")
+        .orderBy("role", *rank_order())
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK))),
         "ranked-runs",

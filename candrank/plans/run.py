@@ -26,6 +26,9 @@ from candrank.sources.resumes import ranked_bundle
 from candrank.sources.store import Store
 
 
+ROLE_LITERALS = 1000
+
+
 def current_state(store: Store, seq_type=None) -> DataFrame:
     if store.exists("state"):
         return store.read("state")
@@ -40,6 +43,17 @@ def _metadata(store: Store, strict: bool) -> tuple[DataFrame, list[str]]:
     return lookup, [c for c in lookup.columns if c not in ("role", "ingest_seq")]
 
 
+def _without_roles(df: DataFrame, roles: DataFrame, literals: int = ROLE_LITERALS) -> DataFrame:
+    """Rows of other roles. A few names become a filter that prunes partitions; more of
+    them a join, for which a role list of measured size is broadcast.
+    """
+    names = [r.role for r in roles.limit(literals + 1).collect()]
+    if len(names) <= literals:
+        return df.filter(~F.col("role").isin(names)) if names else df
+    listed = F.broadcast(roles) if fits(roles) else roles
+    return df.join(listed, "role", "left_anti")
+
+
 def run_ingest(
     store: Store,
     raw: DataFrame,
@@ -65,12 +79,9 @@ def run_ingest(
             last = ingest.metadata_keep_last(store.read("metadata").unionByName(last))
     else:
         roles = ours.select("role").distinct()
-
-        def others(table: str) -> DataFrame:
-            return store.read(table).join(roles, "role", "left_anti")
-
-        store.write("candidates", others("candidates").unionByName(ours, True))
-        last = others("metadata").unionByName(last, True)
+        kept = _without_roles(store.read("candidates"), roles)
+        store.write("candidates", kept.unionByName(ours, True))
+        last = _without_roles(store.read("metadata"), roles).unionByName(last, True)
     store.write("metadata", last)
     if "content" in resumes.columns:
         resumes = store.append_new("resumes", resumes.select(*KEY, "content"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candrank.operators import ingest
-from candrank.plans.run import run_ingest
+from candrank.plans.run import _without_roles, run_ingest
 from candrank.sources.candidates import IngestError, read_candidates, unknown_columns
 from candrank.sources.resumes import resume_presence
 from candrank.sources.store import Store
@@ -141,6 +141,14 @@ def test_sequence_follows_the_file(spark, tmp_path):
     assert df.select(F.col("ingest_seq.file")).distinct().count() == 1
 
 
+def test_rows_of_other_roles(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "role string, n int")
+    roles = spark.createDataFrame([("a",), ("c",)], "role string")
+    for literals in (5, 1):
+        assert [r.n for r in _without_roles(df, roles, literals).collect()] == [2]
+    assert _without_roles(df, roles.limit(0)).count() == 3
+
+
 @pytest.mark.parametrize("buckets", [None, 3])
 def test_any_header_name_and_any_duplicate_reach_the_store(spark, tmp_path, buckets):
     """Unusual column names, a hot id and two roles; the second input replaces one role."""
