@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from catalog.base import AS_OF, duck, select, table
+from catalog.base import duck, select, table
 from candrank.operators import ranking
 from candrank.plans.scratch import new_path, written
 from candrank.schemas import KEY, RANKED_SCHEMA

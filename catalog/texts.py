@@ -7,7 +7,6 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    AS_OF,
     DUCK_BLOCK_META,
     DUCK_PREFIX,
     JOBS,
