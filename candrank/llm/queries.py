@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candrank.llm.common import LOWER, UPPER, table
 from candrank.llm.exact_dedup import exact_dedup
+from candrank.llm.packing import pack
 from candrank.llm.sharding import shard
 
 
@@ -23,6 +25,11 @@ def op1_karmarkar_karp(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_grouping_genetic(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_tree_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Equal texts after lower-casing A-Z; the largest doc_id stays."""
     return exact_dedup(table(spark, sf, "documents"))
@@ -41,6 +48,7 @@ FROM d JOIN g USING (text_sha256)
 
 QUERIES = {
     "op1_karmarkar_karp": (op1_karmarkar_karp, None),
+    "op3_grouping_genetic": (op3_grouping_genetic, None),
     "op10_tree_merge": (op10_tree_merge, OP10_SQL),
 }
 
