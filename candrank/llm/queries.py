@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candrank.llm.bpe import digested, encode
 from candrank.llm.common import LOWER, UPPER, table
 from candrank.llm.exact_dedup import exact_dedup
 from candrank.llm.packing import pack
@@ -30,6 +31,12 @@ def op3_grouping_genetic(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_distinct_words(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents encoded by the public ranks and decoded again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return digested(encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN), path)
+
+
 def op10_tree_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Equal texts after lower-casing A-Z; the largest doc_id stays."""
     return exact_dedup(table(spark, sf, "documents"))
@@ -49,6 +56,7 @@ FROM d JOIN g USING (text_sha256)
 QUERIES = {
     "op1_karmarkar_karp": (op1_karmarkar_karp, None),
     "op3_grouping_genetic": (op3_grouping_genetic, None),
+    "op4_distinct_words": (op4_distinct_words, None),
     "op10_tree_merge": (op10_tree_merge, OP10_SQL),
 }
 

@@ -84,8 +84,11 @@ def rank_encoding(path: str, pattern: str):
     )
 
 
+#: White space other than a space or a line feed.
+_OTHER_SPACE = re.compile(
+    "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+)
 #: A space between two characters that are not white space: no match reaches across it.
-_ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[^\S ]")
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -93,7 +96,23 @@ def spans(text: str) -> list[str]:
     """The text cut before each single space between words; joined, they are the text."""
     if not text:
         return []
-    if _ODD_SPACE.search(text):
+    if (
+        "  " in text
+        or " \n" in text
+        or "\n " in text
+        or text[0] == " "
+        or text[-1] == " "
+        or _OTHER_SPACE.search(text)
+    ):
         return _BORDER.split(text)
     first, *rest = text.split(" ")
     return [first, *map(" ".__add__, rest)]
+
+
+#: Characters of which every reading of the pattern's classes is the same.
+_SURE = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ÿ]*\Z")
+
+
+def pre_tokens(find, span: str) -> list[str]:
+    """The matches in a span; a span with rarer characters stays whole for the encoder."""
+    return find(span) if _SURE.match(span) else [span]
