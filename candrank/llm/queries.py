@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from candrank.llm.bpe import digested, encode
 from candrank.llm.common import LOWER, UPPER, table
+from candrank.llm.edit_counts import count_edited
 from candrank.llm.exact_dedup import exact_dedup
 from candrank.llm.packing import pack
 from candrank.llm.sharding import shard
@@ -37,6 +38,39 @@ def op4_distinct_words(spark: SparkSession, sf: str) -> DataFrame:
     return digested(encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN), path)
 
 
+def op6_edit_aware(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of all documents before and after three edits each.
+
+    Near a quarter of a text ten code points go, in the middle the name of its source comes in,
+    and near its end one word is replaced.
+    """
+    docs = table(spark, sf, "documents")
+    n = F.char_length("text")
+    named = F.concat(F.lit(" "), F.coalesce("source", F.lit("")), F.lit(" (edited)\n"))
+    steps = F.array(
+        *(
+            F.struct(
+                F.lit(seq).alias("seq"),
+                F.floor(n * part / 20).alias("start"),
+                F.lit(length).alias("length"),
+                insert.alias("insert"),
+            )
+            for seq, part, length, insert in (
+                (1, 5, 10, F.lit("")),
+                (2, 10, 0, named),
+                (3, 18, 6, F.lit("Überarbeitet 2024")),
+            )
+        )
+    )
+    edits = docs.select("doc_id", F.explode(steps).alias("e")).select("doc_id", "e.*")
+    return count_edited(
+        docs,
+        edits,
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
 def op10_tree_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Equal texts after lower-casing A-Z; the largest doc_id stays."""
     return exact_dedup(table(spark, sf, "documents"))
@@ -57,6 +91,7 @@ QUERIES = {
     "op1_karmarkar_karp": (op1_karmarkar_karp, None),
     "op3_grouping_genetic": (op3_grouping_genetic, None),
     "op4_distinct_words": (op4_distinct_words, None),
+    "op6_edit_aware": (op6_edit_aware, None),
     "op10_tree_merge": (op10_tree_merge, OP10_SQL),
 }
 
