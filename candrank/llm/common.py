@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candrank.plans.scratch import written
 
-__all__ = ["UPPER", "LOWER", "FOLD", "table", "text_of", "written", "blocks_for"]
+__all__ = ["UPPER", "LOWER", "FOLD", "table", "text_of", "written", "blocks_for", "rows_kept"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -25,3 +25,15 @@ def text_of(column: str = "text") -> Column:
 def blocks_for(amount: int, each: int, least: int = 1) -> int:
     """How many blocks of ``each`` hold ``amount``; grows with the data, so blocks do not."""
     return max(least, -(-int(amount) // each))
+
+
+def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``kept``; of repeated rows of an id one stays."""
+    stays = kept.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    chosen = docs.withColumn("__key", F.col("doc_id").cast("long")).join(
+        stays, F.col("__key").eqNullSafe(F.col("__id"))
+    )
+    once = chosen.filter("__n = 1").drop("__key", "__id", "__n")
+    # Only rows that share an id are compared with each other.
+    more = chosen.filter("__n > 1").dropDuplicates(["__key"]).drop("__key", "__id", "__n")
+    return once.unionByName(more)

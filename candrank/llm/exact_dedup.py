@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candrank.llm.common import FOLD, written
+from candrank.llm.common import FOLD, rows_kept, written
 
 FAN_BITS = 3
 RUN_ROWS = 50_000
@@ -184,13 +184,4 @@ def exact_dedup(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
 
 def without_copies(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of repeated rows one stays."""
-    decided = written(exact_dedup(docs, run_rows), "kept").filter("kept")
-    stays = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    keyed = docs.withColumn("__key", F.col("doc_id").cast("long"))
-    chosen = keyed.join(
-        stays.withColumnRenamed("doc_id", "__id"), F.col("__key").eqNullSafe(F.col("__id"))
-    )
-    once = chosen.filter("__n = 1").drop("__key", "__id", "__n")
-    # Only rows that share an id are compared with each other.
-    more = chosen.filter("__n > 1").dropDuplicates(["__key"]).drop("__key", "__id", "__n")
-    return once.unionByName(more)
+    return rows_kept(docs, written(exact_dedup(docs, run_rows), "kept").filter("kept"))

@@ -10,6 +10,7 @@ from candrank.llm.bpe import digested, encode
 from candrank.llm.common import LOWER, UPPER, table
 from candrank.llm.edit_counts import count_edited
 from candrank.llm.exact_dedup import exact_dedup
+from candrank.llm.near_dedup import link
 from candrank.llm.packing import pack
 from candrank.llm.sharding import shard
 
@@ -71,6 +72,11 @@ def op6_edit_aware(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents linked at a similarity of 0.8 of their 4-word shingles."""
+    return link(table(spark, sf, "documents"))
+
+
 def op10_tree_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Equal texts after lower-casing A-Z; the largest doc_id stays."""
     return exact_dedup(table(spark, sf, "documents"))
@@ -92,6 +98,7 @@ QUERIES = {
     "op3_grouping_genetic": (op3_grouping_genetic, None),
     "op4_distinct_words": (op4_distinct_words, None),
     "op6_edit_aware": (op6_edit_aware, None),
+    "op8_odd_sketches": (op8_odd_sketches, None),
     "op10_tree_merge": (op10_tree_merge, OP10_SQL),
 }
 
