@@ -7,9 +7,9 @@ differ; candidates whose estimate is far below the threshold go no further. The
 confirmed on the full sets.
 
 Nodes of a band are linked as a star to its smallest node, and in bands of up to ``SMALL``
-nodes as all pairs. A larger band is looked at again after each round: only while its nodes are
-in more than one component, the nodes outside its largest component meet further nodes of the
-band, a bounded number per round, until every pair across components has been looked at. So
+nodes as all pairs. A larger band whose nodes are then still in several components is looked at
+again: the nodes outside its largest component meet all its other nodes, in blocks, and their
+sketches and full sets are compared there until one link to each other component is found. So
 no link between components is missed, and a band of copies costs one pair per copy.
 
 Defined results: no words: an empty set, linked with nothing; repeated rows of a doc_id are one
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candrank.llm.common import FOLD, rows_kept, written
@@ -38,8 +38,10 @@ BANDS, ROWS = 28, 4
 BITS = 512
 #: Estimates of a similarity of 0.8 from 112 samples stay above this but once in 10^6.
 LEAST_ESTIMATE = 0.58
+#: Bands of up to so many nodes are taken as all pairs.
 SMALL = 32
-STEP = 32
+#: Nodes of a larger band that are in one task, besides those that look for links.
+BLOCK = 512
 _P = 0xFFFFFFFFFFFFFFC5
 _SET = "doc_id long, node binary, n_shingles long, bands array<long>, sketch array<long>"
 #: Numbers of nodes whose documents have no id begin here.
@@ -151,13 +153,10 @@ def sets(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SET)
 
 
-def _confirmed(
-    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, most: int, percent: int
-) -> DataFrame:
-    """The pairs (a, b) of node numbers whose full sets are similar enough."""
-    own = nodes.select("n", "sketch", "n_shingles")
+def _near(pairs: DataFrame, nodes: DataFrame, most: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of node numbers that sketches and sizes leave."""
     a, b = (
-        own.select(
+        nodes.select(
             F.col("n").alias(s), F.col("sketch").alias(f"s_{s}"), F.col("n_shingles").alias(f"n_{s}")
         )
         for s in "ab"
@@ -165,12 +164,12 @@ def _confirmed(
     close = _differing_bits("s_a", "s_b") <= most
     # The smaller set must hold the share of the larger that the threshold asks for.
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    near = written(
-        pairs.join(a, "a").join(b, "b").filter(sizes & close).select("a", "b", "n_a", "n_b"), "near"
-    )
-    wanted = nodes.join(
-        near.select(F.col("a").alias("n")).union(near.select("b")).distinct(), "n", "left_semi"
-    ).select("node", "n", "first_id")
+    return pairs.join(a, "a").join(b, "b").filter(sizes & close).select("a", "b", "n_a", "n_b")
+
+
+def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(n, own): the full sets of the nodes wanted."""
+    wanted = nodes.join(wanted.distinct(), "n", "left_semi").select("node", "n", "first_id")
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingled = Shingles(words)
@@ -184,19 +183,21 @@ def _confirmed(
     first = wanted.select("first_id").filter("first_id is not null").distinct()
     read = text.join(first, "first_id", "left_semi").union(text.filter("first_id is null"))
     # A repeated id can have another text, so sets are found by their digest.
-    whole = written(
+    return (
         read.select("text")
         .mapInPandas(full, "node binary, own array<long>")
         .join(wanted.select("node", "n"), "node")
         .dropDuplicates(["n"])
-        .select("n", "own"),
-        "full",
+        .select("n", "own")
     )
-    both = F.size(F.array_intersect("own_a", "own_b"))
+
+
+def _confirmed(near: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
     return (
         near.join(whole.select(F.col("n").alias("a"), F.col("own").alias("own_a")), "a")
         .join(whole.select(F.col("n").alias("b"), F.col("own").alias("own_b")), "b")
-        .withColumn("both", both)
+        .withColumn("both", F.size(F.array_intersect("own_a", "own_b")))
         .filter(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent)
         .select("a", "b")
     )
@@ -248,7 +249,6 @@ def link(
     bands: int = BANDS,
     rows: int = ROWS,
     small: int = SMALL,
-    step: int = STEP,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest reachable doc_id), kept."""
     own = written(sets(docs, words, bands, rows), "sets")
@@ -273,20 +273,15 @@ def link(
         .filter("a < b")
         .select("a", "b")
     )
-    links = written(
-        _confirmed(star.union(pairs).distinct(), nodes, docs, words, most, percent), "links"
-    )
-    labels = components(links)
+    near = written(_near(star.union(pairs).distinct(), nodes, most, percent), "near")
     large = met.filter(F.col("size") > small).select("band", "n", "size")
-    at = 1
-    while True:
-        more = written(_across(large, labels, at, step), "across")
-        if not more.limit(1).count():
-            break
-        found = _confirmed(more.select("a", "b").distinct(), nodes, docs, words, most, percent)
-        links = written(links.union(found), "links")
-        labels = components(links)
-        at += step
+    wanted = near.select(F.col("a").alias("n")).union(near.select("b")).union(large.select("n"))
+    whole = written(_full_sets(wanted, nodes, docs, words), "full")
+    links = written(_confirmed(near, whole, percent), "links")
+    labels = components(links)
+    more = written(_across(large, labels, nodes, whole, most, percent), "across")
+    if more.limit(1).count():
+        labels = components(links.union(more))
     to = nodes.join(labels, "n", "left").select("node", F.coalesce("c", "n").alias("__c"))
     component = F.when(F.col("__c") < NO_ID, F.col("__c"))
     return own.join(to, "node", "left").select(
@@ -296,37 +291,55 @@ def link(
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _across(large: DataFrame, labels: DataFrame, at: int, step: int) -> DataFrame:
-    """Pairs of a band's nodes in different components, ``at`` to ``at + step - 1`` places apart.
+def _across(
+    large: DataFrame, labels: DataFrame, nodes: DataFrame, whole: DataFrame, most: int, percent: int
+) -> DataFrame:
+    """Links between nodes of a band that are in different components.
 
-    Only bands with several components are read, and in them only nodes outside the largest
-    component look for others, around the ring of the band's nodes.
+    Only bands with several components are read. Their nodes are dealt to blocks; the nodes
+    outside the band's largest component go to every block and look there for one link with
+    each other component, the closest by sketch first.
     """
     named = large.join(labels, "n", "left").withColumn("c", F.coalesce("c", "n"))
     mixed = named.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y")
-    held = named.join(mixed.select("band"), "band", "left_semi")
-    counts = held.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
-    top = counts.groupBy("band").agg(F.max_by("c", F.struct("k", "c")).alias("top"))
-    placed = held.withColumn(
-        "place", F.row_number().over(Window.partitionBy("band").orderBy("n")) - 1
+    counts = (
+        named.join(mixed.select("band"), "band", "left_semi")
+        .groupBy("band", "c")
+        .agg(F.count(F.lit(1)).alias("k"))
     )
-    seekers = (
-        placed.join(top, "band")
-        .filter("c <> top")
-        .filter(F.col("size") - 1 >= at)
+    top = counts.groupBy("band").agg(F.max_by("c", F.struct("k", "c")).alias("top"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    home = F.pmod(F.xxhash64("n"), blocks).cast("int")
+    held = (
+        named.join(top, "band")
+        .withColumn("seeks", F.col("c") != F.col("top"))
         .withColumn(
-            "d", F.explode(F.sequence(F.lit(at), F.least(F.lit(at + step - 1), F.col("size") - 1)))
+            "block",
+            F.explode(F.when(F.col("seeks"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(home))),
         )
+        .select("band", "block", "n", "c", "seeks")
+        .join(nodes.select("n", "sketch"), "n")
+        .join(whole, "n")
     )
-    targets = placed.select(
-        "band", F.col("place").alias("to"), F.col("n").alias("m"), F.col("c").alias("other")
-    )
-    return (
-        seekers.withColumn("to", F.pmod(F.col("place") + F.col("d"), F.col("size")))
-        .join(targets, ["band", "to"])
-        .filter("c <> other")
-        .select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b"))
-    )
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, c = pdf["n"].to_numpy(), pdf["c"].to_numpy()
+        sketch = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
+        own, found, joined = pdf["own"].to_numpy(), [], set()
+        for x in np.flatnonzero(pdf["seeks"].to_numpy()):
+            apart = np.bitwise_count(sketch ^ sketch[x]).sum(axis=1)
+            near = np.flatnonzero((apart <= most) & (c != c[x]))
+            for y in near[np.argsort(apart[near], kind="stable")]:
+                pair = (min(c[x], c[y]), max(c[x], c[y]))
+                if pair in joined:
+                    continue
+                both = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                if both * 100 >= (len(own[x]) + len(own[y]) - both) * percent:
+                    joined.add(pair)
+                    found.append((min(n[x], n[y]), max(n[x], n[y])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return held.groupBy("band", "block").applyInPandas(search, "a long, b long").distinct()
 
 
 def without_near(docs: DataFrame, **settings) -> DataFrame:
