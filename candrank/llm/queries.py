@@ -11,7 +11,9 @@ from candrank.llm.common import LOWER, UPPER, table
 from candrank.llm.edit_counts import count_edited
 from candrank.llm.exact_dedup import exact_dedup
 from candrank.llm.near_dedup import link
+from candrank.llm.order_minhash import fingerprint
 from candrank.llm.packing import pack
+from candrank.llm.quality import classify
 from candrank.llm.sharding import shard
 
 
@@ -39,6 +41,13 @@ def op4_distinct_words(spark: SparkSession, sf: str) -> DataFrame:
     return digested(encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN), path)
 
 
+def op5_co_training(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents with their calibrated quality by two co-trained views."""
+    return classify(table(spark, sf, "documents"), table(spark, sf, "labels")).select(
+        "doc_id", "p_text", "p_meta", "quality_score", "keep"
+    )
+
+
 def op6_edit_aware(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of all documents before and after three edits each.
 
@@ -77,6 +86,11 @@ def op8_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
     return link(table(spark, sf, "documents"))
 
 
+def op9_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents and their edited texts as Order MinHash fingerprints."""
+    return fingerprint(table(spark, sf, "documents"))
+
+
 def op10_tree_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Equal texts after lower-casing A-Z; the largest doc_id stays."""
     return exact_dedup(table(spark, sf, "documents"))
@@ -97,8 +111,10 @@ QUERIES = {
     "op1_karmarkar_karp": (op1_karmarkar_karp, None),
     "op3_grouping_genetic": (op3_grouping_genetic, None),
     "op4_distinct_words": (op4_distinct_words, None),
+    "op5_co_training": (op5_co_training, None),
     "op6_edit_aware": (op6_edit_aware, None),
     "op8_odd_sketches": (op8_odd_sketches, None),
+    "op9_order_minhash": (op9_order_minhash, None),
     "op10_tree_merge": (op10_tree_merge, OP10_SQL),
 }
 
