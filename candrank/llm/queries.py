@@ -15,6 +15,7 @@ from candrank.llm.order_minhash import fingerprint
 from candrank.llm.packing import pack
 from candrank.llm.quality import classify
 from candrank.llm.sharding import shard
+from candrank.llm.wrappers import extract
 
 
 def op1_karmarkar_karp(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,6 +31,11 @@ def op1_karmarkar_karp(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_wrapper_inference(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of all pages by the wrappers of their hosts."""
+    return extract(table(spark, sf, "pages"))
+
+
 def op3_grouping_genetic(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -109,6 +115,7 @@ FROM d JOIN g USING (text_sha256)
 
 QUERIES = {
     "op1_karmarkar_karp": (op1_karmarkar_karp, None),
+    "op2_wrapper_inference": (op2_wrapper_inference, None),
     "op3_grouping_genetic": (op3_grouping_genetic, None),
     "op4_distinct_words": (op4_distinct_words, None),
     "op5_co_training": (op5_co_training, None),
