@@ -10,6 +10,7 @@ from candrank.llm.bpe import digested, encode
 from candrank.llm.common import LOWER, UPPER, table
 from candrank.llm.edit_counts import count_edited
 from candrank.llm.exact_dedup import exact_dedup
+from candrank.llm.kneser_ney import perplexity_scores
 from candrank.llm.near_dedup import link
 from candrank.llm.order_minhash import fingerprint
 from candrank.llm.packing import pack
@@ -87,6 +88,11 @@ def op6_edit_aware(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents scored by the bigram model of nine tenths of them."""
+    return perplexity_scores(table(spark, sf, "documents"))
+
+
 def op8_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
     """All documents linked at a similarity of 0.8 of their 4-word shingles."""
     return link(table(spark, sf, "documents"))
@@ -120,6 +126,7 @@ QUERIES = {
     "op4_distinct_words": (op4_distinct_words, None),
     "op5_co_training": (op5_co_training, None),
     "op6_edit_aware": (op6_edit_aware, None),
+    "op7_kneser_ney": (op7_kneser_ney, None),
     "op8_odd_sketches": (op8_odd_sketches, None),
     "op9_order_minhash": (op9_order_minhash, None),
     "op10_tree_merge": (op10_tree_merge, OP10_SQL),
