@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from candrank.llm.bpe import restored, squeezed
 from candrank.llm.common import FOLD, blocks_for, written
 
-BLOCK_CHARS = 16_000_000
-PART_CHARS = 16_000_000
+BLOCK_CHARS = 12_000_000
+PART_CHARS = 10_000_000
 HOT_SHARE = 0.005
 SPLIT = 16
 ORDER_DISCOUNT = 0.75
@@ -187,8 +187,10 @@ def perplexity_scores(
         for number, block in _blocks(batches, block_chars):
             w, u, d, train = block.arrays()
             part = _part_of(u, w, hot, parts)
-            order = np.lexsort((d, w, u, part))
-            w, u, d, part = w[order], u[order], d[order] * 2 + train[order], part[order]
+            order = np.lexsort((u, part))
+            d = (d * 2 + train).astype(np.uint32)
+            w, u, d, part = w[order], u[order], d[order], part[order].astype(np.int32)
+            del order, train
             edges = _edges(part)
             for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
                 words, at = np.unique(np.r_[u[a:b], w[a:b]], return_inverse=True)
@@ -218,10 +220,12 @@ def perplexity_scores(
         del us, ws, ds, bs
         order = np.lexsort((w, u))
         u, w, d, b = u[order], w[order], d[order], b[order]
-        edge = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-        pair = np.cumsum(np.r_[False, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+        del order
+        begins = np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])]
+        edge, pair = np.flatnonzero(begins), np.cumsum(begins, dtype=np.int32) - 1
         c = np.add.reduceat((d & 1).astype(np.int64), edge)
         pu, pw = u[edge], w[edge]
+        del u, w
         contexts = _edges(pu)
         context = np.cumsum(np.r_[False, pu[1:] != pu[:-1]])
         stats = np.stack(
