@@ -68,10 +68,12 @@ def violations(items: DataFrame, rubrics: DataFrame | None = None) -> DataFrame:
 
 
 def check(rubrics: DataFrame) -> None:
-    """Raise on the first invalid rubrics."""
-    bad = violations(rubric_items(rubrics), rubrics).limit(20).collect()
-    if bad:
-        raise ValueError("; ".join(f"{b.role}: {b.problem} ({b.detail})" for b in bad))
+    """Raise on invalid rubrics, with their number and examples; ``violations`` has them all."""
+    found = violations(rubric_items(rubrics), rubrics)
+    n = found.count()
+    if n:
+        shown = "; ".join(f"{b.role}: {b.problem} ({b.detail})" for b in found.limit(20).collect())
+        raise ValueError(f"{n} rubric violations" + (", for example: " if n > 20 else ": ") + shown)
 
 
 def rubric_block(title: Column, knockouts: Column, criteria: Column) -> Column:
