@@ -57,31 +57,33 @@ def fixed(x: Column, digits: int) -> Column:
     """Format a double with 1-3 decimals, rounding its exact binary value half to even.
 
     ``format_string`` rounds the shortest decimal text instead, so 8.1245 would print as
-    8.125 although the stored double lies below the tie. Near a tie the value is scaled by
-    a power of two, which is exact: for 0 <= x < 16 it then fits a long, and the tie is
-    decided in exact decimal arithmetic. Other values keep ``format_string``.
+    8.125 although the stored double lies below the tie. Here the whole part is set aside,
+    which leaves an exact fraction. Near a tie the fraction is scaled by a power of two,
+    exactly too, and the tie is decided in decimal arithmetic. Doubles of 2^63 and above,
+    which have no fraction, infinities and NaN are printed by ``format_string``.
     """
     unit = 10**digits
-    near = F.abs(F.pmod(x * F.lit(float(unit)), F.lit(1.0)) - F.lit(0.5)) < F.lit(1e-6)
-    small = x < F.lit(2.0**-7)
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole.cast("double")
+    near = F.abs(F.pmod(part * F.lit(float(unit)), F.lit(1.0)) - F.lit(0.5)) < F.lit(1e-6)
 
     def scaled(power: int) -> Column:
-        whole = F.floor(x * F.lit(float(2**power))).cast("decimal(20,0)")
+        over = F.floor(part * F.lit(float(2**power))).cast("decimal(20,0)")
         half = F.lit(str(2**power)).cast("decimal(21,0)")
         bottom = F.lit(str(2 ** (power + 1))).cast("decimal(21,0)")
-        top = whole * F.lit(2 * unit).cast("decimal(5,0)") + half
+        top = over * F.lit(2 * unit).cast("decimal(5,0)") + half
         quotient = F.call_function("div", top, bottom)
         tie = (top % bottom) == F.lit(0)
         return F.when(tie, quotient - quotient % F.lit(2)).otherwise(quotient)
 
-    exact = F.when(small, scaled(66)).otherwise(scaled(59))
-    plain = F.floor(x * F.lit(float(unit)) + F.lit(0.5))
+    exact = F.when(part < F.lit(2.0**-7), scaled(66)).otherwise(scaled(59))
+    plain = F.floor(part * F.lit(float(unit)) + F.lit(0.5))
     units = F.when(near, exact).otherwise(plain)
     text = F.concat(
-        F.call_function("div", units, F.lit(unit)).cast("string"),
+        F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit("")),
+        (whole + F.call_function("div", units, F.lit(unit))).cast("string"),
         F.lit("."),
         F.lpad((units % F.lit(unit)).cast("string"), digits, "0"),
     )
-    return F.when((x >= 0) & (x < 16), text).otherwise(
-        F.format_string(f"%.{digits}f", x)
-    )
+    return F.when(size < F.lit(2.0**63), text).otherwise(F.format_string(f"%.{digits}f", x))

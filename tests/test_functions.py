@@ -35,8 +35,13 @@ def test_fixed_matches_exact_rounding(spark, digits):
     assert got == [f"{v:.{digits}f}" for v in values]
 
 
-def test_fixed_outside_the_exact_range(spark):
-    assert column(spark, [100.12345, -1.5], lambda c: T.fixed(c, 3), "double") == ["100.123", "-1.500"]
+def test_fixed_over_the_whole_range(spark):
+    draw = random.Random(4)
+    values = [16.0625, -0.0625, -0.0, -0.0001, 100.12345, -1.5, 999.9995, 0.9999, 1e6 + 0.0625, 2.0**53 + 2, 2.0**60]
+    values += [s * draw.random() * 10**e for s in (1, -1) for e in range(1, 14) for _ in range(40)]
+    values += [i + k / 16 for i in range(-20, 1000, 7) for k in range(16)]
+    got = column(spark, values, lambda c: T.fixed(c, 3), "double")
+    assert got == [f"{v:.3f}" for v in values]
 
 
 def test_fences(spark):
