@@ -332,7 +332,7 @@ def perplexity_scores(
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, values = model(pdf)
-        sums: dict[int, list] = {}
+        found_sums: list[tuple] = []
         with tempfile.TemporaryDirectory() as folder:
             np.save(os.path.join(folder, "keys.npy"), keys)
             np.save(os.path.join(folder, "values.npy"), values)
@@ -358,27 +358,35 @@ def perplexity_scores(
                 pair = np.cumsum(restored(row.at).astype(np.int32))
                 d, b = restored(row.d).reshape(2, -1)
                 blocks, d = np.frombuffer(row.blocks, np.int64), (d >> 1).astype(np.int64)
-                for k in np.unique(b):
-                    at = b == k
-                    p, where = pair[at], d[at]
-                    size = int(where.max()) + 1
-                    sums.setdefault(int(blocks[k]), []).append(
-                        np.stack(
-                            [
-                                np.bincount(where, minlength=size, weights=x)
-                                for x in (logs[p], base[p], found[p, 1] > 0, np.ones(len(p)))
-                            ]
-                        )
+                own, at = np.unique((b.astype(np.int64) << 32) + d, return_inverse=True)
+                found_sums.append(
+                    (
+                        blocks[own >> 32],
+                        own & 0xFFFFFFFF,
+                        *(
+                            np.bincount(at, weights=x)
+                            for x in (logs[pair], base[pair], found[pair, 1] > 0, np.ones(len(pair)))
+                        ),
                     )
+                )
             del keys, values
+        return per_block(found_sums)
+
+    def per_block(found_sums: list[tuple]) -> pd.DataFrame:
+        """The sums of the documents that occur in a part; never more than its tokens."""
+        block, place, *values = (np.concatenate(x) for x in zip(*found_sums, strict=True))
+        order = np.lexsort((place, block))
+        block, place = block[order], place[order]
+        edge = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (place[1:] != place[:-1])])
+        values = [np.add.reduceat(x[order], edge) for x in values]
+        block, place = block[edge], place[edge]
+        starts = _edges(block)
         out = []
-        for block, parts_of in sums.items():
-            size = max(x.shape[1] for x in parts_of)
-            whole = np.zeros((4, size))
-            for x in parts_of:
-                whole[:, : x.shape[1]] += x
-            out.append((block, whole.tobytes()))
-        return pd.DataFrame(out, columns=["block", "sums"])
+        for a, z in zip(starts, [*starts[1:], len(block)], strict=True):
+            logs, base, known, tokens = (x[a:z] for x in values)
+            counts = np.stack([np.diff(place[a:z], prepend=0), np.rint(known), np.rint(tokens)])
+            out.append((int(block[a]), logs.tobytes(), base.tobytes(), squeezed(counts.ravel())))
+        return pd.DataFrame(out, columns=["block", "logs", "base", "counts"])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _blocks(batches, block_chars):
@@ -397,9 +405,12 @@ def perplexity_scores(
     def together(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("place")
         whole = np.zeros((4, len(own)))
-        for blob in found["sums"]:
-            part = np.frombuffer(blob).reshape(4, -1)
-            whole[:, : part.shape[1]] += part
+        for row in found.itertuples():
+            place, known, tokens = restored(row.counts).reshape(3, -1)
+            # A place occurs once in a part's row.
+            whole[:, np.cumsum(place.astype(np.int64))] += np.stack(
+                [np.frombuffer(row.logs), np.frombuffer(row.base), known, tokens]
+            )
         if not np.array_equal(np.rint(whole[3]), own["n_tokens"].to_numpy()):
             raise ValueError("the documents were read in different blocks")
         return pd.DataFrame(
@@ -414,7 +425,9 @@ def perplexity_scores(
             }
         )
 
-    sums = counted.groupBy("part").applyInPandas(score, "block long, sums binary")
+    sums = counted.groupBy("part").applyInPandas(
+        score, "block long, logs binary, base binary, counts binary"
+    )
     return (
         read.mapInArrow(documents, "block long, place long, doc_id long, held_out boolean, n_tokens long")
         .groupBy("block")
