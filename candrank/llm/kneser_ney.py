@@ -3,11 +3,12 @@
 Tokens are words (A-Z lower-cased, split at ASCII white space) and one end of each text; a text's
 first token follows a start. Tasks read texts in blocks and deal each token, with the word before
 it, to parts by that word: the word hashes of a block and part travel once, tokens as places in
-them. Parts count their bigrams and what follows each word. Their bigrams, with these counts, are
-dealt again by the second word, where the words before it are counted; there a part is the model
-of its words: sorted hash arrays in a file that the worker maps into memory and searches. The log
-probabilities are summed for each document in the part and then over parts, so only one number
-for each document and part moves.
+them. A part counts its bigrams and what follows each word, and is stored, in as many buckets as
+there are parts, as sorted arrays: word hashes, bigrams and the places of their tokens. A bigram
+lies in one part only, so how many words precede a word is the sum of what the parts count: each
+part deals its words by ranges of their hashes, and gets their whole counts back. Then the part
+stays where it is; the worker maps its arrays from files, sums the log probabilities for each
+document in the part, and only one number for each document and part moves.
 
 A frequent word (``HOT_SHARE`` of a block's tokens or more in the whole corpus) is split over
 several parts by the other word of the bigram; its counts are added up from all of them. At most
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candrank.llm.bpe import restored, squeezed
-from candrank.llm.common import FOLD, blocks_for, written
+from candrank.llm.common import FOLD, blocks_for
+from candrank.plans.scratch import new_path
 
 BLOCK_CHARS = 12_000_000
 PART_CHARS = 10_000_000
@@ -48,9 +51,10 @@ _START, _END = b" start", b" end"  # no word holds a space
 
 _GRAMS = "part long, block long, words binary, u binary, w binary, d binary"
 _PAIRS = (
-    "part long, u_part long, block long, words binary, w binary, c binary, context binary, stats binary, "
-    "at binary, d binary, blocks binary, n1 long, n2 long, n3 long, n4 long, types long, tokens long, hot binary"
+    "part long, words binary, w binary, c binary, context binary, stats binary, at binary, d binary, "
+    "blocks binary, n1 long, n2 long, n3 long, n4 long, types long, hot binary"
 )
+MOST_BUCKETS = 20_000
 
 
 def word_hash(word: bytes) -> int:
@@ -65,6 +69,25 @@ class _Hashes(dict):
         return found
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit integers by byte planes."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)
+    return zlib.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(raw.T).view(np.uint64).ravel()
+
+
+def _sorted_packed(hashes: np.ndarray) -> bytes:
+    return _packed(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def _sorted_unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(blob), dtype=np.uint64)
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
@@ -90,19 +113,22 @@ class Block:
         return w, u, d, train
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[int, Block]]:
+def _blocks(
+    batches: Iterator[pa.RecordBatch], chars: int, hashed: bool = True
+) -> Iterator[tuple[int, Block]]:
     first, hashes, end = TaskContext.get().partitionId() << 32, _Hashes(), word_hash(_END)
     block, number = Block(), 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
             words = (text.as_py() or "").encode().translate(FOLD).split()
-            own = np.empty(len(words) + 1, np.uint64)
-            own[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-            own[-1] = end
+            if hashed:
+                own = np.empty(len(words) + 1, np.uint64)
+                own[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                own[-1] = end
+                block.tokens.append(own)
             block.ids.append(doc_id.as_py())
-            block.sizes.append(len(own))
-            block.tokens.append(own)
-            block.chars += 7 * len(own)
+            block.sizes.append(len(words) + 1)
+            block.chars += 7 * block.sizes[-1]
             if block.chars >= chars:
                 yield first + number, block
                 block, number = Block(), number + 1
@@ -168,6 +194,18 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(float(min(max(d, 0.1), k - 0.05)) for k, d in enumerate(found, 1))
 
 
+def _stored(parts: DataFrame, buckets: int) -> DataFrame:
+    """Written to the shared folder by buckets of the part, so that no later use moves it."""
+    spark, name = parts.sparkSession, f"candrank_model_{uuid.uuid4().hex}"
+    (
+        parts.write.format("parquet")
+        .bucketBy(buckets, "part")
+        .option("path", new_path(spark, "bigrams"))
+        .saveAsTable(name)
+    )
+    return spark.table(name)
+
+
 def perplexity_scores(
     docs: DataFrame, block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS
 ) -> DataFrame:
@@ -200,7 +238,7 @@ def perplexity_scores(
                     {
                         "part": [int(part[a])],
                         "block": [number],
-                        "words": [words.tobytes()],
+                        "words": [_sorted_packed(words)],
                         "u": [squeezed(first)],
                         "w": [squeezed(at[b - a :])],
                         "d": [squeezed(d[a:b])],
@@ -211,7 +249,7 @@ def perplexity_scores(
         pdf = pdf.sort_values("block")
         us, ws, ds, bs = [], [], [], []
         for k, row in enumerate(pdf.itertuples()):
-            words = np.frombuffer(row.words, np.uint64)
+            words = _sorted_unpacked(row.words)
             us.append(words[np.cumsum(restored(row.u).astype(np.int64))])
             ws.append(words[restored(row.w)])
             ds.append(restored(row.d))
@@ -235,46 +273,27 @@ def perplexity_scores(
         is_hot = np.isin(pu[contexts], hot)
         hot_stats = np.c_[pu[contexts][is_hot].view(np.int64), stats[is_hot]].astype(np.int64)
         names = np.where(is_hot, np.searchsorted(hot, pu[contexts]) + 1, 0)
-        stats = np.c_[stats, names]
-        part = _part_of(pw, pu, hot, parts)
-        by = np.argsort(part, kind="stable")
-        edges = _edges(part[by])
-        place = np.argsort(part[pair], kind="stable")
-        starts = np.searchsorted(part[pair][place], part[by][edges])
-        ends = [*starts[1:], len(place)]
-        counts = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-        rows = []
-        for i, (a, z) in enumerate(zip(edges, [*edges[1:], len(by)], strict=True)):
-            own = by[a:z]
-            local = np.zeros(len(c), np.int64)
-            local[own] = np.arange(len(own))
-            occ = place[starts[i] : ends[i]]
-            words, at = np.unique(pw[own], return_inverse=True)
-            seen, which = np.unique(context[own], return_inverse=True)
-            first = i == 0
-            rows.append(
-                (
-                    int(part[own[0]]),
-                    int(pdf["part"].iloc[0]),
-                    0,
-                    words.tobytes(),
-                    squeezed(at),
-                    squeezed(c[own]),
-                    squeezed(np.diff(which, prepend=0)),
-                    squeezed(stats[seen].ravel()),
-                    squeezed(np.diff(local[pair[occ]], prepend=0)),
-                    squeezed(np.stack([d[occ], b[occ]]).ravel()),
-                    pdf["block"].to_numpy(np.int64).tobytes(),
-                    *(counts if first else (0, 0, 0, 0)),
-                    int((c > 0).sum()) if first else 0,
-                    int(c.sum()) if first else 0,
-                    hot_stats.tobytes() if first else b"",
-                )
-            )
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in _PAIRS.split(", ")])
+        words, at = np.unique(pw, return_inverse=True)
+        row = (
+            int(pdf["part"].iloc[0]),
+            _sorted_packed(words),
+            squeezed(at),
+            squeezed(c),
+            squeezed(np.diff(context, prepend=0)),
+            squeezed(np.c_[stats, names].ravel()),
+            squeezed(np.diff(pair, prepend=0)),
+            squeezed(np.stack([d, b]).ravel()),
+            pdf["block"].to_numpy(np.int64).tobytes(),
+            *(int((c == k).sum()) for k in (1, 2, 3, 4)),
+            int((c > 0).sum()),
+            hot_stats.tobytes(),
+        )
+        return pd.DataFrame([row], columns=[f.split()[0] for f in _PAIRS.split(", ")])
 
-    counted = written(
-        read.mapInArrow(grams, _GRAMS).groupBy("part").applyInPandas(count, _PAIRS), "bigrams"
+    buckets = min(parts, MOST_BUCKETS)
+    counted = _stored(
+        read.mapInArrow(grams, _GRAMS).repartition(buckets, "part").groupBy("part").applyInPandas(count, _PAIRS),
+        buckets,
     )
     n1, n2, n3, n4, types = (
         int(x or 0)
@@ -287,109 +306,118 @@ def perplexity_scores(
         rows = np.frombuffer(blob, np.int64).reshape(-1, 5)
         np.add.at(hot_context, np.searchsorted(hot, rows[:, 0].view(np.uint64)) + 1, rows[:, 1:])
 
-    def continuations(pdf: pd.DataFrame) -> pd.DataFrame:
-        """What a part knows of its hot second words."""
-        own = {}
-        for row in pdf.itertuples():
-            words, at, c = np.frombuffer(row.words, np.uint64), restored(row.w), restored(row.c)
-            for h in words[np.isin(words, hot)].tolist():
-                one = c[at == np.searchsorted(words, np.uint64(h))]
-                a, b = own.get(h, (0, 0))
-                own[h] = (a + int((one > 0).sum()), b + int(one.sum()))
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A part's words by ranges of their hashes: bigrams that end in each, and tokens."""
+        for pdf in batches:
+            for row in pdf.itertuples():
+                words, at, c = _sorted_unpacked(row.words), restored(row.w), restored(row.c)
+                before = np.bincount(at, weights=c > 0, minlength=len(words))
+                n = np.bincount(at, weights=c, minlength=len(words))
+                del at, c
+                where = ((words >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                starts = _edges(where)
+                yield pd.DataFrame(
+                    [
+                        (row.part, int(where[a]), _sorted_packed(words[a:z]), squeezed(before[a:z]), squeezed(n[a:z]))
+                        for a, z in zip(starts, [*starts[1:], len(words)], strict=True)
+                    ],
+                    columns=["part", "range", "words", "before", "n"],
+                )
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The whole counts of a range's words, for each part in the order of its words."""
+        own = [_sorted_unpacked(x) for x in pdf["words"]]
+        keys, at = np.unique(np.concatenate(own), return_inverse=True)
+        sums = [
+            np.bincount(at, weights=np.concatenate([restored(x) for x in pdf[c]]), minlength=len(keys))
+            for c in ("before", "n")
+        ]
+        ends = np.cumsum([len(x) for x in own])
+        places = np.split(at, ends[:-1])
         return pd.DataFrame(
             {
-                "word": pd.Series(np.array(list(own), np.uint64).view(np.int64), dtype="int64"),
-                "before": pd.Series([x[0] for x in own.values()], dtype="int64"),
-                "n": pd.Series([x[1] for x in own.values()], dtype="int64"),
+                "part": pdf["part"],
+                "range": pdf["range"],
+                "before": [_packed(sums[0][x].astype(np.int64)) for x in places],
+                "n": [_packed(sums[1][x].astype(np.int64)) for x in places],
             }
         )
 
-    def hot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield continuations(pdf)
-
-    hot_words = {
-        r.word: (r.before, r.n)
-        for r in counted.select("words", "w", "c")
-        .mapInPandas(hot_rows, "word long, before long, n long")
-        .groupBy("word")
-        .agg(F.sum("before").alias("before"), F.sum("n").alias("n"))
-        .collect()
-    }
+    whole_counts = (
+        counted.select("part", "words", "w", "c")
+        .mapInPandas(dealt, "part long, range long, words binary, before binary, n binary")
+        .groupBy("range")
+        .applyInPandas(added, "part long, range long, before binary, n binary")
+    )
     d1, d2, d3 = discounts(n1, n2, n3, n4)
 
-    def model(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted word hashes of the part; for each, words before it and its count."""
-        w = np.concatenate([np.frombuffer(r.words, np.uint64)[restored(r.w)] for r in pdf.itertuples()])
-        c = np.concatenate([restored(r.c) for r in pdf.itertuples()]).astype(np.int64)
-        keys, at = np.unique(w, return_inverse=True)
-        values = np.stack(
-            [np.bincount(at, weights=c > 0), np.bincount(at, weights=c)], axis=1
-        ).astype(np.float64)
-        for k in np.flatnonzero(np.isin(keys, hot)):
-            values[k] = hot_words.get(int(keys[k : k + 1].view(np.int64)[0]), (0, 0))
-        return keys, values
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, values = model(pdf)
-        found_sums: list[tuple] = []
+    def score(pdf: pd.DataFrame, wholes: pd.DataFrame) -> pd.DataFrame:
+        row = next(pdf.itertuples())
+        wholes = wholes.sort_values("range")
         with tempfile.TemporaryDirectory() as folder:
-            np.save(os.path.join(folder, "keys.npy"), keys)
-            np.save(os.path.join(folder, "values.npy"), values)
-            del keys, values
-            keys = np.load(os.path.join(folder, "keys.npy"), mmap_mode="r")
-            values = np.load(os.path.join(folder, "values.npy"), mmap_mode="r")
-            for row in pdf.itertuples():
-                words = np.frombuffer(row.words, np.uint64)
-                found = values[np.searchsorted(keys, words)][restored(row.w)]
-                c = restored(row.c).astype(np.float64)
-                stats = restored(row.stats).astype(np.int64).reshape(-1, 5)
-                named = stats[:, 4] > 0
-                stats[named, :4] = hot_context[stats[named, 4]]
-                own = stats[np.cumsum(restored(row.context).astype(np.int32))]
-                lower = (
-                    np.maximum(found[:, 0] - ORDER_DISCOUNT, 0) + ORDER_DISCOUNT * distinct / (distinct + 1)
-                ) / types if types else np.full(len(c), 1.0)
-                gone = np.select([c >= 3, c == 2, c == 1], [d3, d2, d1], 0.0)
-                n = np.maximum(own[:, 0], 1)
-                back = np.where(own[:, 0] > 0, (d1 * own[:, 1] + d2 * own[:, 2] + d3 * own[:, 3]) / n, 1.0)
-                logs = np.log10((c - gone) / n + back * lower)
-                base = np.log10((found[:, 1] + 0.1) / (total + 0.1 * (distinct + 1)))
-                pair = np.cumsum(restored(row.at).astype(np.int32))
-                d, b = restored(row.d).reshape(2, -1)
-                blocks, d = np.frombuffer(row.blocks, np.int64), (d >> 1).astype(np.int64)
-                own, at = np.unique((b.astype(np.int64) << 32) + d, return_inverse=True)
-                found_sums.append(
-                    (
-                        blocks[own >> 32],
-                        own & 0xFFFFFFFF,
-                        *(
-                            np.bincount(at, weights=x)
-                            for x in (logs[pair], base[pair], found[pair, 1] > 0, np.ones(len(pair)))
-                        ),
-                    )
-                )
-            del keys, values
-        return per_block(found_sums)
 
-    def per_block(found_sums: list[tuple]) -> pd.DataFrame:
+            def mapped(name: str, values: np.ndarray) -> np.ndarray:
+                """The array from a file that the worker maps into memory."""
+                np.save(os.path.join(folder, name), values)
+                return np.load(os.path.join(folder, name), mmap_mode="r")
+
+            words = mapped("words.npy", _sorted_unpacked(row.words))
+            before, tokens = (
+                mapped(f"{c}.npy", np.concatenate([_unpacked(x) for x in wholes[c]])) for c in ("before", "n")
+            )
+            if not len(words) == len(before) == len(tokens):
+                raise ValueError("a part got the counts of other words")
+            w = restored(row.w)
+            c = restored(row.c).astype(np.float64)
+            lower = (
+                np.maximum(before[w].astype(np.float64) - ORDER_DISCOUNT, 0)
+                + ORDER_DISCOUNT * distinct / (distinct + 1)
+            ) / types if types else np.full(len(c), 1.0)
+            stats = restored(row.stats).astype(np.int64).reshape(-1, 5)
+            named = stats[:, 4] > 0
+            stats[named, :4] = hot_context[stats[named, 4]]
+            n = np.maximum(stats[:, 0], 1)
+            back = np.where(
+                stats[:, 0] > 0, (d1 * stats[:, 1] + d2 * stats[:, 2] + d3 * stats[:, 3]) / n, 1.0
+            )
+            own = np.cumsum(restored(row.context).astype(np.int32))
+            gone = np.select([c >= 3, c == 2, c == 1], [d3, d2, d1], 0.0)
+            logs = mapped("logs.npy", np.log10((c - gone) / n[own] + back[own] * lower))
+            del stats, n, back, own, gone, lower, c
+            base = mapped(
+                "base.npy",
+                np.log10((tokens.astype(np.float64) + 0.1) / (total + 0.1 * (distinct + 1))),
+            )
+            pair = np.cumsum(restored(row.at).astype(np.int32), dtype=np.int32)
+            d, b = restored(row.d).reshape(2, -1)
+            blocks = np.frombuffer(row.blocks, np.int64)
+            key = (b.astype(np.int64) << 32) + (d >> 1)
+            del d, b
+            own, at = np.unique(key, return_inverse=True)
+            del key
+            sums = [np.bincount(at, weights=logs[pair])]
+            ends = w[pair]
+            del pair, w
+            sums += [
+                np.bincount(at, weights=base[ends]),
+                np.bincount(at, weights=tokens[ends] > 0),
+                np.bincount(at).astype(np.float64),
+            ]
+            del words, before, tokens, logs, base
+        return per_block(blocks[own >> 32], own & 0xFFFFFFFF, sums)
+
+    def per_block(block: np.ndarray, place: np.ndarray, sums: list[np.ndarray]) -> pd.DataFrame:
         """The sums of the documents that occur in a part; never more than its tokens."""
-        block, place, *values = (np.concatenate(x) for x in zip(*found_sums, strict=True))
-        order = np.lexsort((place, block))
-        block, place = block[order], place[order]
-        edge = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (place[1:] != place[:-1])])
-        values = [np.add.reduceat(x[order], edge) for x in values]
-        block, place = block[edge], place[edge]
-        starts = _edges(block)
+        starts = _edges(block)  # blocks come in order
         out = []
         for a, z in zip(starts, [*starts[1:], len(block)], strict=True):
-            logs, base, known, tokens = (x[a:z] for x in values)
+            logs, base, known, tokens = (x[a:z] for x in sums)
             counts = np.stack([np.diff(place[a:z], prepend=0), np.rint(known), np.rint(tokens)])
             out.append((int(block[a]), logs.tobytes(), base.tobytes(), squeezed(counts.ravel())))
         return pd.DataFrame(out, columns=["block", "logs", "base", "counts"])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches, block_chars):
+        for number, block in _blocks(batches, block_chars, hashed=False):
             n = len(block.ids)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -425,7 +453,7 @@ def perplexity_scores(
             }
         )
 
-    sums = counted.groupBy("part").applyInPandas(
+    sums = counted.groupBy("part").cogroup(whole_counts.groupBy("part")).applyInPandas(
         score, "block long, logs binary, base binary, counts binary"
     )
     return (
