@@ -2,12 +2,15 @@
 
 Every stage reads the current tables, works on its queue only, writes what it produced and
 then the new state. What a stage produced is written before the state that depends on it,
-under the number of the state it started from, so a stage that was interrupted continues
+under the number of the state it started from and, for scoring, a fingerprint of the rubrics,
+job texts, model and settings, so a stage that was interrupted continues
 from its saved answers, and a finished one is never mistaken for the next.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,8 +29,6 @@ from candrank.sources.resumes import ranked_bundle
 from candrank.sources.store import Store
 
 
-ROLE_LITERALS = 1000
-
 
 def current_state(store: Store, seq_type=None) -> DataFrame:
     if store.exists("state"):
@@ -43,17 +44,34 @@ def _metadata(store: Store, strict: bool) -> tuple[DataFrame, list[str]]:
     return lookup, [c for c in lookup.columns if c not in ("role", "ingest_seq")]
 
 
-def _without_roles(df: DataFrame, roles: DataFrame, literals: int = ROLE_LITERALS) -> DataFrame:
-    """Rows of other roles. A few names become a filter that prunes partitions; more of
-    them a join, for which a role list of measured size is broadcast.
-    """
-    names = [r.role for r in roles.limit(literals + 1).collect()]
-    if len(names) <= literals:
-        return df.filter(~F.col("role").isin(names)) if names else df
+def _without_roles(df: DataFrame, roles: DataFrame) -> DataFrame:
+    """Rows of other roles; a role list of measured size is broadcast."""
     listed = F.broadcast(roles) if fits(roles) else roles
     return df.join(listed, "role", "left_anti")
 
 
+def _keep_resumes(store: Store, resumes: DataFrame) -> None:
+    """Keep the arriving contents, which replace those stored under the same keys.
+
+    Of several contents of a key the largest in byte order is kept.
+    """
+    files = resumes.select(*KEY, "content")
+    if store.buckets:
+        files = files.repartition(store.buckets, *KEY)
+    files = files.groupBy(*KEY).agg(F.max("content").alias("content"))
+    aligned = bool(store.buckets)
+    if not store.exists("resumes"):
+        store.write("resumes", files, aligned)
+        return
+    keys = resumes.select(*KEY)
+    stored = store.read("resumes")
+    if stored.select(*KEY).join(keys, list(KEY), "left_semi").isEmpty():
+        store.append("resumes", files, aligned)
+    else:
+        others = stored.join(keys, list(KEY), "left_anti")
+        store.write("resumes", others.unionByName(files), aligned)
+
+
 def run_ingest(
     store: Store,
     raw: DataFrame,
@@ -61,19 +79,24 @@ def run_ingest(
     as_of,
     sticky_no_resume: bool = True,
     accumulate: bool = False,
+    batch: str | None = None,
 ) -> DataFrame:
     """Keep the raw rows, upsert the state, return the summary per role.
 
-    ``resumes`` holds a key per resume file; with a ``content`` column the contents are
-    kept too, for parsing. The raw rows replace the kept ones of the same roles, or with
-    ``accumulate`` join them, as files arriving one by one need.
+    ``resumes`` holds a key per resume file; a candidate without one now has no resume,
+    whatever an earlier ingest found. With a ``content`` column the contents are kept too,
+    for parsing, the newest per key. The raw rows replace the kept ones of the same roles,
+    or with ``accumulate`` join them, as files arriving one by one need; rows of a named
+    ``batch`` join once. Rows without a role stop the ingest.
     """
     if "candidate_id" not in raw.columns:
         raise IngestError(f"required column candidate_id is missing; found {raw.columns}")
     ours = store.write("input", raw)
+    if not ours.filter(F.coalesce(F.btrim("role"), F.lit("")) == "").isEmpty():
+        raise IngestError("every candidate row needs a role")
     last = ingest.metadata_keep_last(ours)
     if accumulate or not store.exists("candidates"):
-        store.append("candidates", ours)
+        store.append("candidates", ours, part=batch)
         if store.exists("metadata"):
             # Later rows win, so the old lookup and the new rows give the new lookup.
             last = ingest.metadata_keep_last(store.read("metadata").unionByName(last))
@@ -84,7 +107,7 @@ def run_ingest(
         last = _without_roles(store.read("metadata"), roles).unionByName(last, True)
     store.write("metadata", last)
     if "content" in resumes.columns:
-        resumes = store.append_new("resumes", resumes.select(*KEY, "content"))
+        _keep_resumes(store, resumes)
     found = ingest.resume_presence(
         ingest.keep_first(ingest.normalise(ours)), resumes.select(*KEY).distinct()
     )
@@ -105,7 +128,8 @@ def run_parse(
     """Read queued resumes, keep useful texts, update the state, return the summary.
 
     Either ``readers`` decode the stored contents, or ``readings`` (role, candidate_id,
-    text, extractor, error) come from a decoder outside.
+    text, extractor, error) come from a decoder outside; of several readings of a key the
+    largest is taken, a text before none.
     """
     before, label = current_state(store), _label(store)
     queued = state.queue(before, "parse")
@@ -114,7 +138,8 @@ def run_parse(
             queued, store.read("resumes"), list(readers or extract.PDF_READERS)
         )
     else:
-        results = extract.parse_results(queued, readings)
+        one = readings.groupBy(*KEY).agg(F.max(F.struct("text", "extractor", "error")).alias("_one"))
+        results = extract.parse_results(queued, one.select(*KEY, "_one.*"))
     results = store.append_run("texts", extract.with_length(results), label, aligned=readings is None)
     after = state.apply_events(before, extract.parse_events(results), as_of)
     store.write("state", after, aligned=True)
@@ -125,6 +150,13 @@ def _label(store: Store) -> str:
     return f"s{store.versions('state')[-1]:08d}"
 
 
+def _fingerprint(prefixes: DataFrame, *settings) -> str:
+    """Tells runs apart whose rubrics, job texts or settings differ."""
+    row = F.to_json(F.struct("*"))
+    seen = prefixes.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(row)), F.sum(F.crc32(row))).first()
+    return hashlib.sha256(json.dumps([*seen, *settings]).encode()).hexdigest()[:16]
+
+
 @dataclass(frozen=True)
 class ScoreSettings:
     mode: str = "single"
@@ -158,6 +190,8 @@ def run_score(
     """
     if not checked:
         rubric.check(rubrics)
+    # A repeated key in an answer keeps its last value.
+    store.spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     before = current_state(store)
     if settings.retry_failed and state.retry_count(before):
         store.write("state", state.retry_reset(before, as_of), aligned=True)
@@ -175,7 +209,10 @@ def run_score(
 
 def _stage(store, stage, queue, scorer, prefixes, settings, as_of) -> DataFrame:
     full, single = stage != "knockout", stage == "single"
-    before, label = current_state(store), _label(store)
+    before = current_state(store)
+    # Saved answers are taken up again only by a run that would ask the same.
+    asked = (stage, scorer.dialect, scorer.model, scorer.thinking, settings.strict_ids, settings.strict_metadata)
+    label = f"{_label(store)}-{_fingerprint(prefixes, *asked)}"
     metadata, columns = _metadata(store, settings.strict_metadata)
     if store.exists("texts"):
         texts = extract.useful(store.read("texts"))

@@ -1,7 +1,12 @@
 """Versioned Parquet tables keyed by (role, candidate_id).
 
 ``<root>/<table>/v=<n>`` is written in full and becomes current when Spark's job commit
-leaves its ``_SUCCESS`` file; older versions stay for readers that still use them.
+leaves its ``_SUCCESS`` file; older versions stay for readers that still use them. Appended
+rows get a folder of their own, ``v=<n>-<part>``, with its own ``_SUCCESS``: an append that
+was interrupted is never seen. A read is the union of a version and its committed parts.
+
+Bucket count and schema are kept beside each version. A store opened with another bucket
+count reads and appends in the stored layout, and only new versions take the new one.
 
 With ``buckets`` the tables are hash-bucketed and sorted on the key. Tables with the same
 bucket count then join on the key without an exchange, so the wide text and answer tables
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,11 +56,21 @@ class Store:
         found = []
         for entry in fs.listStatus(folder):
             name = entry.getPath().getName()
-            done, marker = self._fs_path(f"{self.root}/{table}/{name}/_SUCCESS")
-            if name.startswith("v=") and done.exists(marker):
+            if name.startswith("v=") and "-" not in name and self._committed(f"{self.root}/{table}/{name}"):
                 found.append(int(name[2:]))
         return sorted(found)
 
+    def _committed(self, path: str) -> bool:
+        fs, marker = self._fs_path(f"{path}/_SUCCESS")
+        return fs.exists(marker)
+
+    def _parts(self, base: str) -> list[str]:
+        """Folders of the rows appended to a version, committed or not."""
+        fs, folder = self._fs_path(base.rpartition("/")[0])
+        names = [e.getPath().getName() for e in fs.listStatus(folder)]
+        prefix = base.rpartition("/")[2] + "-"
+        return sorted(f"{base.rpartition('/')[0]}/{n}" for n in names if n.startswith(prefix))
+
     def exists(self, table: str) -> bool:
         return bool(self.versions(table))
 
@@ -64,16 +80,16 @@ class Store:
         used = [0]
         if fs.exists(folder):
             names = [e.getPath().getName() for e in fs.listStatus(folder)]
-            used += [int(n[2:]) for n in names if n.startswith("v=")]
+            used += [int(n[2:]) for n in names if n.startswith("v=") and "-" not in n]
         return f"{self.root}/{table}/v={max(used) + 1:08d}"
 
     # -- tables -----------------------------------------------------------------------
-    def _bucketed(self, path: str, schema: T.StructType) -> bool:
+    def _buckets_for(self, path: str, schema: T.StructType) -> int | None:
         table = path[len(self.root) + 1 :].rpartition("/")[0]
-        return bool(self.buckets) and set(KEY) <= set(schema.names) and table not in RAW_TABLES
+        return self.buckets if set(KEY) <= set(schema.names) and table not in RAW_TABLES else None
 
-    def _name(self, path: str) -> str:
-        return "candrank_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+    def _name(self, path: str, buckets: int) -> str:
+        return "candrank_" + hashlib.sha256(f"{path}|{buckets}".encode()).hexdigest()[:24]
 
     def write(self, table: str, df: DataFrame, aligned: bool = False) -> DataFrame:
         """Write a new version and return it.
@@ -83,25 +99,37 @@ class Store:
         a shuffle: rows that come otherwise still reach their bucket, in more files.
         """
         path = self._next(table)
+        buckets = self._buckets_for(path, df.schema) or None
         # The schema is kept beside the data: an empty version has no file to infer from,
         # and a partition value such as "007" must stay text.
-        fs, note = self._fs_path(self._schema_path(path))
+        fs, note = self._fs_path(self._layout_path(path))
         out = fs.create(note, True)
-        out.write(df.schema.json().encode("utf-8"))
+        out.write(json.dumps({"schema": df.schema.jsonValue(), "buckets": buckets}).encode("utf-8"))
         out.close()
-        self._save(path, df, "errorifexists", aligned)
-        return self._open(path, df.schema)
+        self._save(path, df, aligned, buckets)
+        return self._open(path, df.schema, buckets)
 
-    def append(self, table: str, df: DataFrame, aligned: bool = False) -> DataFrame:
-        """Add rows to the current version, or start one. Returns the whole table."""
+    def append(self, table: str, df: DataFrame, aligned: bool = False, part: str | None = None) -> DataFrame:
+        """Add rows to the current version, or start one. Returns the whole table.
+
+        Rows appended under the name of a ``part`` are added once: where that part is
+        committed already, as when a batch is replayed, ``df`` is not computed.
+        """
         known = self.versions(table)
         if not known:
-            return self.write(table, df, aligned)
-        path = f"{self.root}/{table}/v={known[-1]:08d}"
-        schema = self.read(table).schema
-        self._save(path, df.select(*map(named, schema.names)), "append", aligned)
-        self.spark.catalog.refreshByPath(path)
-        return self._open(path, schema)
+            first = self.write(table, df if part is None else df.limit(0), aligned)
+            if part is None:
+                return first
+            known = self.versions(table)
+        base = f"{self.root}/{table}/v={known[-1]:08d}"
+        schema, buckets = self._layout(base)
+        used = self._parts(base)
+        numbers = [int(p.rpartition("-")[2]) for p in used if p.rpartition("-")[2].isdigit()]
+        named_part = f"{max(numbers, default=0) + 1:06d}" if part is None else f"{part}.part"
+        path = f"{base}-{named_part}"
+        if not self._committed(path):
+            self._save(path, df.select(*map(named, schema.names)), aligned, buckets)
+        return self.read(table)
 
     def append_new(self, table: str, df: DataFrame) -> DataFrame:
         """Append rows whose key the table does not hold yet."""
@@ -127,17 +155,18 @@ class Store:
         """Write ``df`` unless an interrupted run already did; nothing is computed then."""
         return self.read(table) if self.exists(table) else self.write(table, df)
 
-    def _save(self, path: str, df: DataFrame, mode: str, aligned: bool) -> None:
-        if self._bucketed(path, df.schema):
-            name = self._name(path)
-            placed = df if aligned else df.repartition(self.buckets, *KEY)
+    def _save(self, path: str, df: DataFrame, aligned: bool, buckets: int | None) -> None:
+        # What an interrupted attempt left under a part's name was never seen.
+        mode = "overwrite" if path.endswith(".part") else "errorifexists"
+        if buckets:
+            placed = df if aligned and buckets == self.buckets else df.repartition(buckets, *KEY)
             (
                 placed.write.format("parquet")
                 .mode(mode)
-                .bucketBy(self.buckets, *KEY)
+                .bucketBy(buckets, *KEY)
                 .sortBy(*KEY)
                 .option("path", path)
-                .saveAsTable(name)
+                .saveAsTable(self._name(path, buckets))
             )
         elif "role" in df.columns:
             table = path[len(self.root) + 1 :].rpartition("/")[0]
@@ -146,28 +175,30 @@ class Store:
         else:
             df.write.mode(mode).parquet(path)
 
-    def _schema_path(self, path: str) -> str:
+    def _layout_path(self, path: str) -> str:
         return f"{self.root}/_schema{path[len(self.root):]}.json"
 
-    def _schema(self, path: str) -> T.StructType:
-        fs, note = self._fs_path(self._schema_path(path))
+    def _layout(self, path: str) -> tuple[T.StructType, int | None]:
+        """Schema and bucket count; a note without the count is read without buckets."""
+        fs, note = self._fs_path(self._layout_path(path))
         source = fs.open(note)
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
         finally:
             source.close()
-        return T.StructType.fromJson(json.loads(text))
+        found = json.loads(text)
+        return T.StructType.fromJson(found.get("schema", found)), found.get("buckets")
 
-    def _open(self, path: str, schema: T.StructType) -> DataFrame:
-        if not self._bucketed(path, schema):
+    def _open(self, path: str, schema: T.StructType, buckets: int | None) -> DataFrame:
+        if not buckets:
             return self.spark.read.schema(schema).parquet(path).select(*map(named, schema.names))
-        name = self._name(path)
+        name = self._name(path, buckets)
         if not self.spark.catalog.tableExists(name):
             columns = ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in schema)
             keys = ", ".join(KEY)
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
-                f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS "
+                f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS "
                 f"LOCATION '{path}'"
             )
         return self.spark.table(name)
@@ -176,5 +207,7 @@ class Store:
         known = self.versions(table)
         if not known or (version is not None and version not in known):
             raise FileNotFoundError(f"no committed version of {table} under {self.root}")
-        path = f"{self.root}/{table}/v={version or known[-1]:08d}"
-        return self._open(path, self._schema(path))
+        base = f"{self.root}/{table}/v={version or known[-1]:08d}"
+        schema, buckets = self._layout(base)
+        parts = [p for p in self._parts(base) if self._committed(p)]
+        return reduce(DataFrame.unionAll, [self._open(p, schema, buckets) for p in (base, *parts)])

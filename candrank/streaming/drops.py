@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,12 +51,13 @@ def ingest_stream(stream: DataFrame, resumes, store: Store, as_of_batch, checkpo
 
     ``resumes()`` gives the keys that have a file at that moment and ``as_of_batch(n)``
     the batch's clock. A batch that is replayed after a failure upserts the same rows
-    again, which changes nothing.
+    again and keeps its raw rows once, which changes nothing.
     """
+    origin = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def each(batch: DataFrame, number: int) -> None:
         rows = _with_sequence(batch, number)
-        run_ingest(store, rows, resumes(), as_of_batch(number), accumulate=True)
+        run_ingest(store, rows, resumes(), as_of_batch(number), accumulate=True, batch=f"{origin}.{number:08d}")
 
     return (
         stream.writeStream.foreachBatch(each)

@@ -6,11 +6,16 @@ from pyspark.sql import functions as F
 
 from catalog.base import AS_OF, BLANKS, PRESENT, RAW, duck, select
 from candrank.operators import ingest
+from candrank.plans.run import run_ingest
 from candrank.plans.scratch import new_path
 from candrank.sources.candidates import read_candidates
 from candrank.sources.store import Store
 from candrank.streaming.drops import candidate_stream, ingest_stream
 
+_KEYED = """
+SELECT 'r' || (doc_id % 5) AS role, 'c' || doc_id AS candidate_id, doc_id, source, lang FROM {documents}
+"""
+
 _CLEAN = duck(f"""
 raw AS ({RAW}),
 clean AS (
@@ -110,6 +115,43 @@ def incremental_ingest(spark, sf):
     )
 
 
+def store_reopened(spark, sf):
+    """Written with 8 buckets, reopened with 16, appended to and joined on the key."""
+    rows = select(spark, sf, _KEYED)
+    root = new_path(spark, "reopened")
+    Store(spark, root, 8).write("left", rows.filter("doc_id % 3 > 0").select("role", "candidate_id", "source"))
+    store = Store(spark, root, 16)
+    left = store.append("left", rows.filter("doc_id % 3 = 0").select("role", "candidate_id", "source"))
+    right = store.write("right", rows.select("role", "candidate_id", "lang"))
+    return left.join(right.hint("merge"), ["role", "candidate_id"])
+
+
+def store_partial_append(spark, sf):
+    """An append whose commit was cut off is not seen, and is repeated in full."""
+    rows = select(spark, sf, _KEYED).select("role", "candidate_id", "source")
+    store = Store(spark, new_path(spark, "torn"))
+    store.write("runs", rows.filter("role < 'r3'").withColumn("run", F.lit("first")))
+    torn = rows.filter("role = 'r3'").withColumn("run", F.lit("second"))
+    torn.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", False).partitionBy("role").parquet(
+        f"{store.root}/runs/v=00000001-000001"
+    )
+    store.append_run("runs", rows.filter("role >= 'r3'"), "second")
+    return store.read("runs")
+
+
+def reingest_state(spark, sf):
+    """Two ingests: some resume files vanish, the others change; states and kept contents."""
+    raw = select(spark, sf, RAW)
+    store = Store(spark, new_path(spark, "reingest"), 8)
+    present = select(spark, sf, PRESENT)
+    still = present.filter("cast(substr(candidate_id, 2) AS bigint) % 2 = 0")
+    for label, files in (("first", present), ("second", still)):
+        run_ingest(store, raw, files.withColumn("content", F.lit(label).cast("binary")), AS_OF)
+    contents = store.read("resumes").select("role", "candidate_id", F.col("content").cast("string").alias("resume"))
+    state = store.read("state").select("role", "candidate_id", "status")
+    return state.join(contents, ["role", "candidate_id"], "left")
+
+
 QUERIES = {
     "blank_normalise": (
         blank_normalise,
@@ -156,4 +198,18 @@ QUERIES = {
                CASE WHEN has_resume THEN 'ok' ELSE 'no_resume' END AS status
         FROM arrived""",
     ),
+    "store_reopened": (store_reopened, duck(f"SELECT role, candidate_id, source, lang FROM ({_KEYED})")),
+    "store_partial_append": (
+        store_partial_append,
+        duck(f"""SELECT role, candidate_id, source, CASE WHEN role < 'r3' THEN 'first' ELSE 'second' END AS run
+        FROM ({_KEYED})"""),
+    ),
+    "reingest_state": (
+        reingest_state,
+        f"""WITH {_CLEAN}
+        SELECT role, candidate_id,
+               CASE WHEN has_resume AND even THEN 'ok' ELSE 'no_resume' END AS status,
+               CASE WHEN has_resume AND even THEN 'second' WHEN has_resume THEN 'first' END AS resume
+        FROM (SELECT *, cast(substr(candidate_id, 2) AS bigint) % 2 = 0 AS even FROM arrived)""",
+    ),
 }

@@ -18,7 +18,8 @@ CHECKED = (
     "state_transitions retry_reset queue_parse meta_upsert page_assembly tiered_extract parse_summary "
     "invalid_utf8_drop rubric_violations rubric_block prompt_build request_command parse_chat "
     "parse_envelope attempts_resolved validate_full validate_knockout two_stage_outcome "
-    "rank_full_by_runs rank_top_n rank_bundle ranked_files"
+    "rank_full_by_runs rank_top_n rank_bundle ranked_files "
+    "store_reopened store_partial_append reingest_state"
 ).split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are absent")

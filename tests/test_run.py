@@ -2,13 +2,14 @@
 
 import csv
 import json
+import os
 
 import pytest
 
 from candrank.operators import extract, ranking, requests, scoring, state
 from candrank.operators.scoring import Scorer
 from candrank.plans import run
-from candrank.sources.candidates import read_candidates
+from candrank.sources.candidates import IngestError, read_candidates
 from candrank.sources.resumes import resume_contents
 from candrank.sources.rubrics import rubric_row
 from candrank.sources.store import Store
@@ -198,7 +199,8 @@ def test_bucketed_stages_move_no_rows(spark, tmp_path):
         reading = extract.parse_files(state.queue(now, "parse"), store.read("resumes"), [("p", reader)])
         after = state.apply_events(now, scoring.score_events(results, True, True), AS_OF)
         rows = ranking.scored_candidates(now, scoring.latest_documents(results), metadata)
-        answers = store.read("attempts/s00000002-single-1")
+        (attempt,) = (tmp_path / "store/attempts").glob("s00000002-*-single-1")
+        answers = store.read(f"attempts/{attempt.name}")
         checked = scoring.outcomes(scoring.readiness(queued, texts), scoring.resolve(answers), True, True)
         for df in (blocks, reading, after, rows, checked, state.upsert(now, store.read("arrived"), AS_OF)):
             assert exchanges(df) == 0
@@ -262,7 +264,8 @@ def test_resume_changes_nothing_and_fresh_is_refused(spark, tmp_path):
         run.run_all(store, "x", AS_OF, None, None, SCORER, fresh=True)
 
 
-def test_interrupted_stage_reuses_saved_answers(spark, tmp_path):
+@pytest.mark.parametrize("changed", [None, "model", "rubric"])
+def test_interrupted_stage_reuses_saved_answers(spark, tmp_path, changed):
     inputs(tmp_path)
     store = Store(spark, str(tmp_path / "store"))
     run.run_ingest(
@@ -287,10 +290,45 @@ def test_interrupted_stage_reuses_saved_answers(spark, tmp_path):
     with pytest.raises(OSError):
         run.run_score(store, rubrics, jobs, SCORER, AS_OF, settings=settings)
     assert statuses(store)["c1"] == "ok"
-    broken = Scorer("chat_completion", "m", lambda r: 1 / 0)
-    summary = run.run_score(store, rubrics, jobs, broken, AS_OF, settings=settings)
+    answered = str(tmp_path / ("again" if changed else "same"))
+    other = Scorer("chat_completion", "other" if changed == "model" else "m", counting(answered))
+    if changed == "rubric":
+        rubrics = rubric_row(spark, {**RUBRIC, "role": "Other"}, "eng")
+    summary = run.run_score(store, rubrics, jobs, other, AS_OF, settings=settings)
     assert summary.first().stage2_scored == 2
     assert statuses(store)["c1"] == "scored"
+    assert os.path.exists(answered) == bool(changed)
+
+
+def counting(path):
+    def call(request):
+        open(path, "a").close()
+        return answer(request)
+
+    return call
+
+
+def test_second_ingest_follows_the_folder(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), 4)
+    raw = spark.createDataFrame([("eng", "a", 1), ("eng", "b", 2), ("eng", "c", 3)], "role string, candidate_id string, ingest_seq int")
+
+    def files(*rows):
+        return spark.createDataFrame([("eng", k, bytearray(v, "utf-8")) for k, v in rows], "role string, candidate_id string, content binary")
+
+    run.run_ingest(store, raw, files(("a", "old"), ("b", "kept"), ("b", "kep")), AS_OF)
+    assert statuses(store) == {"a": "ok", "b": "ok", "c": "no_resume"}
+    run.run_ingest(store, raw, files(("a", "new")), AS_OF)
+    assert statuses(store) == {"a": "ok", "b": "no_resume", "c": "no_resume"}
+    assert {r.candidate_id: bytes(r.content) for r in store.read("resumes").collect()} == {"a": b"new", "b": b"kept"}
+    blank = spark.createDataFrame([(None, "x", 1)], raw.schema)
+    with pytest.raises(IngestError):
+        run.run_ingest(store, blank, files(), AS_OF)
+    readings = spark.createDataFrame(
+        [("eng", "a", None, None, "bad"), ("eng", "a", long("OK 3"), "p", None)],
+        "role string, candidate_id string, text string, extractor string, error string",
+    )
+    run.run_parse(store, AS_OF, readings=readings)
+    assert store.read("state").count() == 3
 
 
 def test_mode_is_validated():

@@ -53,6 +53,32 @@ def test_append_only_new_keys(spark, tmp_path, buckets):
     assert store.once("u", keyed(spark, 99)).count() == 2 and not called
 
 
+@pytest.mark.parametrize("first, then", [(4, 8), (None, 4), (4, None)])
+def test_reopened_with_another_layout(spark, tmp_path, first, then):
+    root = str(tmp_path / "s")
+    Store(spark, root, first).write("a", keyed(spark, 300, n=F.lit(1)))
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("candrank_")]:
+        spark.sql(f"DROP TABLE {name}")  # external: a new session knows the files only
+    store = Store(spark, root, then)
+    store.append("a", keyed(spark, 400).filter("substr(candidate_id, 2) >= 300").withColumn("n", F.lit(2)), True)
+    right = store.write("b", keyed(spark, 400, m=F.lit(1)))
+    assert store.read("a").join(right.hint("merge"), ["role", "candidate_id"]).count() == 400
+
+
+@pytest.mark.parametrize("buckets", [None, 4])
+def test_torn_and_repeated_appends(spark, tmp_path, buckets):
+    store = Store(spark, str(tmp_path / "s"), buckets)
+    store.append_run("t", keyed(spark, 3), "r1")
+    torn = tmp_path / "s" / "t" / "v=00000001-000001"
+    keyed(spark, 1).withColumn("run", F.lit("r2")).write.parquet(str(torn))
+    (torn / "_SUCCESS").rename(torn / "gone")
+    assert store.read("t").count() == 3
+    assert store.append_run("t", keyed(spark, 5), "r2").count() == 5
+    for _ in range(2):
+        store.append("u", keyed(spark, 6), part="b0")
+    assert store.append("u", keyed(spark, 2), part="b1").count() == 8
+
+
 def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), 4)
     left = store.write("l", keyed(spark, 100, n=F.lit(1)))
