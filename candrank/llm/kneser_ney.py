@@ -42,8 +42,9 @@ from candrank.llm.bpe import restored, squeezed
 from candrank.llm.common import FOLD, blocks_for
 from candrank.plans.scratch import new_path
 
-BLOCK_CHARS = 12_000_000
-PART_CHARS = 10_000_000
+BLOCK_CHARS = 16_000_000
+PART_CHARS = 16_000_000
+UNIT = 2.0**24  # of the sums of log10 that parts hand on; whole numbers add up alike in any order
 HOT_SHARE = 0.005
 SPLIT = 16
 ORDER_DISCOUNT = 0.75
@@ -160,11 +161,11 @@ def vocabulary(read: DataFrame, block_chars: int, parts: int) -> DataFrame:
             for p in np.unique(part):
                 at = part == p
                 yield pa.RecordBatch.from_pydict(
-                    {"part": [int(p)], "words": [own[at].tobytes()], "counts": [squeezed(count[at])]}
+                    {"part": [int(p)], "words": [_sorted_packed(own[at])], "counts": [squeezed(count[at])]}
                 )
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["words"]])
+        w = np.concatenate([_sorted_unpacked(x) for x in pdf["words"]])
         n = np.concatenate([restored(x) for x in pdf["counts"]]).astype(np.int64)
         own, at = np.unique(w, return_inverse=True)
         total = np.bincount(at, weights=n).astype(np.int64)
@@ -413,7 +414,8 @@ def perplexity_scores(
         for a, z in zip(starts, [*starts[1:], len(block)], strict=True):
             logs, base, known, tokens = (x[a:z] for x in sums)
             counts = np.stack([np.diff(place[a:z], prepend=0), np.rint(known), np.rint(tokens)])
-            out.append((int(block[a]), logs.tobytes(), base.tobytes(), squeezed(counts.ravel())))
+            units = [_packed(np.rint(-x * UNIT).astype(np.int64)) for x in (logs, base)]
+            out.append((int(block[a]), *units, squeezed(counts.ravel())))
         return pd.DataFrame(out, columns=["block", "logs", "base", "counts"])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,24 +434,24 @@ def perplexity_scores(
 
     def together(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("place")
-        whole = np.zeros((4, len(own)))
+        whole = np.zeros((4, len(own)), np.int64)
         for row in found.itertuples():
             place, known, tokens = restored(row.counts).reshape(3, -1)
             # A place occurs once in a part's row.
             whole[:, np.cumsum(place.astype(np.int64))] += np.stack(
-                [np.frombuffer(row.logs), np.frombuffer(row.base), known, tokens]
+                [_unpacked(row.logs).view(np.int64), _unpacked(row.base).view(np.int64), known, tokens]
             )
-        if not np.array_equal(np.rint(whole[3]), own["n_tokens"].to_numpy()):
+        if not np.array_equal(whole[3], own["n_tokens"].to_numpy()):
             raise ValueError("the documents were read in different blocks")
         return pd.DataFrame(
             {
                 "doc_id": own["doc_id"].astype("Int64"),
                 "held_out": own["held_out"].to_numpy(),
                 "n_tokens": own["n_tokens"].to_numpy(),
-                "n_known": np.rint(whole[2]).astype("int64"),
+                "n_known": whole[2],
                 "train_tokens": total,
-                "base_score": whole[1],
-                "score": whole[0],
+                "base_score": whole[1] / -UNIT,
+                "score": whole[0] / -UNIT,
             }
         )
 
