@@ -85,8 +85,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, penalty: float
     w, before = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for k in range(steps):
         v = w + k / (k + 3) * (w - before)
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        before, w = w, v - rate * (x.T @ (share * (p - (y > 0))) + penalty * v)
+        # Products in the type of the features, so that no step copies them all.
+        p = 1 / (1 + np.exp(-np.clip((x @ v.astype(x.dtype)).astype(float), -30, 30)))
+        slope = x.T @ (share * (p - (y > 0))).astype(x.dtype)
+        before, w = w, v - rate * (slope.astype(float) + penalty * v)
     return w
 
 
@@ -118,7 +120,7 @@ def co_train(
             at = np.flatnonzero(free)
             if len(at) < 4 * sure:
                 break
-            order = at[np.argsort(other[me][at] @ weights[me])]
+            order = at[np.argsort((other[me] @ weights[me].astype(other[me].dtype))[at])]
             # As many of each kind as the labels have.
             bad = max(1, int(sure * (y <= 0).mean()))
             chosen = np.r_[order[:bad], order[-(sure - bad) :]]
@@ -175,9 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
         rows.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).drop("__id")
     ).dropDuplicates(["doc_id"])
     got = sorted(sample.collect(), key=lambda r: r.doc_id)
-    t = np.stack([np.frombuffer(r.t, np.float32) for r in got]).astype(np.float64) if got else None
-    m = np.stack([np.frombuffer(r.m, np.float32) for r in got]).astype(np.float64) if got else None
+    t, m = (
+        np.stack([np.frombuffer(r[c], np.float32) for r in got]) if got else None for c in ("t", "m")
+    )
     y = np.array([np.nan if r.y is None else float(r.y) for r in got])
+    del got
     known = np.flatnonzero(~np.isnan(y))
     if not len(known) or len(set(y[known] > 0)) < 2:
         return None
