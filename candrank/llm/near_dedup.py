@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candrank.llm.common import FOLD, rows_kept, written
+from candrank.plans.joins import fits
 
 WORDS = 4
 PERCENT = 80
@@ -169,7 +170,9 @@ def _near(pairs: DataFrame, nodes: DataFrame, most: int, percent: int) -> DataFr
 
 def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(n, own): the full sets of the nodes wanted."""
-    wanted = nodes.join(wanted.distinct(), "n", "left_semi").select("node", "n", "first_id")
+    wanted = written(
+        nodes.join(wanted.distinct(), "n", "left_semi").select("node", "n", "first_id"), "wanted"
+    )
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingled = Shingles(words)
@@ -180,7 +183,9 @@ def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
             )
 
     text = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text")
-    first = wanted.select("first_id").filter("first_id is not null").distinct()
+    first = wanted.select("first_id").filter("first_id is not null")
+    # Ids of a measured size come to the texts; beyond it the texts are dealt by id.
+    first = F.broadcast(first) if fits(first) else first
     read = text.join(first, "first_id", "left_semi").union(text.filter("first_id is null"))
     # A repeated id can have another text, so sets are found by their digest.
     return (
