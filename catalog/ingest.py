@@ -152,7 +152,37 @@ def reingest_state(spark, sf):
     return state.join(contents, ["role", "candidate_id"], "left")
 
 
+def run_summary(spark, sf):
+    """The summary of the whole ingest stage, with the columns it does not know."""
+    store = Store(spark, new_path(spark, "summary"), 8)
+    return run_ingest(store, select(spark, sf, RAW), select(spark, sf, PRESENT), AS_OF)
+
+
+def input_retained(spark, sf):
+    """All rows ingested, then two of the roles again: their raw rows are replaced, the others stay."""
+    raw, present = select(spark, sf, RAW), select(spark, sf, PRESENT)
+    store = Store(spark, new_path(spark, "retained"))
+    run_ingest(store, raw, present, AS_OF)
+    again = raw.filter("role < 'r2'").withColumn("notes", F.lit("second"))
+    run_ingest(store, again, present, AS_OF)
+    return store.read("candidates").select("role", "ingest_seq", "candidate_id", "notes")
+
+
 QUERIES = {
+    "run_summary": (
+        run_summary,
+        f"""WITH {_CLEAN}
+        SELECT role, count(*) AS ingested, count(*) FILTER (has_resume) AS with_resume,
+               count(*) FILTER (NOT has_resume) AS without_resume,
+               cast(sum(duplicates) AS bigint) AS duplicates_skipped,
+               'notes, profile_url' AS unknown_columns
+        FROM arrived GROUP BY role""",
+    ),
+    "input_retained": (
+        input_retained,
+        duck(f"""SELECT role, ingest_seq, candidate_id, CASE WHEN role < 'r2' THEN 'second' ELSE notes END AS notes
+        FROM ({RAW})"""),
+    ),
     "blank_normalise": (
         blank_normalise,
         f"WITH {_CLEAN} SELECT * FROM clean WHERE candidate_id <> ''",

@@ -23,11 +23,12 @@ from candrank.operators import extract, requests, rubric
 
 
 def page_assembly(spark, sf, block=extract.PAGES_PER_BLOCK):
-    pages = table(spark, sf, "conversations").select(
-        "conv_id",
-        F.col("turn").alias("page"),
-        F.when(F.col("turn") % 3 == 2, "").otherwise(F.col("text")).alias("text"),
+    """Every turn is a page, followed by an empty one."""
+    page = F.col("turn") * 2
+    both = F.array(
+        F.struct(page.alias("page"), "text"), F.struct((page + 1).alias("page"), F.lit("").alias("text"))
     )
+    pages = table(spark, sf, "conversations").select("conv_id", F.inline(both))
     return extract.assemble_pages(pages, ["conv_id"], block)
 
 
@@ -76,18 +77,20 @@ SELECT 'r' || (d.doc_id % 5) AS role, 'c' || d.doc_id AS candidate_id, d.text AS
        'first' AS extractor, CASE WHEN l.toxic = 1 THEN d.text END AS error
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id
 """
+_PARSE_ALL = _PARSE.replace("JOIN {labels}", "LEFT JOIN {labels}")
 
 
-def _parse_results(spark, sf):
-    return extract.parse_results(select(spark, sf, PEOPLE), select(spark, sf, _PARSE))
+def _parse_results(spark, sf, readings):
+    return extract.parse_results(select(spark, sf, PEOPLE), select(spark, sf, readings))
 
 
 def parse_events(spark, sf):
-    return extract.parse_events(_parse_results(spark, sf))
+    return extract.parse_events(_parse_results(spark, sf, _PARSE_ALL))
 
 
 def parse_summary(spark, sf):
-    return extract.parse_summary(_parse_results(spark, sf))
+    """Readings of the labelled documents; the others are skipped."""
+    return extract.parse_summary(_parse_results(spark, sf, _PARSE))
 
 
 def invalid_utf8_drop(spark, sf):
@@ -153,14 +156,12 @@ def rubric_block(spark, sf):
     return every.select("title", block.alias("block"))
 
 
-def _queued_requests(spark, sf):
+_TEXTS = "SELECT 'r' || (doc_id % 5) AS role, 'c' || doc_id AS candidate_id, text FROM {documents}"
+
+
+def _queued_requests(spark, sf, texts_sql):
     people = select(spark, sf, PEOPLE)
-    texts = spark.sql(
-        """SELECT 'r' || (doc_id % 5) AS role, 'c' || doc_id AS candidate_id, text
-           FROM {documents} JOIN {labels} USING (doc_id)""",
-        documents=table(spark, sf, "documents"),
-        labels=table(spark, sf, "labels"),
-    )
+    texts = select(spark, sf, texts_sql)
     blocks = requests.candidate_blocks(people, texts, people, PEOPLE_COLUMNS)
     prefixes = requests.role_prefixes(rubrics(spark, sf), select(spark, sf, JOBS))
     return blocks, prefixes
@@ -168,7 +169,7 @@ def _queued_requests(spark, sf):
 
 def prompt_build(spark, sf):
     """Prefix and block of every candidate; a candidate without text is to be skipped."""
-    blocks, prefixes = _queued_requests(spark, sf)
+    blocks, prefixes = _queued_requests(spark, sf, f"{_TEXTS} JOIN {{labels}} USING (doc_id)")
     prompt = F.concat("prefix", F.lit("\n\n"), "block")
     return requests.with_prefix(blocks, prefixes).select(
         "role",
@@ -195,7 +196,7 @@ _SCHEMA_PATH = {
 
 def request(layout, spark, sf):
     """Request bodies, read back as JSON: user text, model and the schema's id lists."""
-    blocks, prefixes = _queued_requests(spark, sf)
+    blocks, prefixes = _queued_requests(spark, sf, _TEXTS)
     ready = requests.with_prefix(blocks.filter(F.col("block").isNotNull()), prefixes)
     body = ready.withColumn("body", requests.request_json(layout, "m1")).withColumn(
         "v", F.parse_json("body")
@@ -213,19 +214,20 @@ def request(layout, spark, sf):
     )
 
 
-_LABELLED_BLOCKS = duck(f"""
+_BLOCKS = duck(f"""
 WITH {DUCK_PREFIX.strip()},
 people AS ({PEOPLE}),
 blocks AS (
   SELECT p.role, p.candidate_id,
          'CANDIDATE_ID: ' || p.candidate_id || chr(10) || '--- PROFILE METADATA ---' || chr(10)
          || {DUCK_BLOCK_META} || chr(10) || '--- RESUME TEXT ---' || chr(10) || d.text || chr(10) AS block
-  FROM people p LEFT JOIN (documents JOIN labels USING (doc_id)) d ON p.ingest_seq = d.doc_id)
+  FROM people p LEFT JOIN documents d ON p.ingest_seq = d.doc_id)
 """)
+_LABELLED_BLOCKS = _BLOCKS.replace("LEFT JOIN documents d", "LEFT JOIN (documents JOIN labels USING (doc_id)) d")
 
 
 def _request_sql(prompt: str) -> str:
-    return f"""{_LABELLED_BLOCKS}
+    return f"""{_BLOCKS}
     SELECT b.role, candidate_id, md5({prompt}) AS digest, 'm1' AS model,
            (SELECT string_agg(id, ',' ORDER BY nth) FROM items WHERE items.role = b.role) AS criterion_ids,
            cast(2 AS bigint) AS knockouts
@@ -242,26 +244,27 @@ _PROMPTS = {
     f" || '{C.COMMAND_TASK}'",
 }
 
-_PARSED = duck(f"""
-WITH people AS ({PEOPLE}), reading AS ({_PARSE}),
+_RESULTS = """
 results AS (
   SELECT p.role, p.candidate_id, r.error,
          CASE WHEN r.role IS NULL THEN 'skipped' WHEN r.error IS NOT NULL THEN 'failed'
               WHEN length(r.text) < 200 THEN 'unparseable' ELSE 'parsed' END AS outcome
   FROM people p LEFT JOIN reading r USING (role, candidate_id))
-""")
+"""
+_PARSED = duck(f"WITH people AS ({PEOPLE}), reading AS ({_PARSE}), {_RESULTS}")
+_PARSED_ALL = duck(f"WITH people AS ({PEOPLE}), reading AS ({_PARSE_ALL}), {_RESULTS}")
 
 QUERIES = {
     "page_assembly": (
         page_assembly,
         """SELECT conv_id, trim(coalesce(string_agg(text, chr(10) ORDER BY turn)
-             FILTER (turn % 3 <> 2 AND text <> ''), ''), chr(10) || ' ') AS text
+             FILTER (text <> ''), ''), chr(10) || ' ') AS text
            FROM conversations GROUP BY conv_id""",
     ),
     "page_assembly_blocks": (
         partial(page_assembly, block=3),
         """SELECT conv_id, trim(coalesce(string_agg(text, chr(10) ORDER BY turn)
-             FILTER (turn % 3 <> 2 AND text <> ''), ''), chr(10) || ' ') AS text
+             FILTER (text <> ''), ''), chr(10) || ' ') AS text
            FROM conversations GROUP BY conv_id""",
     ),
     "tiered_extract": (
@@ -285,7 +288,7 @@ QUERIES = {
     ),
     "parse_events": (
         parse_events,
-        _PARSED
+        _PARSED_ALL
         + """SELECT role, candidate_id, outcome AS event,
                CASE WHEN outcome = 'failed' THEN 'failed_parse' END AS failure_status,
                CASE WHEN outcome = 'failed' THEN left(error, 2000) END AS error
