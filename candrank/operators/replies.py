@@ -106,7 +106,9 @@ def _with_body(df: DataFrame, dialect: str) -> DataFrame:
     raw = F.col("_raw")
     start = F.greatest(F.instr(raw, "{"), F.lit(1))
     rest = F.when(F.endswith(raw, F.lit("}")), F.substr(raw, start))
-    both = V.with_json(V.with_json(df, "_whole", raw), "_rest", rest)
+    whole = V.with_json(df, "_whole", raw)
+    # Only an answer that is not JSON as a whole is cut and parsed again.
+    both = V.with_json(whole, "_rest", F.when(F.col("_whole").isNull(), rest))
     return both.withColumn("_body", F.coalesce("_whole", "_rest")).drop("_whole", "_rest")
 
 
