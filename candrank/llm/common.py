@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from candrank.plans.scratch import written
 
-__all__ = ["UPPER", "LOWER", "FOLD", "table", "text_of", "written", "blocks_for", "rows_kept"]
+__all__ = ["UPPER", "LOWER", "FOLD", "table", "text_of", "written", "blocks_for", "text_key", "rows_kept"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of a text's digest that are carried beside its id.
+KEY_BYTES = 16
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -27,13 +29,24 @@ def blocks_for(amount: int, each: int, least: int = 1) -> int:
     return max(least, -(-int(amount) // each))
 
 
-def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``; of repeated rows of an id one stays."""
-    stays = kept.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    chosen = docs.withColumn("__key", F.col("doc_id").cast("long")).join(
-        stays, F.col("__key").eqNullSafe(F.col("__id"))
+def text_key(column: str = "text") -> Column:
+    """Half of the SHA-256 of the text with A-Z folded; tells apart the texts of one id."""
+    return F.substring(F.unhex(F.sha2(F.translate(text_of(column), UPPER, LOWER), 256)), 1, KEY_BYTES)
+
+
+def rows_kept(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are in ``stays``, one of each.
+
+    ``stays`` has each (doc_id, text_key) once, with the number ``n`` of its rows.
+    """
+    stays = stays.select(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), F.col("n").alias("__n")
+    )
+    chosen = docs.withColumns({"__key": F.col("doc_id").cast("long"), "__own": text_key()}).join(
+        stays, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__text"))
     )
-    once = chosen.filter("__n = 1").drop("__key", "__id", "__n")
-    # Only rows that share an id are compared with each other.
-    more = chosen.filter("__n > 1").dropDuplicates(["__key"]).drop("__key", "__id", "__n")
+    added = ("__key", "__own", "__id", "__text", "__n")
+    once = chosen.filter("__n = 1").drop(*added)
+    # Only rows that share an id and a text are compared with each other.
+    more = chosen.filter("__n > 1").dropDuplicates(["__key", "__own"]).drop(*added)
     return once.unionByName(more)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candrank.llm.common import FOLD, rows_kept, written
+from candrank.llm.common import FOLD, KEY_BYTES, rows_kept, written
 
 FAN_BITS = 3
 RUN_ROWS = 50_000
@@ -77,8 +77,8 @@ def merge(runs: list[np.ndarray]) -> np.ndarray:
     if not len(items):
         return items
     words = np.frombuffer(items["digest"].tobytes(), ">u8").reshape(-1, 4)
-    # The largest id first within a digest.
-    order = np.lexsort((-items["id"], words[:, 3], words[:, 2], words[:, 1], words[:, 0]))
+    # The largest id first within a digest; the complement turns the order of all of them.
+    order = np.lexsort((~items["id"], words[:, 3], words[:, 2], words[:, 1], words[:, 0]))
     items, words = items[order], words[order]
     first = np.r_[True, (words[1:] != words[:-1]).any(axis=1)]
     group = np.cumsum(first) - 1
@@ -183,5 +183,7 @@ def exact_dedup(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; of repeated rows one stays."""
-    return rows_kept(docs, written(exact_dedup(docs, run_rows), "kept").filter("kept"))
+    """The rows of ``docs`` that stay, with their columns: one row of each text."""
+    found = written(exact_dedup(docs, run_rows), "kept").filter("kept")
+    key = F.unhex(F.left("text_sha256", F.lit(2 * KEY_BYTES))).alias("text_key")
+    return rows_kept(docs, found.groupBy("doc_id", key).agg(F.count(F.lit(1)).alias("n")))

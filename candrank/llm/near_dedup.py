@@ -12,10 +12,10 @@ again: the nodes outside its largest component meet all its other nodes, in bloc
 sketches and full sets are compared there until one link to each other component is found. So
 no link between components is missed, and a band of copies costs one pair per copy.
 
-Defined results: no words: an empty set, linked with nothing; repeated rows of a doc_id are one
-node and share their component; a null doc_id takes part but is never a component's id, so a
-component of null ids has a null id and keeps its rows; an empty table gives no rows; further
-columns are not read.
+Defined results: no words: an empty set, linked with nothing; repeated rows of a doc_id with the
+same set are one node, and an id with texts of different sets is as many nodes; a null doc_id takes
+part but is never a component's id, so a component of null ids has a null id and keeps its rows; an
+empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candrank.llm.common import FOLD, rows_kept, written
+from candrank.llm.common import FOLD, KEY_BYTES, rows_kept, written
 from candrank.plans.joins import fits
 
 WORDS = 4
@@ -44,8 +44,10 @@ SMALL = 32
 #: Nodes of a larger band that are in one task, besides those that look for links.
 BLOCK = 512
 _P = 0xFFFFFFFFFFFFFFC5
-_SET = "doc_id long, node binary, n_shingles long, bands array<long>, sketch array<long>"
-#: Numbers of nodes whose documents have no id begin here.
+_SET = (
+    "doc_id long, text_key binary, node binary, n_shingles long, bands array<long>, sketch array<long>"
+)
+#: Numbers of nodes whose documents have no id, or share theirs with another node, begin here.
 NO_ID = 2**62
 
 
@@ -115,14 +117,16 @@ def differing(k: int, percent: float, bits: int = BITS) -> int:
 
 
 def sets(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: doc_id, a digest of its set, the set's size, band keys and odd sketch."""
+    """Per row: doc_id, text_key, a digest of its set, the set's size, band keys and odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingles(words)
         salt = np.arange(bands, dtype=np.uint64)
         for batch in batches:
-            out = []
+            out, keys_of_texts = [], []
             for value in batch.column(1):
+                raw = (value.as_py() or "").encode().translate(FOLD)
+                keys_of_texts.append(hashlib.sha256(raw).digest()[:KEY_BYTES])
                 own = shingled(value.as_py())
                 if not len(own):
                     out.append((b"", 0, [], []))
@@ -143,12 +147,13 @@ def sets(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    pa.array(keys_of_texts, pa.binary()),
                     pa.array(node, pa.binary()),
                     pa.array(size, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(sketch, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "node", "n_shingles", "bands", "sketch"],
+                names=["doc_id", "text_key", "node", "n_shingles", "bands", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SET)
@@ -247,7 +252,17 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
         edges = after
 
 
-def link(
+def link(docs: DataFrame, **settings) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest reachable doc_id), kept."""
+    return _linked(docs, **settings).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _measured(df: DataFrame) -> DataFrame:
+    """``df`` as the small side of a join where its measured size allows it."""
+    return F.broadcast(df) if fits(df) else df
+
+
+def _linked(
     docs: DataFrame,
     words: int = WORDS,
     percent: int = PERCENT,
@@ -255,7 +270,7 @@ def link(
     rows: int = ROWS,
     small: int = SMALL,
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest reachable doc_id), kept."""
+    """The columns of :func:`link`, the text_key and the number ``c`` of the component."""
     own = written(sets(docs, words, bands, rows), "sets")
     most = differing(bands * rows, LEAST_ESTIMATE)
     distinct = own.filter("n_shingles > 0").groupBy("node").agg(
@@ -264,9 +279,22 @@ def link(
         F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch"),
     )
-    # A node's number is the id of its first document, so the smallest node is the smallest id.
-    unnamed = F.pmod(F.xxhash64("node"), F.lit(NO_ID)) + F.lit(NO_ID)
-    nodes = written(distinct.withColumn("n", F.coalesce("first_id", unnamed)), "nodes")
+    # A node's number is the id of its first document; of the sets of one id only one has it.
+    hashed = F.xxhash64("node")
+    shared = (
+        own.filter("n_shingles > 0 and doc_id is not null")
+        .groupBy(F.col("doc_id").alias("first_id"))
+        .agg(F.min(hashed).alias("named"), F.max(hashed).alias("other"))
+        .filter("named <> other")
+        .drop("other")
+    )
+    shared = _measured(written(shared, "shared"))
+    unnamed = F.pmod(hashed, F.lit(NO_ID)) + F.lit(NO_ID)
+    number = F.when(F.col("named").isNull() | (F.col("named") == hashed), F.col("first_id"))
+    nodes = written(
+        distinct.join(shared, "first_id", "left").withColumn("n", F.coalesce(number, unnamed)).drop("named"),
+        "nodes",
+    )
     banded = nodes.select("n", F.explode("bands").alias("band"))
     stars = banded.groupBy("band").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("size"))
     met = written(banded.join(stars.filter("size > 1"), "band"), "bands")
@@ -287,12 +315,26 @@ def link(
     more = written(_across(large, labels, nodes, whole, most, percent), "across")
     if more.limit(1).count():
         labels = components(links.union(more))
-    to = nodes.join(labels, "n", "left").select("node", F.coalesce("c", "n").alias("__c"))
-    component = F.when(F.col("__c") < NO_ID, F.col("__c"))
+    # The smallest id of a component can be that of a node with another number.
+    odd = nodes.filter((F.col("n") >= NO_ID) & F.col("first_id").isNotNull()).select("n", "first_id")
+    lower = (
+        odd.join(labels, "n", "left")
+        .groupBy(F.coalesce("c", "n").alias("c"))
+        .agg(F.min("first_id").alias("low"))
+    )
+    lower = _measured(written(lower, "lower"))
+    to = (
+        nodes.join(labels, "n", "left")
+        .select("node", F.coalesce("c", "n").alias("c"))
+        .join(lower, "c", "left")
+        .select("node", "c", F.least(F.when(F.col("c") < NO_ID, F.col("c")), "low").alias("id"))
+    )
     return own.join(to, "node", "left").select(
         "doc_id",
+        "text_key",
         "n_shingles",
-        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(component).alias("component_id"),
+        "c",
+        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -348,5 +390,18 @@ def _across(
 
 
 def without_near(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, with their columns."""
-    return rows_kept(docs, written(link(docs, **settings), "linked").filter("kept"))
+    """The rows of ``docs`` that stay with their columns: one of each component with an id.
+
+    Of components without an id, and of texts without words, one row of each id and text stays.
+    """
+    found = written(_linked(docs, **settings), "linked").filter("kept")
+    texts = found.groupBy("doc_id", "text_key", "c").agg(F.count(F.lit(1)).alias("n"))
+    named = F.col("doc_id").isNotNull() & F.col("c").isNotNull()
+    first = (
+        texts.filter(named)
+        .groupBy("doc_id", "c")
+        .agg(F.min(F.struct("text_key", "n")).alias("one"))
+        .select("doc_id", "one.*")
+    )
+    rest = texts.filter(~named).select("doc_id", "text_key", "n")
+    return rows_kept(docs, first.unionByName(rest))

@@ -374,3 +374,42 @@ def test_pipeline(spark, tmp_path):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} <= kept
     assert re.match(r"quality", corpus_pipeline.STAGES[0][0])
+
+
+NEAR = " ".join(f"n{i}" for i in range(100))
+REPEATED = [
+    (None, "first text without a number"),
+    (None, "second text without a number, and not like it"),
+    (None, "second text without a number, and not like it"),
+    (None, "a text that has a number elsewhere"),
+    (4, "a text that has a number elsewhere"),
+    (5, "one of two texts of number five"),
+    (5, "quite another thing told under the same number"),
+    (6, NEAR),
+    (7, NEAR + " more"),
+    (7, "what else number seven says stays here"),
+    (8, "what else number seven says stays here"),
+]
+
+
+def test_rows_of_an_id_with_several_texts(spark):
+    """Several null ids, a null-id copy of a numbered row, and ids with two texts."""
+    table = spark.createDataFrame([(i, t, 1) for i, t in REPEATED], "doc_id long, text string, slot int")
+
+    def left(df):
+        assert df.columns == table.columns
+        return sorted(plain(df), key=str)
+
+    def without(*gone):
+        rows = sorted(set(REPEATED), key=str)
+        return [x for x in rows if x not in gone]
+
+    copy = (None, REPEATED[3][1])
+    kept = {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(table).filter("group_size = 2").collect()}
+    assert kept == {(None, None, True), (None, 4, False), (4, 4, True), (7, 8, False), (8, 8, True)}
+    assert left(exact_dedup.without_copies(table)) == without(copy, REPEATED[9])
+    # Number seven's first text is a near copy, its other one the smallest id of its component.
+    assert left(near_dedup.without_near(table)) == without(copy, REPEATED[8], REPEATED[10])
+    found = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.link(table).collect())
+    assert found[7, 6, False] == found[7, 7, True] == found[8, 7, False] == found[None, 4, False] == 1
+    assert found[5, 5, True] == 2 and found[None, None, True] == 3
