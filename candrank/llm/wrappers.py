@@ -9,6 +9,8 @@ outermost groups of its body; a region is main text by its name, or else by how
 vary and how little of it is links. A page is read with the wrapper of its host: of the regions
 that the wrapper calls main the texts of blocks are taken, whole.
 
+Names of html, body and elements that hold the article or most of the page's free text are not read.
+
 Defined results: null or empty html gives an empty text; a page whose regions its wrapper does
 not know, and a page without a host, is judged by its own one-page wrapper; unclosed tags end
 with what surrounds them; null and repeated ids are rows like others; an empty table gives no
@@ -60,6 +62,8 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
+_NUMBERS = re.compile(r"[0-9]+")
+_PARTS = re.compile(r"[A-Za-z0-9][-_]+(?=[A-Za-z0-9])")
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -94,50 +98,65 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 
 
 class Region:
-    """An outermost part of a page: its signature, its blocks of text and how much is links."""
+    """A part of a page: its signature, whether names call it noise, its texts, how much is links."""
 
-    def __init__(self, signature: str):
+    def __init__(self, signature: str, noise: bool = False):
         self.signature = signature
+        self.noise = noise
         self.blocks: list[str] = []
         self.linked = 0
 
 
+class _Element:
+    """An open element: whether its tag or its name speaks against it, and its free text."""
+
+    def __init__(self, name: str, signature: str, hard: bool, named: bool, main: bool, order: int):
+        self.name, self.signature = name, signature
+        self.hard, self.named, self.main = hard, named, main
+        self.order, self.leaf, self.free = order, True, 0
+
+
 def _signature(name: str, label: str) -> str:
-    return f"{name}.{_SPACE.sub(' ', label.lower())}" if label else name
+    # Numbers, and names of four or more parts, are those of a page and not of its template.
+    words = [_NUMBERS.sub("#", w) for w in label.lower().split() if len(_PARTS.findall(w)) < 3]
+    return f"{name}.{' '.join(words)}" if words else name
+
+
+def _judged(blocks: list[tuple[str, bool, tuple[_Element, ...]]]) -> set[_Element]:
+    """The elements that are noise by their names."""
+    total = sum(len(text) for text, linked, _ in blocks if not linked)
+    chains = {chain[: n + 1] for _, _, chain in blocks for n, x in enumerate(chain) if x.main and x.leaf}
+    # The article is the main element with the most free text, one outside of named ones first.
+    article = max(
+        chains, key=lambda c: (c[-1].free, not any(x.named for x in c), -c[-1].order), default=()
+    )
+    judged = set()
+    for chain in {chain for _, _, chain in blocks}:
+        inside = not article
+        for x in chain:
+            inside |= x.main
+            most = inside and 2 * x.free > total
+            if x.named and x not in article and not most:
+                judged.add(x)
+    return judged
 
 
 def regions(html: str | None) -> list[Region]:
-    """The regions of a page in order; parts named as no text are left out of the others."""
-    out: list[Region] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, signature, noise, counts as main
+    """The regions of a page in order; what tags exclude is left out."""
+    blocks: list[tuple[str, bool, tuple[_Element, ...]]] = []
+    stack: list[_Element] = []
     buffer: list[str] = []
-    anchors = 0
-
-    def noise() -> bool:
-        return any(s[2] for s in stack)
-
-    def home() -> str:
-        # The innermost article or main, else the outermost element below body.
-        for name, signature, _, main in reversed(stack):
-            if main:
-                return signature
-        inner = [s for s in stack if s[0] not in ("html", "body")]
-        for name, signature, _, _ in inner:
-            if name in ("div", "section", "table", "td", "article", "main"):
-                return signature
-        return "body"
+    anchors = opened = 0
 
     def flush() -> None:
         text = _SPACE.sub(" ", unescape("".join(buffer))).strip()
         buffer.clear()
-        if not text or noise():
+        if not text or any(x.hard for x in stack):
             return
-        place = home()
-        if not out or out[-1].signature != place:
-            out.append(Region(place))
-        out[-1].blocks.append(text)
-        if anchors:
-            out[-1].linked += len(text)
+        blocks.append((text, anchors > 0, tuple(stack)))
+        if not anchors:
+            for x in stack:
+                x.free += len(text)
 
     for kind, name, value in tokens(html or ""):
         if kind == "text":
@@ -151,41 +170,67 @@ def regions(html: str | None) -> list[Region]:
                 flush()
                 # A paragraph ends where a block begins, and a list item where its like does.
                 while stack and (
-                    (stack[-1][0] == "p" and name in _ENDS_P)
-                    or (stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th"))
-                    or (stack[-1][0] not in _BLOCK and stack[-1][0] != "a" and any(s[0] == "p" for s in stack))
+                    (stack[-1].name == "p" and name in _ENDS_P)
+                    or (stack[-1].name == name and name in ("li", "dt", "dd", "tr", "td", "th"))
+                    or (stack[-1].name not in _BLOCK and stack[-1].name != "a" and any(s.name == "p" for s in stack))
                 ):
                     stack.pop()
             elif name == "a":
                 anchors += 1
             hidden, label = value[:1] == "\x00", value.lstrip("\x00")
             main = name in ("article", "main")
-            bad = hidden or name in _NOT_TEXT or (not main and bool(_NOISE.search(label)))
+            named = not main and name not in ("html", "body") and bool(_NOISE.search(label))
+            hard = hidden or name in _NOT_TEXT
             # A header inside an article is its heading.
-            if name == "header" and any(s[3] for s in stack) and not hidden:
-                bad = False
-            stack.append((name, _signature(name, label), bad, main))
+            if name == "header" and any(s.main for s in stack) and not hidden:
+                hard = named = False
+            if main:
+                for s in stack:
+                    s.leaf = False
+            stack.append(_Element(name, _signature(name, label), hard, named, main, opened))
+            opened += 1
         else:
             if name in _BLOCK:
                 flush()
             elif name == "a":
                 anchors = max(0, anchors - 1)
-            if any(s[0] == name for s in stack):
+            if any(s.name == name for s in stack):
                 # Blocks are not closed by the end of an element inside a line.
                 if name not in _BLOCK:
                     for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == name:
+                        if stack[i].name == name:
                             del stack[i]
                             break
-                        if stack[i][0] in _BLOCK:
+                        if stack[i].name in _BLOCK:
                             break
                 else:
-                    while stack and stack.pop()[0] != name:
+                    while stack and stack.pop().name != name:
                         pass
     flush()
+    judged, out = _judged(blocks), []
+    for text, linked, chain in blocks:
+        noise = next((x.signature for x in chain if x in judged), None)
+        place = noise or _home(chain)
+        if not out or (out[-1].signature, out[-1].noise) != (place, noise is not None):
+            out.append(Region(place, noise is not None))
+        out[-1].blocks.append(text)
+        if linked:
+            out[-1].linked += len(text)
     return out
 
 
+def _home(chain: tuple[_Element, ...]) -> str:
+    """The innermost article or main, else the outermost element below body."""
+    for x in reversed(chain):
+        if x.main:
+            return x.signature
+    for x in chain:
+        if x.name in ("div", "section", "table", "td"):
+            return x.signature
+    return "body"
+
+
+
 # A wrapper is a list of items [signature, optional, repeated, pages, slot texts, fixed, linked, chars].
 
 
@@ -263,7 +308,7 @@ def main_regions(wrapper: list[dict]) -> set[str]:
 
 def extracted(html: str | None, wrapper: list[dict] | None) -> str:
     """The article's blocks, joined by an empty line."""
-    found = regions(html)
+    found = [r for r in regions(html) if not r.noise]
     main = main_regions(wrapper) if wrapper else set()
     if not any(r.signature in main for r in found):
         main = main_regions(wrapper_of(found))
@@ -281,7 +326,7 @@ def infer(pages: DataFrame, block_pages: int = BLOCK_PAGES, fan_in: int = FAN_IN
         for pdf in batches:
             held: dict[str, list[dict]] = {}
             for host, html in zip(pdf["host"], pdf["html"], strict=True):
-                own = wrapper_of(regions(html))
+                own = wrapper_of([r for r in regions(html) if not r.noise])
                 held[host] = align(held[host], own) if host in held else own
             yield pd.DataFrame(
                 {"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]}

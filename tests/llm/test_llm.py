@@ -413,3 +413,23 @@ def test_rows_of_an_id_with_several_texts(spark):
     found = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.link(table).collect())
     assert found[7, 6, False] == found[7, 7, True] == found[8, 7, False] == found[None, 4, False] == 1
     assert found[5, 5, True] == 2 and found[None, None, True] == 3
+
+
+BODY = "A long text about one thing, number {0}, with enough words to be the article of its page."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="no-sidebar"><article><p>{0}</article>',
+        '<html class="header-fixed"><body class="search"><div><p>{0}</div>',
+        '<body><div id="page" class="has-comments"><article><p>{0}</article><div class="comments"><p>nice</div></div>',
+        '<body><div class="content with-sidebar"><p>{0}</div><div class="sidebar"><p>more</div>',
+        '<body><div class="legal"><p>{0}</div><div class="share"><p>tell others</div>',
+        '<body><main><div class="discussion"><p>{0}</div></main>',
+        '<body><div class="related"><article class="teaser"><p>short</article></div><div class="page with-sidebar"><article><p>{0}</article></div>',
+    ],
+)
+def test_names_do_not_take_the_article(page):
+    text = BODY.format(1)
+    assert wrappers.extracted(page.format(text), None) == text
