@@ -1,25 +1,31 @@
-"""Main text of web pages by wrappers, union-free regular expressions over tokens of a host.
-
-A page is a stream of tokens: tags with their class or id, and text. Runs of equal blocks become
-repeated groups. Two streams of one host are aligned; where they differ, a text becomes a slot, and
-what only one of them has becomes an optional group. The result is a wrapper, a token stream
-again, so wrappers are aligned like pages: each task aligns the pages of a host that it has in
-blocks, and wrappers of a host then meet in rounds of bounded fan-in. A wrapper's regions are the
-outermost groups of its body; a region is main text by its name, or else by how much its slots
-vary and how little of it is links. A page is read with the wrapper of its host: of the regions
-that the wrapper calls main the texts of blocks are taken, whole.
-
-Names of html, body and elements that hold the article or most of the page's free text are not read.
-
-Defined results: null or empty html gives an empty text; a page whose regions its wrapper does
-not know, and a page without a host, is judged by its own one-page wrapper; unclosed tags end
-with what surrounds them; null and repeated ids are rows like others; an empty table gives no
-rows; further columns are not read.
+"""Main text of web pages by what the pages of a host have in common.
+
+A page is a list of regions, its article or main elements and otherwise the outermost elements of
+its body, with their blocks of text. A name (class, id or role) that says what is not the article
+makes an element a region of its own, but never html or body, nor an element that holds the
+article or most of the page's free text. The lists of regions of one host are aligned: where texts
+of a region differ it has a slot, and what only one list has is optional. The result is a wrapper,
+a list of regions again, so wrappers are aligned like pages: each task aligns the pages of a host
+that it has in blocks, and wrappers of a host then meet in rounds of bounded fan-in.
+
+A page is then read region by region, with no share that a region must have: its article or main
+if it has one, else all regions but the template. Template is what the host's pages show as mostly
+links or as the same text on all of at least ``SURE_PAGES`` pages, and what is named so, unless the
+host has most of its varying free text there. If that leaves nothing, the page is judged by itself.
+
+This is not the alignment of whole token streams by which union-free expressions are inferred:
+below regions nothing is aligned, a fixed block inside an article stays, and the marks of optional
+and repeated groups describe a host but decide nothing.
+
+Defined results: null or empty html gives an empty text; a page without a host is judged by its own
+one-page wrapper; unclosed tags end with what surrounds them; null and repeated ids are rows like
+others; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -34,6 +40,8 @@ from candrank.llm.common import written
 #: Pages of a host that one task aligns before it passes the wrapper on.
 BLOCK_PAGES = 64
 FAN_IN = 64
+#: Pages that must show the same text before it counts as template.
+SURE_PAGES = 3
 
 # HTML's elements by how they are read.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -231,88 +239,89 @@ def _home(chain: tuple[_Element, ...]) -> str:
 
 
 
-# A wrapper is a list of items [signature, optional, repeated, pages, slot texts, fixed, linked, chars].
-
-
 def wrapper_of(found: list[Region]) -> list[dict]:
-    """The wrapper of one page, equal neighbours as one repeated group."""
+    """The wrapper of one page."""
     out: list[dict] = []
     for region in found:
         text = "\n".join(region.blocks)
-        if out and out[-1]["signature"] == region.signature:
-            out[-1] |= {"repeated": True, "text": None}
-            out[-1]["chars"] += len(text)
-            out[-1]["linked"] += region.linked
-        else:
-            out.append(
-                {
-                    "signature": region.signature,
-                    "optional": False,
-                    "repeated": len(region.blocks) > 1,
-                    "text": text if len(text) < 400 else None,
-                    "chars": len(text),
-                    "linked": region.linked,
-                    "slots": 0,
-                }
-            )
+        out.append(
+            {
+                "signature": region.signature,
+                "noise": region.noise,
+                "optional": False,
+                "repeated": len(region.blocks) > 1,
+                # Long texts are compared by their digest.
+                "text": text if len(text) < 100 else hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(),
+                "chars": sum(map(len, region.blocks)),
+                "linked": region.linked,
+                "slots": 0,
+                "pages": 1,
+            }
+        )
     return out
 
 
 def align(left: list[dict], right: list[dict]) -> list[dict]:
     """One wrapper of two: mismatched texts become slots, unmatched parts optional groups."""
     match = difflib.SequenceMatcher(
-        None, [x["signature"] for x in left], [x["signature"] for x in right], autojunk=False
+        None, *([(x["signature"], x["noise"]) for x in side] for side in (left, right)), autojunk=False
     )
+
+    def joined(x: dict, y: dict) -> dict:
+        same = x["text"] is not None and x["text"] == y["text"]
+        return x | {
+            "optional": x["optional"] or y["optional"],
+            "repeated": x["repeated"] or y["repeated"],
+            "text": x["text"] if same else None,
+            "slots": x["slots"] + y["slots"] + (not same),
+            **{k: x[k] + y[k] for k in ("chars", "linked", "pages")},
+        }
+
     out: list[dict] = []
     for kind, a, b, c, d in match.get_opcodes():
         if kind == "equal":
-            for x, y in zip(left[a:b], right[c:d], strict=True):
-                same = x["text"] is not None and x["text"] == y["text"]
-                out.append(
-                    x
-                    | {
-                        "optional": x["optional"] or y["optional"],
-                        "repeated": x["repeated"] or y["repeated"],
-                        "text": x["text"] if same else None,
-                        "chars": x["chars"] + y["chars"],
-                        "linked": x["linked"] + y["linked"],
-                        "slots": x["slots"] + y["slots"] + (not same),
-                    }
-                )
-        else:
-            for x in left[a:b] + right[c:d]:
-                # The same optional group is kept once.
-                if not out or out[-1]["signature"] != x["signature"]:
-                    out.append(x | {"optional": True})
-                else:
-                    out[-1] |= {"repeated": True, "text": None}
-                    out[-1]["chars"] += x["chars"]
-                    out[-1]["linked"] += x["linked"]
-                    out[-1]["slots"] += x["slots"]
+            out += [joined(x, y) for x, y in zip(left[a:b], right[c:d], strict=True)]
+            continue
+        for x in left[a:b] + right[c:d]:
+            # The same optional group is kept once.
+            if out and (out[-1]["signature"], out[-1]["noise"]) == (x["signature"], x["noise"]):
+                out[-1] = joined(out[-1], x) | {"optional": True, "repeated": True}
+            else:
+                out.append(x | {"optional": True})
     return out
 
 
-def main_regions(wrapper: list[dict]) -> set[str]:
-    """The signatures of the wrapper's regions that hold the article."""
-    named = {x["signature"] for x in wrapper if x["signature"].split(".")[0] in ("article", "main")}
-    if named:
-        return named
-    weight: dict[str, float] = {}
+def template_of(wrapper: list[dict]) -> tuple[set[str], set[str]]:
+    """The signatures that the host shows as template, and those named noise that it overrules."""
+    seen: dict[str, list[dict]] = {}
     for x in wrapper:
-        free = x["chars"] - x["linked"]
-        # A text that is the same on every page is not an article, if there were pages to compare.
-        weight[x["signature"]] = weight.get(x["signature"], 0) + (free if x["slots"] or x["text"] is None else 0.1 * free)
-    most = max(weight.values(), default=0)
-    return {s for s, w in weight.items() if most and w >= 0.2 * most}
+        seen.setdefault(x["signature"], []).append(x)
+    template, varying = set(), {}
+    for signature, items in seen.items():
+        chars, linked, pages = (sum(x[k] for x in items) for k in ("chars", "linked", "pages"))
+        fixed = pages >= SURE_PAGES and not any(x["slots"] for x in items)
+        if 2 * linked > chars or (fixed and len({x["text"] for x in items}) == 1):
+            template.add(signature)
+        else:
+            varying[signature] = chars - linked
+    whole = sum(varying.values())
+    named = {x["signature"] for x in wrapper if x["noise"]}
+    return template, {s for s, free in varying.items() if s in named and 2 * free > whole}
+
+
+def _chosen(found: list[Region], template: set[str], overruled: set[str]) -> list[Region]:
+    plain = [r for r in found if not r.noise or r.signature in overruled]
+    main = [r for r in plain if r.signature.split(".")[0] in ("article", "main")]
+    return main or [r for r in plain if r.signature not in template]
 
 
-def extracted(html: str | None, wrapper: list[dict] | None) -> str:
+def extracted(html: str | None, known: tuple[set[str], set[str]] | None) -> str:
     """The article's blocks, joined by an empty line."""
-    found = [r for r in regions(html) if not r.noise]
-    main = main_regions(wrapper) if wrapper else set()
-    if not any(r.signature in main for r in found):
-        main = main_regions(wrapper_of(found))
-    return "\n\n".join(block for r in found if r.signature in main for block in r.blocks)
+    found = regions(html)
+    chosen = _chosen(found, *known) if known else []
+    if not chosen:
+        chosen = _chosen(found, *template_of(wrapper_of(found)))
+    return "\n\n".join(block for r in chosen for block in r.blocks)
 
 
 def host_of(url: str = "url"):
@@ -326,7 +335,7 @@ def infer(pages: DataFrame, block_pages: int = BLOCK_PAGES, fan_in: int = FAN_IN
         for pdf in batches:
             held: dict[str, list[dict]] = {}
             for host, html in zip(pdf["host"], pdf["html"], strict=True):
-                own = wrapper_of([r for r in regions(html) if not r.noise])
+                own = wrapper_of(regions(html))
                 held[host] = align(held[host], own) if host in held else own
             yield pd.DataFrame(
                 {"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]}
@@ -363,11 +372,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            known: dict[str, list[dict]] = {}
+            known: dict[str, tuple[set[str], set[str]]] = {}
             texts = []
             for html, wrapper in zip(pdf["html"], pdf["wrapper"], strict=True):
                 if wrapper is not None and wrapper not in known:
-                    known[wrapper] = json.loads(wrapper)
+                    known[wrapper] = template_of(json.loads(wrapper))
                 texts.append(extracted(html, known.get(wrapper)))
             out = pdf[["page_id", "url"]].assign(text=texts)
             yield out.assign(page_id=out["page_id"].astype("Int64"))

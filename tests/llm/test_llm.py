@@ -433,3 +433,24 @@ BODY = "A long text about one thing, number {0}, with enough words to be the art
 def test_names_do_not_take_the_article(page):
     text = BODY.format(1)
     assert wrappers.extracted(page.format(text), None) == text
+
+
+def test_host_tells_template_from_article(spark):
+    """Regions are read per page: no id of a page and no share of a host's text decides."""
+    tags = "<div class=tags><a href=/t>one tag</a> <a href=/u>another tag of the site</a></div>"
+    notice = "<div class=box><p>The same words of the house stand on every page of it, " + "again and again " * 9 + "</div>"
+    post = "<div id=post-{0} class=post><p>{1}</div>" + tags + notice
+    legal = "<div class=intro><p>{2}</div><div class=legal><p>{1}</div>"
+    long = BODY + " More of it." * 9
+    rows, want = [], {}
+    for k in range(12):
+        text = f"Short {k}." if k == 3 else BODY.format(k)
+        rows.append((k, "http://post.example/", f"<body>{post.format(k, text)}"))
+        want[k] = text
+        # The first page has more text beside the named element than in it, the host has not.
+        text = (BODY if k == 0 else long).format(k)
+        intro = f"Opening {k}. " * (12 if k == 0 else 1)
+        rows.append((100 + k, "http://legal.example/", "<body>" + legal.format(k, text, intro)))
+        want[100 + k] = f"{intro.strip()}\n\n{text}"
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == want
