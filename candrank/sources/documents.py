@@ -2,35 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candrank.functions import variant as V
 
+#: Characters from which a document is read in Python; Spark's parser refuses much longer texts.
+LONG_CHARS = 4_000_000
+_SHORT = "short string, summary string"
+
+
+def _refused(word: str):
+    raise ValueError(word)
+
+
+def _fields(text: str | None) -> tuple[str | None, str | None]:
+    """A long document without its long texts, and its summary; (None, None) if not readable."""
+    if text is None:
+        return None, None
+    try:
+        document = json.loads(text, parse_constant=_refused)
+        if not isinstance(document, dict):
+            return None, None
+        summary, recommend = document.get("summary"), document.get("recommend")
+        if isinstance(recommend, str | list | dict):
+            # Only whether it is empty matters.
+            recommend = bool(recommend)
+        kept = {k: document[k] for k in ("candidate_id", "weighted_total") if k in document}
+        kept |= {"recommend": recommend}
+        # A lone surrogate is written as a question mark, as in Java.
+        summary = summary.encode("utf-8", "replace").decode() if isinstance(summary, str) else None
+        return json.dumps(kept), summary
+    except (ValueError, RecursionError):
+        return None, None
+
+
+def _parsed(texts: DataFrame) -> DataFrame:
+    """Add ``_doc``, the parsed document, and ``_long``, the fields of one read in Python."""
+
+    @F.pandas_udf(_SHORT)
+    def shortened(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([_fields(x) for x in batch], columns=["short", "summary"], dtype=object)
+
+    document = F.col("document")
+    oversized = F.char_length(document) >= LONG_CHARS
+    texts = texts.withColumn("_long", shortened(F.when(oversized, document)))
+    return V.with_json(texts, "_doc", F.when(oversized, F.col("_long.short")).otherwise(document))
+
 
 def document_view(texts: DataFrame) -> DataFrame:
     """(role, candidate_id, document) -> the fields ranking reads, without validation.
 
-    Unreadable documents are dropped. A missing total is 0.0, a missing recommendation
-    is false, a missing summary is empty; ``reply_id`` is NULL where the id is missing.
+    Unreadable documents are not in it, see :func:`unreadable_documents`. A missing total is
+    0.0, a missing recommendation is false, a missing summary is empty; ``reply_id`` is NULL
+    where the id is missing.
     """
-    doc = V.with_json(texts, "_doc", F.col("document"))
+    doc = _parsed(texts)
 
     def part(name: str):
         return V.field(F.col("_doc"), f"$.{name}")
 
     # The parsed document and the check of it stay in one place, see V.settled.
     readable = F.filter(F.array("_doc"), V.is_object)
-    return doc.select("role", "candidate_id", F.explode(readable).alias("_doc")).select(
+    return doc.select("role", "candidate_id", "_long", F.explode(readable).alias("_doc")).select(
         "role",
         "candidate_id",
         V.text(part("candidate_id")).alias("reply_id"),
         F.coalesce(V.number(part("weighted_total")), F.lit(0.0)).alias("weighted_total"),
         V.truthy(part("recommend")).alias("recommend"),
-        F.coalesce(V.text(part("summary")), F.lit("")).alias("summary"),
+        F.coalesce("_long.summary", V.text(part("summary")), F.lit("")).alias("summary"),
     )
 
 
+def unreadable_documents(texts: DataFrame) -> DataFrame:
+    """(role, candidate_id, reason): the documents that :func:`document_view` leaves out."""
+    doc = V.settled(_parsed(texts), _kind=V.kind(F.col("_doc")))
+    missing: Column = F.when(F.col("document").isNull(), "no document")
+    reason = missing.when(F.col("_kind").isNull(), "not one JSON value").otherwise("not a JSON object")
+    unread = ~F.coalesce(F.startswith("_kind", F.lit("OBJECT")), F.lit(False))
+    return doc.filter(unread).select("role", "candidate_id", reason.alias("reason"))
+
+
 def read_documents(spark: SparkSession, path: str, role: str) -> DataFrame:
     """``<path>/<candidate_id>.json`` files as (role, candidate_id, document)."""
     files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)

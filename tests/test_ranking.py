@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candrank import constants as C
 from candrank.operators import ranking
-from candrank.sources.documents import document_view, read_documents
+from candrank.sources.documents import document_view, read_documents, unreadable_documents
 from candrank.sources.rankings import write_ranked
 from candrank.sources.resumes import ranked_bundle, resume_presence
 
@@ -181,3 +181,33 @@ def test_file_sources_read_names(spark, tmp_path):
     docs = read_documents(spark, str(tmp_path), "r")
     assert sorted(r.candidate_id for r in docs.collect()) == ["a+b%20", "c 1", "ü"]
     assert document_view(docs).count() == 3
+
+
+def test_no_document_vanishes(spark):
+    """A very long text is read; what can't be read has a reason."""
+    start = '{"candidate_id": "x", "weighted_total": "4.5", "recommend": [0], "summary": '
+    given = [
+        ("long", ""),
+        ("other", ""),
+        ("cut", "{oops"),
+        ("list", "[1]"),
+        ("null", None),
+    ]
+    docs = spark.createDataFrame([("r", k, d) for k, d in given], DOCS)
+    whole = F.when(
+        F.col("candidate_id") == "long", F.concat(F.lit(start + '"'), F.repeat(F.lit("s"), 21_000_000), F.lit('"}'))
+    ).when(
+        F.col("candidate_id") == "other",
+        F.concat(F.lit(start + '"s", "notes": "'), F.repeat(F.lit("n"), 21_000_000), F.lit('"}')),
+    )
+    docs = docs.withColumn("document", F.coalesce(whole, "document"))
+    seen = document_view(docs).withColumn("summary", F.length("summary")).orderBy("candidate_id")
+    assert [tuple(r) for r in seen.collect()] == [
+        ("r", "long", "x", 4.5, True, 21_000_000),
+        ("r", "other", "x", 4.5, True, 1),
+    ]
+    assert {r.candidate_id: r.reason for r in unreadable_documents(docs).collect()} == {
+        "cut": "not one JSON value",
+        "list": "not a JSON object",
+        "null": "no document",
+    }
