@@ -11,11 +11,14 @@ from candrank.llm.common import LOWER, UPPER, table
 from candrank.llm.edit_counts import count_edited
 from candrank.llm.exact_dedup import exact_dedup
 from candrank.llm.kneser_ney import perplexity_scores
+from candrank.llm.lexical_search import rank_items
 from candrank.llm.near_dedup import link
+from candrank.llm.ngram_join import join
 from candrank.llm.order_minhash import fingerprint
 from candrank.llm.packing import pack
 from candrank.llm.quality import classify
 from candrank.llm.sharding import shard
+from candrank.llm.whitening import whiten
 from candrank.llm.wrappers import extract
 
 
@@ -108,6 +111,24 @@ def op10_tree_merge(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents"))
 
 
+def op11_limited_accumulators(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return rank_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op12_prefix_filter_join(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents linked at a similarity of 0.85 of their 4-word shingles."""
+    return join(table(spark, sf, "documents"))
+
+
+def op13_spectrum_slicing(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings on up to 16 whitened components."""
+    return whiten(table(spark, sf, "embeddings"))
+
+
+#: Terms of the lexical search: ASCII letters and digits and all characters beyond ASCII.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 OP10_SQL = f"""
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256
@@ -119,6 +140,40 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM d JOIN g USING (text_sha256)
 """
 
+OP11_SQL = f"""
+WITH word AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), asked AS (
+  SELECT item_id, term, count(*) AS q FROM word GROUP BY item_id, term
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') AS terms
+  FROM documents
+), sized AS (
+  SELECT r, doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0
+), total AS (
+  SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sized
+), posting AS (
+  SELECT r, term, count(*) AS tf
+  FROM (SELECT r, unnest(terms) AS term FROM sized) JOIN (SELECT DISTINCT term FROM asked) USING (term)
+  GROUP BY r, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln(any_value(2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM posting, total GROUP BY term
+), scored AS (
+  SELECT item_id, r,
+    CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM asked JOIN weight USING (term) JOIN posting USING (term) JOIN sized USING (r), total
+  GROUP BY item_id, r
+), ranked AS (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM scored JOIN sized USING (r) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 QUERIES = {
     "op1_karmarkar_karp": (op1_karmarkar_karp, None),
     "op2_wrapper_inference": (op2_wrapper_inference, None),
@@ -130,6 +185,9 @@ QUERIES = {
     "op8_odd_sketches": (op8_odd_sketches, None),
     "op9_order_minhash": (op9_order_minhash, None),
     "op10_tree_merge": (op10_tree_merge, OP10_SQL),
+    "op11_limited_accumulators": (op11_limited_accumulators, OP11_SQL),
+    "op12_prefix_filter_join": (op12_prefix_filter_join, None),
+    "op13_spectrum_slicing": (op13_spectrum_slicing, None),
 }
 
 
