@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candrank.llm.common import FOLD, text_of, written
+from candrank.llm.common import FOLD, blocks_for, text_of, written
 from candrank.llm.near_dedup import components
 from candrank.plans.joins import fits
 
@@ -55,6 +55,9 @@ BLOCK = 512
 HUB = 4096
 #: Words that are hashed together.
 PART = 100_000
+#: Prefix shingles of a bucket, and places of one shingle that each batch brings to its bucket.
+ENTRIES = 250_000
+HELD = 8
 _SET = "doc_id long, digest binary, n_shingles int, prefix array<long>, cells array<smallint>"
 
 
@@ -244,9 +247,104 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 names=["digest", "own"],
             )
 
-    # An id can have other texts too, so sets are found by their digest.
-    found = read.select("text").mapInArrow(run, "digest binary, own array<long>")
-    return found.join(wanted.select("digest", "n"), "digest").dropDuplicates(["n"]).select("n", "own")
+    # An id can have other texts too, so sets are found by their digest; they move once.
+    found = read.select("text").mapInArrow(run, "digest binary, own array<long>").dropDuplicates(["digest"])
+    return found.join(wanted.select("digest", "n"), "digest").select("n", "own")
+
+
+# -- prefix groups --------------------------------------------------------------------------
+_FIELDS = (("gram", np.uint64), ("n", np.int64), ("size", np.int32), ("at", np.int32), ("copies", np.int32))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Differences of neighbours, the bytes of equal weight together, which Spark compresses well."""
+    apart = np.diff(values, prepend=values.dtype.type(0))
+    return apart.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    apart = np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(kind).reshape(-1)
+    return np.cumsum(apart, dtype=kind)
+
+
+def prefix_groups(nodes: DataFrame, entries: int = ENTRIES, held: int = HELD) -> DataFrame:
+    """(gram, n, size, at, copies): the places of prefix shingles that two nodes or more have.
+
+    Places travel packed, by buckets of shingles. Of a shingle that is frequent in a batch only
+    ``held`` places go to its bucket; they show that it is shared, so its further places are dealt
+    by their nodes and need no bucket.
+    """
+    if held < 2:
+        raise ValueError("one place does not show that a shingle is shared")
+    total = nodes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    buckets = np.uint64(blocks_for(total, entries))
+    names = [name for name, _ in _FIELDS]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, size, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            lists = batch.column(3)
+            count = lists.value_lengths().to_numpy(zero_copy_only=False)
+            gram = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            owner = np.repeat(np.arange(len(n)), count)
+            at = np.arange(len(gram)) - np.repeat(np.cumsum(count) - count, count)
+            order = np.argsort(gram, kind="stable")
+            gram, owner, at = gram[order], owner[order], at[order]
+            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+            turn = np.arange(len(gram)) - np.repeat(first, np.diff(np.append(first, len(gram))))
+            over = turn >= held
+            to = (_mixed(np.where(over, n[owner].view(np.uint64), gram)) % buckets).astype(np.int64)
+            order = np.lexsort((over, to))
+            key = to[order] * 2 + over[order]
+            ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+            columns = [gram, n[owner], size[owner].astype(np.int32), at.astype(np.int32), copies[owner].astype(np.int32)]
+            columns = [c[order] for c in columns]
+            out: list[list] = [[] for _ in range(2 + len(names))]
+            start = 0
+            for end in ends if len(key) else ():
+                out[0].append(int(key[start]) // 2)
+                out[1].append(bool(key[start] % 2))
+                for into, c in zip(out[2:], columns, strict=True):
+                    into.append(_planes(c[start:end]))
+                start = int(end)
+            kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * len(names)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["bucket", "over", *names]
+            )
+
+    def grouped(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[] for _ in _FIELDS]
+        for table in tables:
+            over = table.column("over").to_pylist()
+            packed = [table.column(name).to_pylist() for name in names]
+            for i, further in enumerate(over):
+                read = [_from_planes(p[i], kind) for p, (_, kind) in zip(packed, _FIELDS, strict=True)]
+                if further:
+                    yield _places(read)
+                else:
+                    for into, x in zip(parts, read, strict=True):
+                        into.append(x)
+        if parts[0]:
+            columns = [np.concatenate(x) for x in parts]
+            order = np.argsort(columns[0], kind="stable")
+            gram = columns[0][order]
+            same = gram[1:] == gram[:-1]
+            shared = np.append(False, same) | np.append(same, False)
+            yield _places([c[order][shared] for c in columns])
+
+    packed = nodes.select("n", "size", F.least("copies", F.lit(2**31 - 1)).cast("int").alias("copies"), "prefix")
+    fields = ", ".join(f"{name} binary" for name in names)
+    return (
+        packed.mapInArrow(pack, f"bucket long, over boolean, {fields}")
+        .groupBy("bucket")
+        .applyInArrow(grouped, "gram long, n long, size int, at int, copies int")
+    )
+
+
+def _places(columns: list[np.ndarray]) -> pa.RecordBatch:
+    arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in _FIELDS])
 
 
 # -- pairs --------------------------------------------------------------------------------
@@ -284,6 +382,9 @@ def _across(large: DataFrame, nodes: DataFrame, whole: DataFrame, percent: int,
     """Links between classes within large prefix groups (gram, k, n, size, at, c)."""
     blocks = F.ceil(F.col("k") / block).cast("int")
     home = F.pmod(F.xxhash64("n"), blocks).cast("int")
+    ids = written(large.select("n").distinct(), "large-nodes")
+    ids = F.broadcast(ids) if fits(ids) else ids
+    nodes, whole = nodes.join(ids, "n", "left_semi"), whole.join(ids, "n", "left_semi")
     met = (
         large.withColumns({"home": home, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
         .withColumns({"x": F.least("home", "other"), "y": F.greatest("home", "other")})
@@ -350,6 +451,7 @@ def join(
     small: int = SMALL,
     block: int = BLOCK,
     counters: int = COUNTERS,
+    entries: int = ENTRIES,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
     own = written(sets(docs, levels(docs, words, counters), words, percent), "gram-sets")
@@ -367,11 +469,11 @@ def join(
         .withColumn("n", F.monotonically_increasing_id()),
         "gram-nodes",
     )
-    posted = nodes.select("n", "size", "copies", F.posexplode("prefix").alias("at", "gram"))
+    places = written(prefix_groups(nodes, entries), "prefix-places")
     # The hub's size, place and number come with the group.
     best = F.max_by(F.struct("n", "size", "at"), F.struct("copies", -F.col("n"))).alias("hub")
-    groups = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), best).filter("k > 1")
-    met = written(posted.join(groups, "gram").select("gram", "k", "hub", "n", "size", "at"), "prefix-groups")
+    groups = places.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), best)
+    met = written(places.join(groups, "gram").select("gram", "k", "hub", "n", "size", "at"), "prefix-groups")
     star = (
         met.filter("n <> hub.n")
         .select(

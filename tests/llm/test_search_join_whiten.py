@@ -151,13 +151,15 @@ def join_tables():
     return docs
 
 
-@pytest.mark.parametrize("small,block,counters", [(32, 512, 1 << 18), (3, 7, 1 << 8), (1, 1000, 1)])
-def test_join(spark, small, block, counters):
+@pytest.mark.parametrize(
+    "small,block,counters,entries", [(32, 512, 1 << 18, 250_000), (3, 7, 1 << 8, 100), (1, 1000, 1, 1000)]
+)
+def test_join(spark, small, block, counters, entries):
     docs = join_tables()
     want, links = brute_join(docs)
     assert links > 50
     table = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in docs], SCHEMA)
-    found = ngram_join.join(table, small=small, block=block, counters=counters)
+    found = ngram_join.join(table, small=small, block=block, counters=counters, entries=entries)
     assert Counter(tuple(r) for r in found.collect()) == want
 
 
@@ -175,6 +177,18 @@ def test_bounds():
             assert size - least < ngram_join.prefix_size(size, 85)
 
 
+@pytest.mark.parametrize("entries,held", [(1000, 8), (7, 2), (50, 3)])
+def test_prefix_groups(spark, entries, held):
+    """A shingle of all nodes and some of a few: every place of a shared one, no other."""
+    rng = random.Random(2)
+    lists = {i: [5, *rng.sample(range(10, 900), 20)] for i in range(200)}
+    rows = [(i, len(x), 1 + i % 3, x) for i, x in lists.items()] + [(900, 1, 1, [9999])]
+    nodes = spark.createDataFrame(rows, "n long, size int, copies long, prefix array<long>").repartition(5)
+    count = Counter(g for x in lists.values() for g in x)
+    want = Counter((g, i, 21, at, 1 + i % 3) for i, x in lists.items() for at, g in enumerate(x) if count[g] > 1)
+    assert Counter(tuple(r) for r in ngram_join.prefix_groups(nodes, entries, held).collect()) == want
+
+
 def test_counted_shingles(spark):
     """Each set's shingles are counted once, a hot one in all sets."""
     table = spark.createDataFrame([(i, "a b c d", 1, "x", 2) for i in range(255)], SCHEMA)
