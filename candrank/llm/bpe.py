@@ -17,6 +17,7 @@ others; an empty table gives no rows; further columns are not read.
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,30 +49,39 @@ def restored(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u4").ravel()
 
 
-class Block:
-    """The distinct pre-tokens of some texts, numbered as they come."""
+class _Spans(dict):
+    """The numbers of each span's pre-tokens, which are numbered as they come."""
 
-    def __init__(self, pattern):
-        self._find = pattern.findall
+    def __init__(self, find):
+        super().__init__()
+        self._find = find
         self.words: dict[str, int] = {}
-        self._spans: dict[str, bytes] = {}
-        self.rows: list[tuple] = []
-        self.chars = 0
-
-    def _codes(self, span: str) -> bytes:
-        found = self._spans.get(span)
-        if found is None:
-            words = self.words
-            found = b"".join(
-                words.setdefault(w, len(words)).to_bytes(4, "little")
-                for w in pre_tokens(self._find, span)
-            )
-            self._spans[span] = found
+
+    def __missing__(self, span: str) -> bytes:
+        words = self.words
+        found = self[span] = b"".join(
+            words.setdefault(w, len(words)).to_bytes(4, "little") for w in pre_tokens(self._find, span)
+        )
         return found
 
+
+class Block:
+    """The distinct pre-tokens of some texts, and each text as their numbers where wanted."""
+
+    def __init__(self, pattern, positions: bool):
+        self._spans = _Spans(pattern.findall)
+        self.words = self._spans.words
+        self._positions = positions
+        self.rows: list[tuple] = []
+        self.texts = self.chars = 0
+
     def add(self, doc_id, text: str) -> None:
-        codes = b"".join(map(self._codes, spans(text)))
-        self.rows.append((doc_id, squeezed(np.frombuffer(codes, "<u4"))))
+        codes = map(self._spans.__getitem__, spans(text))
+        if self._positions:
+            self.rows.append((doc_id, squeezed(np.frombuffer(b"".join(codes), "<u4"))))
+        else:
+            deque(codes, maxlen=0)
+        self.texts += 1
         self.chars += len(text)
 
     def mark(self) -> int:
@@ -79,18 +89,20 @@ class Block:
         return zlib.crc32("\x00".join(self.words).encode("utf-8", "surrogatepass"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, chars: int) -> Iterator[tuple[int, Block]]:
+def _blocks(
+    batches: Iterator[pa.RecordBatch], pattern: str, chars: int, positions: bool
+) -> Iterator[tuple[int, Block]]:
     import regex
 
     compiled, first = regex.compile(pattern), TaskContext.get().partitionId() << 32
-    block, number = Block(compiled), 0
+    block, number = Block(compiled, positions), 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
             block.add(doc_id.as_py(), text.as_py() or "")
             if block.chars >= chars:
                 yield first + number, block
-                block, number = Block(compiled), number + 1
-    if block.rows:
+                block, number = Block(compiled, positions), number + 1
+    if block.texts:
         yield first + number, block
 
 
@@ -108,7 +120,7 @@ def encode(
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches, pattern, block_chars):
+        for number, block in _blocks(batches, pattern, block_chars, False):
             mark = block.mark()
             raw = [w.encode("utf-8", "surrogatepass") for w in block.words]
             hashed = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw))
@@ -136,7 +148,7 @@ def encode(
             )
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches, pattern, block_chars):
+        for number, block in _blocks(batches, pattern, block_chars, True):
             mark, n = block.mark(), len(block.rows)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from unicodedata import category
 
 import numpy as np
 
@@ -111,8 +112,18 @@ def spans(text: str) -> list[str]:
 
 #: Characters of which every reading of the pattern's classes is the same.
 _SURE = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ÿ]*\Z")
+#: Controls and spaces that some readings count as white space, and the long s, an s without case.
+_UNSURE = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u017f\u180e\u2028\u2029]")
 
 
 def pre_tokens(find, span: str) -> list[str]:
-    """The matches in a span; a span with rarer characters stays whole for the encoder."""
-    return find(span) if _SURE.match(span) else [span]
+    """The matches in a span of any script.
+
+    A span stays whole for the encoder where it has a character whose class readings of the
+    pattern could differ in: one that is not assigned yet, or one of ``_UNSURE``.
+    """
+    if _SURE.match(span):
+        return find(span)
+    if _UNSURE.search(span) or any(category(c) in ("Cn", "Cs") for c in set(span)):
+        return [span]
+    return find(span)
