@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candrank.plans.joins import fits
 from candrank.plans.scratch import written
 
 __all__ = ["UPPER", "LOWER", "FOLD", "table", "text_of", "written", "blocks_for", "text_key", "rows_kept"]
@@ -39,9 +40,11 @@ def rows_kept(docs: DataFrame, stays: DataFrame) -> DataFrame:
 
     ``stays`` has each (doc_id, text_key) once, with the number ``n`` of its rows.
     """
-    stays = stays.select(
+    stays = written(stays, "stays").select(
         F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), F.col("n").alias("__n")
     )
+    # A measured few come to the texts; beyond that the texts are dealt by id.
+    stays = F.broadcast(stays) if fits(stays) else stays
     chosen = docs.withColumns({"__key": F.col("doc_id").cast("long"), "__own": text_key()}).join(
         stays, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__text"))
     )

@@ -15,17 +15,14 @@ only in a group of null ids; repeated rows of one id count in ``group_size`` and
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candrank.llm.common import FOLD, KEY_BYTES, rows_kept, written
+from candrank.llm.common import KEY_BYTES, LOWER, UPPER, rows_kept, text_of, written
 
 FAN_BITS = 3
 RUN_ROWS = 50_000
@@ -36,21 +33,14 @@ _ITEM = np.dtype([("digest", "V32"), ("check", "u8"), ("id", "i8"), ("n", "i8")]
 def digests(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, SHA-256 of the normalised text, its length and checksum in one long."""
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, checks = [], []
-            for value in batch.column(1):
-                raw = (value.as_py() or "").encode().translate(FOLD)
-                found.append(hashlib.sha256(raw).digest())
-                checks.append((len(raw) & 0x7FFFFFFF) << 32 | zlib.crc32(raw))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.binary()), pa.array(checks, pa.int64())],
-                names=["doc_id", "digest", "text_check"],
-            )
-
-    # A short batch bounds the copies that Python holds of very long texts.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        digest, "doc_id long, digest binary, text_check long"
+    text = F.translate(text_of(), UPPER, LOWER)
+    check = F.octet_length(text).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(1 << 32) + F.crc32(
+        text.cast("binary")
+    )
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.unhex(F.sha2(text, 256)).alias("digest"),
+        check.alias("text_check"),
     )
 
 
@@ -135,7 +125,8 @@ def largest_ids(rows: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     _names = ["run", "slice", "digests", "checks", "ids", "counts"]
     runs = (
         rows.groupBy(
-            F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(fan**rounds)).cast("int").alias("run"),
+            # By id and row, so that the rows of one id, or of none, are spread.
+            F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(fan**rounds)).cast("int").alias("run"),
             "digest",
             F.col("text_check").alias("check"),
         )

@@ -454,3 +454,29 @@ def test_host_tells_template_from_article(spark):
         want[100 + k] = f"{intro.strip()}\n\n{text}"
     got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {r.page_id: r.text for r in got.collect()} == want
+
+
+def test_pre_tokens_of_any_script():
+    """Spans beyond Latin-1 are cut too, and the ids are those of the whole text."""
+    import regex
+
+    rng = random.Random(9)
+    find = regex.compile(PATTERN).findall
+    alphabets = ["漢字仮名交じり文", "кириллица", "ελληνικά", "עברית", "عربي", "हिन्दी", "ไทย", "😀👍🏽", "a1 -'s", "ſ͸Ᲊ\x85"]
+    one = tokens.rank_encoding(RANKS, PATTERN)
+    for _ in range(300):
+        letters = "".join(rng.sample(alphabets, 3)) + "，。 1२"
+        text = "".join(rng.choices(letters, k=60))
+        cut = [w for s in tokens.spans(text) for w in tokens.pre_tokens(find, s)]
+        assert "".join(cut) == text
+        assert [i for w in cut for i in one.encode_ordinary(w)] == one.encode_ordinary(text)
+    long = "漢字，" * 4000
+    cut = [w for s in tokens.spans(long) for w in tokens.pre_tokens(find, s)]
+    assert len(cut) == 8000 and len(set(cut)) == 2
+
+
+def test_runs_of_rows_without_ids(spark):
+    """Rows of one id, or of none, are spread over the runs."""
+    docs = spark.createDataFrame([(None if i % 2 else 5, f"t{i}") for i in range(400)], "doc_id long, text string")
+    rows = exact_dedup.exact_dedup(docs.repartition(4), run_rows=10).collect()
+    assert len(rows) == 400 and {r.group_size for r in rows} == {1}
