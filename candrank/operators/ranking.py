@@ -8,15 +8,13 @@ from pyspark.sql import Window as W
 
 from candrank import constants as C
 from candrank.functions.text import fixed
-from candrank.plans.joins import lookup_join
+from candrank.plans.joins import fits, lookup_join
 from candrank.plans.scratch import written
 from candrank.schemas import KEY
 
-# Up to this many rows of one role are numbered by one window task.
-WINDOW_ROWS = 2_000_000
-# Up to this N a top-N prunes within tasks; a larger one filters the full ranking.
-PRUNED_TOP = 100_000
-SALTS = 64
+# So many tasks' best rows of a role meet in one.
+FAN = 64
+ORDER = ("weighted_total", "scored_at", "created_at", "ingest_seq")
 _ROW_MASK = (1 << 33) - 1
 
 
@@ -26,14 +24,10 @@ def scored_candidates(
     """Rows to rank: scored state, its document, and metadata where there is some.
 
     ``documents``: keys, reply_id, weighted_total, recommend, summary; one row per key.
-    With ``trust_reply_id=False`` the state's id is shown instead of the answer's.
+    With ``trust_reply_id=False`` the state's id is shown instead of the answer's; ``state_id``
+    is the state's own id in any case.
     """
-    scored = state.filter(F.col("status") == "scored").select(
-        *KEY,
-        F.coalesce("score_stage2_at", "score_stage1_at").alias("scored_at"),
-        "created_at",
-        "ingest_seq",
-    )
+    scored = _scored(state)
     shown = ("name", "headline", "location", "current_title", "current_company", "profile_url")
     known = [c for c in shown if c in metadata.columns]
     meta = metadata.select(*KEY, F.lit(True).alias("_meta"), *known)
@@ -47,6 +41,7 @@ def scored_candidates(
 
     return both.select(
         "role",
+        F.col("candidate_id").alias("state_id"),
         shown_id.alias("candidate_id"),
         *[text(c) for c in shown],
         F.coalesce("weighted_total", F.lit(0.0)).alias("weighted_total"),
@@ -58,6 +53,22 @@ def scored_candidates(
     )
 
 
+def _scored(state: DataFrame) -> DataFrame:
+    return state.filter(F.col("status") == "scored").select(
+        *KEY,
+        F.coalesce("score_stage2_at", "score_stage1_at").alias("scored_at"),
+        "created_at",
+        "ingest_seq",
+    )
+
+
+def scored_order(state: DataFrame, documents: DataFrame) -> DataFrame:
+    """The keys of :func:`scored_candidates` and what orders them, without metadata and texts."""
+    totals = documents.select(*KEY, F.coalesce("weighted_total", F.lit(0.0)).alias("weighted_total"))
+    both = _scored(state).join(totals, list(KEY), "inner")
+    return both.select("role", F.col("candidate_id").alias("state_id"), *ORDER)
+
+
 def rank_order() -> list[Column]:
     """Best total, then earliest scored (no stamp first), then arrival in the state table."""
     return [
@@ -68,66 +79,77 @@ def rank_order() -> list[Column]:
     ]
 
 
-def rank_all(
-    rows: DataFrame, window_rows: int = WINDOW_ROWS, measured: DataFrame | None = None
-) -> DataFrame:
-    """Number every row of every role 1..n.
+def _key(rows: DataFrame) -> list[str]:
+    """What names a row: the state's id where the shown one can be another."""
+    return ["role", "state_id" if "state_id" in rows.columns else "candidate_id"]
 
-    Roles that fit a task are numbered by one window. Where a role is larger, the whole
-    table is range-sorted by (role, order), which splits a role over as many tasks as it
-    needs and ties over tasks too, and written once; a row's rank is then its position in
-    its task's run of the role plus the sizes of the runs before it.
 
-    ``measured`` is a cheaper table with at least as many rows per role, such as the
-    scored part of the state, so that the rows themselves are computed only once.
+def rank_numbers(narrow: DataFrame, key: list[str], runs: int | None = None) -> DataFrame:
+    """(key, rank): every row's place 1..n in its role, from the keys and ``ORDER`` alone.
+
+    All rows are range-sorted by role and order over many tasks, ties too, and written; a
+    row's rank is its position in its task's run of the role plus the sizes of the runs before
+    it. So a role of any size is split over as many tasks as it needs, or over ``runs``.
     """
-    sized = rows if measured is None else measured
-    largest = sized.groupBy("role").count().agg(F.max("count")).first()[0] or 0
-    if largest <= window_rows:
-        number = F.row_number().over(W.partitionBy("role").orderBy(*rank_order()))
-        return rows.withColumn("rank", number.cast("long"))
-    # Written first: finding the ranges then reads the order columns only, and the joins
-    # behind the rows run once.
+    # Written first: finding the ranges then reads these columns only, and the joins behind them run once.
+    slim = written(narrow.select(*key, *ORDER), "rank-order")
+    order = [F.col("role").asc(), *rank_order()]
+    by_range = slim.orderBy(*order) if runs is None else slim.repartitionByRange(runs, *order).sortWithinPartitions(*order)
     placed = written(
-        written(rows, "rank-input")
-        .orderBy("role", *rank_order())
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK))),
+        by_range.select(
+            *key,
+            F.spark_partition_id().alias("_part"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK)).alias("_row"),
+        ),
         "ranked-runs",
     )
-    runs = placed.groupBy("role", "_part").agg(
-        F.min("_row").alias("_start"), F.count(F.lit(1)).alias("_n")
-    )
+    sizes = placed.groupBy("role", "_part").agg(F.min("_row").alias("_start"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("role").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    numbered = lookup_join(
-        placed, offsets, ["role", "_part"], "inner", salt_by=("_row",)
-    )
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    numbered = lookup_join(placed, offsets, ["role", "_part"], "inner", salt_by=("_row",))
     rank = F.col("_before") + F.col("_row") - F.col("_start") + 1
-    return numbered.withColumn("rank", rank).drop("_part", "_row", "_start", "_before")
+    return numbered.select(*key, rank.alias("rank"))
+
 
+def rank_all(rows: DataFrame, narrow: DataFrame | None = None, runs: int | None = None) -> DataFrame:
+    """Number every row of every role 1..n.
 
-def top_n(rows: DataFrame, n: int = C.DEFAULT_TOP_N, salts: int = SALTS) -> DataFrame:
+    Only keys and order columns are sorted; the ranks come back to the rows by their key, so
+    rows in the store's bucket layout stay where they are. ``narrow`` is a cheaper table of
+    the same keys and order columns, such as :func:`scored_order`.
+    """
+    key = _key(rows)
+    return rows.join(rank_numbers(rows if narrow is None else narrow, key, runs), key, "inner")
+
+
+def top_numbers(slim: DataFrame, key: list[str], n: int, tasks: int, fan: int = FAN) -> DataFrame:
+    """(key, rank) of the first ``n`` rows per role of keys and ``ORDER`` read by ``tasks`` tasks.
+
+    A task sends on ``n`` rows of a role at most, and what ``fan`` tasks kept meets in one, again and
+    again until one is left: no step sees more than ``fan * n`` rows of a role, for any n.
+    """
+    group = F.floor(F.spark_partition_id() / fan).cast("int")
+    kept = slim.select(*key, *ORDER, group.alias("_group"))
+    while True:
+        tasks = -(-tasks // fan)
+        best = F.row_number().over(W.partitionBy("role", "_group").orderBy(*rank_order()))
+        kept = kept.withColumn("rank", best).filter(F.col("rank") <= n)
+        if tasks <= 1:
+            return kept.select(*key, F.col("rank").cast("long").alias("rank"))
+        kept = kept.drop("rank").withColumn("_group", F.floor(F.col("_group") / fan).cast("int"))
+
+
+def top_n(rows: DataFrame, n: int = C.DEFAULT_TOP_N, narrow: DataFrame | None = None, fan: int = FAN) -> DataFrame:
     """The first ``n`` rows per role with their rank.
 
-    Each task keeps n rows per role before any shuffle, then n per role and salt, so the
-    last step sees ``salts * n`` rows of a role however large the role is.
+    The numbers come from narrow rows; then the whole rows of those n are fetched by key.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    if n > PRUNED_TOP:
-        return rank_all(rows).filter(F.col("rank") <= n)
-    salt = F.pmod(F.xxhash64("ingest_seq", "created_at"), F.lit(salts))
-    part = W.partitionBy("role", "_salt").orderBy(*rank_order())
-    whole = W.partitionBy("role").orderBy(*rank_order())
-    kept = (
-        rows.withColumn("_salt", salt)
-        .withColumn("_r", F.row_number().over(part))
-        .filter(F.col("_r") <= n)
-        .drop("_r", "_salt")
-    )
-    ranked = kept.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= n)
-    return ranked.withColumn("rank", F.col("rank").cast("long"))
+    key = _key(rows)
+    slim = written((rows if narrow is None else narrow).select(*key, *ORDER), "rank-order")
+    top = written(top_numbers(slim, key, n, slim.rdd.getNumPartitions(), fan), "top-numbers")
+    return rows.join(F.broadcast(top) if fits(top) else top, key, "inner")
 
 
 def projected(ranked: DataFrame) -> DataFrame:

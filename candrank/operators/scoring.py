@@ -187,6 +187,68 @@ def run_attempts(
     return every
 
 
+_WAVE_BITS = 31
+
+
+def waves_for(due: int, wave_rows: int) -> int:
+    """How many waves of about ``wave_rows`` requests hold all that are due."""
+    if wave_rows < 1:
+        raise ValueError("wave_rows must be at least 1")
+    return max(1, -(-due // wave_rows))
+
+
+def with_waves(blocks: DataFrame, waves: int) -> DataFrame:
+    """Add ``wave``, 0 to ``waves`` - 1: the key's place in as many equal ranges of its hash."""
+    place = F.xxhash64(*KEY).bitwiseAND(F.lit((1 << _WAVE_BITS) - 1)) * F.lit(waves)
+    return blocks.withColumn("wave", F.shiftright(place, _WAVE_BITS).cast("int"))
+
+
+def run_waves(
+    due: DataFrame,
+    waves: int,
+    request: Callable[[DataFrame], DataFrame],
+    scorer: Scorer,
+    full: bool,
+    save: Callable[[DataFrame, int, int], DataFrame],
+    threads: int = 1,
+    delays: Sequence[float] = C.RETRY_DELAYS_SECONDS,
+) -> DataFrame:
+    """The attempt rounds of one wave after the other, retries within the wave.
+
+    ``due``: blocks with ``wave``, laid out by it, so that a wave reads its own rows only.
+    ``request`` turns blocks into requests. ``save(attempts, wave, round)`` commits a round of a
+    wave; with what an earlier run committed it makes no call again.
+    """
+    every = None
+    for wave in range(waves):
+        own = due.filter(F.col("wave") == wave).drop("wave")
+
+        def build(keys: DataFrame | None, own: DataFrame = own) -> DataFrame:
+            return request(own if keys is None else own.join(keys, list(KEY), "left_semi"))
+
+        def kept(answers: DataFrame, number: int, wave: int = wave) -> DataFrame:
+            return save(answers, wave, number)
+
+        part = run_attempts(build, scorer, full, kept, threads, delays)
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
+def wave_progress(due: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Per role and wave: requests due, and of them answered, failed so far, and not asked yet.
+
+    ``due``: keys with ``wave``. ``attempts``: what has been committed of any wave.
+    """
+    tried = attempts.groupBy(*KEY).agg(F.max(F.col("payload").isNotNull()).alias("_answered"))
+    both = due.select(*KEY, "wave").join(tried, list(KEY), "left")
+    return both.groupBy("role", "wave").agg(
+        F.count(F.lit(1)).alias("due"),
+        F.count_if("_answered").alias("answered"),
+        F.count_if(~F.col("_answered")).alias("failed"),
+        F.count_if(F.col("_answered").isNull()).alias("waiting"),
+    )
+
+
 def resolve(attempts: DataFrame) -> DataFrame:
     """One row per key: payload (VARIANT) or error, and when it was last answered."""
     picked = resolve_attempts(attempts, list(KEY), {"answered_at": F.max("answered_at")})
@@ -279,18 +341,24 @@ def with_document(results: DataFrame, full: bool) -> DataFrame:
 
 
 def latest_documents(results: DataFrame) -> DataFrame:
-    """The document written last per key; within one run the full pass comes last.
+    """The row whose document was written last per key; within one run the full pass comes last.
 
-    ``results``: keys, stage, run (increasing) and the stored columns.
+    ``results``: keys, stage, run (increasing) and the stored columns, one row per key, stage
+    and run. The last run and stage are found from narrow columns: where there is an
+    ``outcome``, it tells which rows have a document, and no document is read for it. Tables
+    in the store's bucket layout stay in place.
     """
-    order = F.struct("run", F.when(F.col("stage") == "full", 1).otherwise(0))
+    if "outcome" in results.columns:
+        has = F.col("outcome").isin("passed", "knocked_out")
+    else:
+        has = F.col("document").isNotNull()
+    order = F.struct("run", F.when(F.col("stage") == "full", 1).otherwise(0).alias("full"))
+    stored = results.filter(has)
+    last = stored.groupBy(*KEY).agg(F.max(order).alias("_last"))
     kept = [c for c in results.columns if c not in (*KEY, "stage", "run")]
-    last = (
-        results.filter(F.col("document").isNotNull())
-        .groupBy(*KEY)
-        .agg(F.max_by(F.struct(*kept), order).alias("_last"))
-    )
-    return last.select(*KEY, "_last.*")
+    # None is larger than the last, and an equality would become part of the join's key, by
+    # which stored tables are not laid out.
+    return stored.join(last, list(KEY)).filter(order >= F.col("_last")).select(*KEY, *kept)
 
 
 def score_summary(stages: list[tuple[str, DataFrame]]) -> DataFrame:

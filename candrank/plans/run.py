@@ -124,13 +124,19 @@ def run_parse(
     as_of,
     readers: Sequence[tuple[str, extract.PageReader]] | None = None,
     readings: DataFrame | None = None,
+    retry_failed: bool = False,
 ) -> DataFrame:
     """Read queued resumes, keep useful texts, update the state, return the summary.
 
+    With ``retry_failed`` the failures of any stage are put back first, so that resumes that
+    could not be read are read again.
+
     Either ``readers`` decode the stored contents, or ``readings`` (role, candidate_id,
     text, extractor, error) come from a decoder outside; of several readings of a key the
     largest is taken, a text before none.
     """
+    if retry_failed:
+        _put_back(store, as_of)
     before, label = current_state(store), _label(store)
     queued = state.queue(before, "parse")
     if readings is None:
@@ -146,6 +152,13 @@ def run_parse(
     return extract.parse_summary(results)
 
 
+def _put_back(store: Store, as_of) -> None:
+    """Failures become discovered again, where there are any."""
+    before = current_state(store)
+    if state.retry_count(before):
+        store.write("state", state.retry_reset(before, as_of), aligned=True)
+
+
 def _label(store: Store) -> str:
     return f"s{store.versions('state')[-1]:08d}"
 
@@ -159,6 +172,8 @@ def _fingerprint(prefixes: DataFrame, *settings) -> str:
 
 @dataclass(frozen=True)
 class ScoreSettings:
+    """``wave_rows``: a stage asks in waves of about so many requests, each committed by itself."""
+
     mode: str = "single"
     concurrency: int = C.DEFAULT_CONCURRENCY
     threads: int = 1
@@ -168,10 +183,13 @@ class ScoreSettings:
     strict_ids: bool = False
     strict_metadata: bool = False
     stamp_answers: bool = False
+    wave_rows: int | None = None
 
     def __post_init__(self):
         if self.mode not in scoring.MODES:
             raise ValueError(f"mode must be one of {scoring.MODES}")
+        if self.wave_rows is not None and self.wave_rows < 1:
+            raise ValueError("wave_rows must be at least 1")
 
 
 def run_score(
@@ -192,9 +210,8 @@ def run_score(
         rubric.check(rubrics)
     # A repeated key in an answer keeps its last value.
     store.spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    before = current_state(store)
-    if settings.retry_failed and state.retry_count(before):
-        store.write("state", state.retry_reset(before, as_of), aligned=True)
+    if settings.retry_failed:
+        _put_back(store, as_of)
     prefixes = written(role_prefixes(rubrics, jobs), "prefixes")
     single = settings.mode == "single"
     if single:
@@ -223,16 +240,27 @@ def _stage(store, stage, queue, scorer, prefixes, settings, as_of) -> DataFrame:
     small = fits(prefixes)
     tasks = scoring.tasks_for(settings.concurrency, settings.threads, settings.tasks)
 
-    def build(keys: DataFrame | None) -> DataFrame:
-        due = blocks if keys is None else blocks.join(keys, list(KEY), "left_semi")
+    name = f"{label}-{stage}"
+
+    def request(due: DataFrame) -> DataFrame:
         return scoring.build_requests(due, prefixes, scorer, full, tasks, small=small)
 
-    def save(answers: DataFrame, number: int) -> DataFrame:
-        return store.once(f"attempts/{label}-{stage}-{number}", answers)
+    def build(keys: DataFrame | None) -> DataFrame:
+        return request(blocks if keys is None else blocks.join(keys, list(KEY), "left_semi"))
 
-    attempts = scoring.run_attempts(
-        build, scorer, full, save, settings.threads, settings.delays
-    )
+    def save(answers: DataFrame, *place: int) -> DataFrame:
+        return store.once("-".join([f"attempts/{name}", *map(str, place)]), answers)
+
+    # Waves once begun are gone on with, whatever the settings are now.
+    if settings.wave_rows or store.once_written(f"due/{name}"):
+        due, waves = _due(store, name, blocks, settings.wave_rows or 1)
+        attempts = scoring.run_waves(
+            due, waves, request, scorer, full, save, settings.threads, settings.delays
+        )
+    else:
+        attempts = scoring.run_attempts(
+            build, scorer, full, save, settings.threads, settings.delays
+        )
     results = scoring.outcomes(
         scoring.readiness(queued, texts),
         scoring.resolve(attempts),
@@ -246,6 +274,51 @@ def _stage(store, stage, queue, scorer, prefixes, settings, as_of) -> DataFrame:
     return results
 
 
+def _due(store: Store, name: str, blocks: DataFrame, wave_rows: int) -> tuple[DataFrame, int]:
+    """The blocks due by wave, written once, and how many waves they were dealt to."""
+    table, ready = f"due/{name}", blocks.filter(F.col("block").isNotNull())
+    # An interrupted stage keeps its waves: their number is read from what it wrote.
+    waves = 1 if store.once_written(table) else scoring.waves_for(ready.count(), wave_rows)
+    due = store.once_by(table, scoring.with_waves(ready, waves), "wave")
+    return due, (due.agg(F.max("wave")).first()[0] or 0) + 1
+
+
+def stage_progress(store: Store) -> DataFrame | None:
+    """How far the waves of the stage under way are, per role and wave; None where none is."""
+    prefix = f"{_label(store)}-"
+    begun = [n for n in store.names("due") if n.startswith(prefix) and store.once_written(f"due/{n}")]
+    every = None
+    for name in begun:
+        due = store.spark.read.parquet(f"{store.root}/due/{name}")
+        rounds = [f"attempts/{n}" for n in store.names("attempts") if n.startswith(f"{name}-")]
+        saved = [store.read(n).select(*KEY, "payload") for n in rounds if store.exists(n)]
+        tried = saved[0] if saved else due.select(*KEY, F.lit(None).cast("string").alias("payload")).limit(0)
+        for more in saved[1:]:
+            tried = tried.unionByName(more)
+        stage = F.lit(name.rpartition("-")[2]).alias("stage")
+        part = scoring.wave_progress(due, tried).select("role", stage, "wave", "due", "answered", "failed", "waiting")
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
+def note(store: Store, notes: DataFrame) -> DataFrame:
+    """Merge run metadata (role, key, value, seq) into the store's; return what holds now."""
+    columns = ["role", "key", "value", "seq"]
+    known = store.read("meta") if store.exists("meta") else notes.limit(0)
+    return store.write("meta", state.upsert_meta(known.select(columns), notes.select(columns)))
+
+
+def _role_notes(rubrics: DataFrame, as_of, notes: dict[str, str], seq: int) -> DataFrame:
+    """created_at, the role's title and the caller's own notes, for each role of the rubrics."""
+    clock = F.date_format(state.instant(as_of), "yyyy-MM-dd HH:mm:ss")
+    pairs = [("created_at", clock), ("role", F.coalesce("title", "role"))]
+    pairs += [(k, F.lit(v)) for k, v in sorted(notes.items())]
+    every = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in pairs))
+    return rubrics.select("role", F.explode(every).alias("n")).select(
+        "role", "n.*", F.lit(seq).cast("long").alias("seq")
+    )
+
+
 def run_rank(
     store: Store,
     out: str,
@@ -261,15 +334,12 @@ def run_rank(
     metadata, _ = _metadata(store, strict_metadata)
     documents = scoring.latest_documents(store.read("results"))
     rows = ranking.scored_candidates(now, documents, metadata, trust_reply_id)
-    ranked = store.write(
-        "ranked",
-        ranking.projected(
-            ranking.rank_all(rows, measured=now.filter(F.col("status") == "scored"))
-        ),
-    )
+    narrow = ranking.scored_order(now, documents)
+    ranked = store.write("ranked", ranking.projected(ranking.rank_all(rows, narrow)))
     first = ranked.filter(F.col("rank") <= top)
-    write_ranked(ranked, f"{out}/ranked_full")
-    write_ranked(first, f"{out}/ranked", one_file=True)
+    roles = now.select("role").distinct()
+    write_ranked(ranked, f"{out}/ranked_full", roles=roles)
+    write_ranked(first, f"{out}/ranked", one_file=True, roles=roles)
     if store.exists("resumes"):
         bundle = ranked_bundle(first, store.read("resumes"))
     else:
@@ -295,9 +365,13 @@ def run_all(
     settings: ScoreSettings = ScoreSettings(),
     top: int = C.DEFAULT_TOP_N,
     fresh: bool = False,
+    notes: dict[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """Ingest, parse, score and rank. A store with a state resumes and skips the ingest.
 
+    ``notes`` are kept as run metadata of each role, the latest of a name; created_at is that of
+    the role's first run. Where ``settings`` retries failures, failed parses are retried too.
+
     A fresh start needs both inputs and is refused on a store that holds a state; use a
     new root instead, nothing is ever deleted.
     """
@@ -310,7 +384,10 @@ def run_all(
     summaries = {}
     if not started:
         summaries["ingest"] = run_ingest(store, raw, resumes, as_of)
-    summaries["parse"] = run_parse(store, as_of, readers, readings)
+    if notes is not None:
+        number = len(store.versions("meta")) + 1
+        summaries["meta"] = note(store, _role_notes(rubrics, as_of, notes, number))
+    summaries["parse"] = run_parse(store, as_of, readers, readings, settings.retry_failed)
     summaries["score"] = run_score(
         store, rubrics, jobs, scorer, as_of, knockout_scorer, settings, checked=True
     )

@@ -155,6 +155,24 @@ class Store:
         """Write ``df`` unless an interrupted run already did; nothing is computed then."""
         return self.read(table) if self.exists(table) else self.write(table, df)
 
+    def once_by(self, table: str, df: DataFrame, column: str) -> DataFrame:
+        """Rows in folders by the values of ``column``, kept as a first complete write left them.
+
+        Such a table has no versions and takes no appends.
+        """
+        path = f"{self.root}/{table}"
+        if not self._committed(path):
+            df.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def once_written(self, table: str) -> bool:
+        return self._committed(f"{self.root}/{table}")
+
+    def names(self, folder: str) -> list[str]:
+        """The tables in a folder of the store."""
+        fs, place = self._fs_path(f"{self.root}/{folder}")
+        return sorted(e.getPath().getName() for e in fs.listStatus(place)) if fs.exists(place) else []
+
     def _save(self, path: str, df: DataFrame, aligned: bool, buckets: int | None) -> None:
         # What an interrupted attempt left under a part's name was never seen.
         mode = "overwrite" if path.endswith(".part") else "errorifexists"

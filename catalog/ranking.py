@@ -73,8 +73,8 @@ def _shown(ranked):
     return ranking.projected(ranked).withColumn("summary", F.md5("summary"))
 
 
-def rank_full(spark, sf, window_rows=ranking.WINDOW_ROWS):
-    return _shown(ranking.rank_all(_rows(spark, sf), window_rows))
+def rank_full(spark, sf, runs=None):
+    return _shown(ranking.rank_all(_rows(spark, sf), runs=runs))
 
 
 def rank_top(n, spark, sf):
@@ -161,7 +161,7 @@ QUERIES = {
         doc_id % 4 = 0 AS recommend, md5(text) AS summary FROM f WHERE NOT broken"""),
     ),
     "rank_full": (rank_full, f"{_SQL} SELECT {_COLUMNS} FROM r"),
-    "rank_full_by_runs": (partial(rank_full, window_rows=0), f"{_SQL} SELECT {_COLUMNS} FROM r"),
+    "rank_full_by_runs": (partial(rank_full, runs=48), f"{_SQL} SELECT {_COLUMNS} FROM r"),
     "rank_top_n": (partial(rank_top, 50), f"{_SQL} SELECT {_COLUMNS} FROM r WHERE rank <= 50"),
     "rank_per_role": (partial(rank_top, 3), f"{_SQL} SELECT {_COLUMNS} FROM r WHERE rank <= 3"),
     "rank_formatted": (rank_formatted, f"{_SQL} {_TEXT}"),
@@ -183,5 +183,6 @@ QUERIES = {
         count(*) FILTER (rank <= 50 AND p.role IS NOT NULL) AS resumes_copied
         FROM r LEFT JOIN {_FILES} p USING (role, candidate_id) GROUP BY r.role""",
     ),
+    "rank_large_n": (partial(rank_top, 200_000), f"{_SQL} SELECT {_COLUMNS} FROM r WHERE rank <= 200000"),
     "ranked_files": (ranked_files, f"{_SQL} {_TEXT}"),
 }

@@ -20,11 +20,12 @@ from catalog.base import (
 )
 from candrank.operators import requests, scoring, state
 from candrank.plans import run
+from candrank.plans.joins import fits
 from candrank.plans.scratch import new_path, written
 from candrank.schemas import KEY
 from candrank.sources.store import Store
 
-# Every document's candidate has been parsed; labelled ones have a stored text.
+# Every document's candidate has been parsed; one of eleven has no stored text.
 _PARSED_STATE = """
 SELECT role, candidate_id, source_url AS applicant_url, current_title, current_company,
        cast('2024-01-01' AS timestamp) AS profile_scraped_at,
@@ -39,17 +40,25 @@ FROM (PEOPLE)
 
 _TEXTS = """
 SELECT 'r' || (doc_id % 5) AS role, 'c' || doc_id AS candidate_id, text
-FROM {documents} JOIN {labels} USING (doc_id)
+FROM {documents} WHERE doc_id % 11 <> 0
+"""
+
+_ALL_TEXTS = """
+SELECT 'r' || (doc_id % 5) AS role, 'c' || doc_id AS candidate_id, text FROM {documents}
 """
 
 
 def _recorded(spark, sf, full: bool) -> DataFrame:
-    """Recorded answers of labelled documents.
+    """Recorded answers of all documents.
 
-    toxic: the call failed. quality 0: the knockout failed. Every 13th total is out of
-    range. The full pass fails the knockout of every 4th document as well.
+    toxic: the call failed. quality 0: the knockout failed. Documents without a label passed. Every
+    13th total is out of range. The full pass fails the knockout of every 4th document as well.
     """
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    docs = (
+        table(spark, sf, "documents")
+        .join(table(spark, sf, "labels"), "doc_id", "left")
+        .na.fill({"quality": 1, "toxic": 0})
+    )
     passed = F.col("quality") == 1
     if full:
         passed = passed & (F.col("doc_id") % 4 != 0)
@@ -130,7 +139,7 @@ def documents_written(spark, sf):
 
 
 def latest_documents(spark, sf):
-    """Events as documents: a user is a candidate, an hour a run, purchases the full pass."""
+    """Events as documents: a user is a candidate, an event a run, purchases the full pass."""
     docs = table(spark, sf, "events").select(
         F.lit("r").alias("role"),
         F.concat(F.lit("u"), "user_id").alias("candidate_id"),
@@ -197,6 +206,67 @@ def scorer_rounds(spark, sf):
     )
 
 
+def _waves(spark, sf):
+    """Live calls over every document's request in waves, the third one lost at first."""
+    people = select(spark, sf, PEOPLE)
+    texts = select(spark, sf, _ALL_TEXTS)
+    blocks = requests.candidate_blocks(people, texts, people, PEOPLE_COLUMNS)
+    prefixes = requests.role_prefixes(rubrics(spark, sf), select(spark, sf, JOBS))
+    scorer, store, small = _scorer(), Store(spark, new_path(spark, "waves")), fits(prefixes)
+    waves = 4
+    due = store.once_by("due", scoring.with_waves(blocks, waves), "wave")
+
+    def save(stop, answers, wave, number):
+        if wave == stop:
+            raise InterruptedError
+        return store.once(f"attempts/{wave}-{number}", answers.withColumn("asked_in", F.lit("first" if stop else "second")))
+
+    def ask(stop=None):
+        return scoring.run_waves(
+            due,
+            waves,
+            lambda rows: scoring.build_requests(rows, prefixes, scorer, True, scoring.tasks_for(8), small=small),
+            scorer,
+            True,
+            partial(save, stop),
+            delays=(0.0,),
+        )
+
+    try:
+        ask(stop=2)
+    except InterruptedError:
+        pass
+    return due, waves, ask()
+
+
+def scorer_waves(spark, sf):
+    """Answers of a stage that was lost in its third wave, and in which run each was asked for.
+
+    Every wave before the third was answered by the first run, every other by the second.
+    """
+    due, _, attempts = _waves(spark, sf)
+    asked = attempts.groupBy(*KEY).agg(F.max("asked_in").alias("asked_in"), F.max("attempt").alias("tries"))
+    once = due.select(*KEY, F.when(F.col("wave") < 2, "first").otherwise("second").alias("expected"))
+    resolved = scoring.resolve(attempts.drop("asked_in"))
+    return resolved.join(asked, list(KEY)).join(once, list(KEY)).select(
+        *KEY,
+        "error",
+        "tries",
+        F.variant_get("payload", "$.weighted_total", "double").alias("weighted_total"),
+        (F.col("asked_in") == F.col("expected")).alias("asked_once"),
+    )
+
+
+def wave_progress(spark, sf):
+    """How far a stage's waves are, per role."""
+    due, _, attempts = _waves(spark, sf)
+    return (
+        scoring.wave_progress(due, attempts)
+        .groupBy("role")
+        .agg(*[F.sum(c).alias(c) for c in ("due", "answered", "failed", "waiting")])
+    )
+
+
 def end_to_end(mode, spark, sf):
     """Ingest, parse, score and rank over a new store; the full ranking."""
     store = Store(spark, new_path(spark, "store"), buckets=8)
@@ -221,11 +291,13 @@ def end_to_end(mode, spark, sf):
 
 
 _DUCK_TWO = duck(f"""
-WITH l AS (SELECT *, 'r' || (doc_id % 5) AS role, 'c' || doc_id AS candidate_id FROM documents LEFT JOIN labels USING (doc_id)),
+WITH l AS (SELECT doc_id, text, coalesce(quality, 1) AS quality, coalesce(toxic, 0) AS toxic,
+                  'r' || (doc_id % 5) AS role, 'c' || doc_id AS candidate_id
+           FROM documents LEFT JOIN labels USING (doc_id)),
 stages AS (
-  SELECT *, CASE WHEN quality IS NULL THEN 'skipped' WHEN toxic = 1 THEN 'call'
+  SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'skipped' WHEN toxic = 1 THEN 'call'
                  WHEN quality = 0 THEN 'out' WHEN doc_id % 13 = 0 THEN 'range' ELSE 'ok' END AS two,
-            CASE WHEN quality IS NULL THEN 'skipped' WHEN toxic = 1 THEN 'call'
+            CASE WHEN doc_id % 11 = 0 THEN 'skipped' WHEN toxic = 1 THEN 'call'
                  WHEN doc_id % 13 = 0 THEN 'range' WHEN quality = 0 OR doc_id % 4 = 0 THEN 'out' ELSE 'ok' END AS one
   FROM l)
 """)
@@ -236,7 +308,7 @@ _RUN_SQL = """
 WITH d AS (
   SELECT doc_id, 'r' || (doc_id % 5) AS role, 'c' || doc_id AS candidate_id, lang, source, text,
          length(text) AS n
-  FROM documents JOIN labels USING (doc_id)),
+  FROM documents WHERE doc_id % 11 <> 0),
 s AS (SELECT * FROM d WHERE n >= 200 AND n % 7 <> 0 AND n % 5 <> 0)
 SELECT role, row_number() OVER (PARTITION BY role ORDER BY n % 101 DESC, doc_id) AS rank, candidate_id,
        'Name ' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS headline,
@@ -289,6 +361,19 @@ QUERIES = {
            CASE WHEN length(text) % 7 <> 0 THEN cast(length(text) % 101 AS double) / 10 END AS weighted_total,
            CASE WHEN length(text) % 7 <> 0 THEN md5(text) END AS digest FROM documents""",
     ),
+    "scorer_waves": (
+        scorer_waves,
+        """SELECT 'r' || (doc_id % 5) AS role, 'c' || doc_id AS candidate_id,
+           CASE WHEN length(text) % 7 = 0 THEN 'failed after 2 attempts: busy' END AS error,
+           CASE WHEN length(text) % 7 = 0 THEN 2 ELSE 1 END AS tries,
+           CASE WHEN length(text) % 7 <> 0 THEN cast(length(text) % 101 AS double) / 10 END AS weighted_total,
+           true AS asked_once FROM documents""",
+    ),
+    "wave_progress": (
+        wave_progress,
+        """SELECT 'r' || (doc_id % 5) AS role, count(*) AS due, count(*) FILTER (length(text) % 7 <> 0) AS answered,
+           count(*) FILTER (length(text) % 7 = 0) AS failed, 0 AS waiting FROM documents GROUP BY 1""",
+    ),
     "end_to_end_single": (partial(end_to_end, "single"), _RUN_SQL),
     "end_to_end_two_stage": (partial(end_to_end, "two-stage"), _RUN_SQL),
 }

@@ -72,7 +72,42 @@ def test_window_and_runs_agree_with_a_sort(spark):
     df = rows(spark, data).repartition(5)
     expected = expected_ranks(data)
     assert got_ranks(ranking.rank_all(df)) == expected
-    assert got_ranks(ranking.rank_all(df, window_rows=100)) == expected
+    assert got_ranks(ranking.rank_all(df, runs=9)) == expected
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def below_windows(plan):
+    """The parts of a plan that windows, sorts and repartitionings read."""
+    depth, out = None, []
+    for line in plan.splitlines():
+        at = next((i for i, c in enumerate(line) if c.isalpha()), 0)
+        if depth is not None and at <= depth:
+            depth = None
+        if depth is None and line[at:].startswith(("Window", "Sort", "Repartition")):
+            depth = at
+        if depth is not None:
+            out.append(line)
+    return "\n".join(out)
+
+
+def test_ranking_sorts_keys_and_order_alone(spark, monkeypatch):
+    """Neither the sort nor a window sees the summary; in every size the ranks come by key."""
+    wide = rows(spark, sample(200)).withColumn("summary", F.concat(F.lit("long text "), "candidate_id"))
+    plans, original = [], ranking.written
+
+    def noted(df, label):
+        plans.append((label, plan_of(df)))
+        return original(df, label)
+
+    monkeypatch.setattr(ranking, "written", noted)
+    for ranked in (ranking.rank_all(wide), ranking.top_n(wide, 7)):
+        assert all("summary" not in plan for _, plan in plans)
+        assert "summary" in plan_of(ranked) and "summary" not in below_windows(plan_of(ranked))
+    sorts = [label for label, plan in plans if "Sort [" in plan]
+    assert sorts == ["ranked-runs"]
 
 
 def test_a_large_role_is_split_over_tasks(spark):
@@ -86,23 +121,22 @@ def test_a_large_role_is_split_over_tasks(spark):
 def test_top_n(spark, n):
     data = sample(2000)
     expected = {k: r for k, r in expected_ranks(data).items() if r <= n}
-    assert got_ranks(ranking.top_n(rows(spark, data).repartition(4), n)) == expected
-
-
-def test_top_n_prunes_before_the_shuffle(spark):
-    plan = ranking.top_n(rows(spark, sample(100)), 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") >= 2
+    for fan in (2, 64):
+        assert got_ranks(ranking.top_n(rows(spark, data).repartition(7), n, fan=fan)) == expected
+
+
+def test_top_n_sends_n_rows_a_task(spark):
+    """Each of 7 tasks sends on 5 rows of a role at most, whatever the role's size."""
+    data = rows(spark, sample(2000)).repartition(7)
+    top = ranking.top_numbers(data, ["role", "candidate_id"], 5, 7, fan=2)
+    assert {r.role: r.n for r in top.groupBy("role").agg(F.count("*").alias("n")).collect()} == dict.fromkeys(("hot", "a", "b", "c"), 5)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    # Three rounds, each pruned before and after its exchange.
+    assert plan.count("WindowGroupLimit") == 6 and plan.count("hashpartitioning(role") == 3
     with pytest.raises(ValueError):
         ranking.top_n(rows(spark, sample(10)), 0)
 
 
-def test_large_n_uses_the_full_ranking(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "PRUNED_TOP", 3)
-    data = sample(300)
-    expected = {k: r for k, r in expected_ranks(data).items() if r <= 10}
-    assert got_ranks(ranking.top_n(rows(spark, data), 10)) == expected
-
-
 def test_names_widen_past_999(spark):
     top = spark.range(1, 1201).select(
         F.lit("r").alias("role"), F.concat(F.lit("c"), "id").alias("candidate_id"), F.col("id").alias("rank")

@@ -114,7 +114,7 @@ def inputs(folder):
     )
 
 
-def start(spark, folder, store, **more):
+def start(spark, folder, store, notes=None, **more):
     settings = run.ScoreSettings(delays=(0.0,), **more)
     return run.run_all(
         store,
@@ -127,6 +127,7 @@ def start(spark, folder, store, **more):
         resume_contents(spark, str(folder / "pdf"), "eng"),
         readers=[("plain", reader)],
         settings=settings,
+        notes=notes,
     )
 
 
@@ -202,7 +203,13 @@ def test_bucketed_stages_move_no_rows(spark, tmp_path):
         (attempt,) = (tmp_path / "store/attempts").glob("s00000002-*-single-1")
         answers = store.read(f"attempts/{attempt.name}")
         checked = scoring.outcomes(scoring.readiness(queued, texts), scoring.resolve(answers), True, True)
-        for df in (blocks, reading, after, rows, checked, state.upsert(now, store.read("arrived"), AS_OF)):
+        # The latest answers are found and ranked without the documents.
+        ordered = ranking.scored_order(now, scoring.latest_documents(results))
+        for df in (rows, ordered):
+            schemas = [x for x in df._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1:]]
+            assert schemas and not any("document" in x.split(">")[0] for x in schemas)
+        assert "summary" not in ordered._jdf.queryExecution().executedPlan().toString()
+        for df in (blocks, reading, after, rows, ordered, checked, state.upsert(now, store.read("arrived"), AS_OF)):
             assert exchanges(df) == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -300,6 +307,116 @@ def test_interrupted_stage_reuses_saved_answers(spark, tmp_path, changed):
     assert os.path.exists(answered) == bool(changed)
 
 
+@pytest.mark.parametrize("buckets", [None, 4])
+def test_waves_are_not_asked_again(spark, tmp_path, buckets):
+    """Lost in the third wave: the waves before it make no call when the stage goes on."""
+    count = 40
+    words = {f"c{i}": long(f"{'ERROR' if i % 9 == 0 else 'OK'} {i % 10}") for i in range(count)}
+    store = Store(spark, str(tmp_path / "store"), buckets)
+    raw = spark.createDataFrame([("eng", k, i) for i, k in enumerate(words)], "role string, candidate_id string, ingest_seq int")
+    run.run_ingest(store, raw, raw.select("role", "candidate_id"), AS_OF)
+    readings = spark.createDataFrame(
+        [("eng", k, t, "p", None) for k, t in words.items()],
+        "role string, candidate_id string, text string, extractor string, error string",
+    )
+    run.run_parse(store, AS_OF, readings=readings)
+    rubrics = rubric_row(spark, RUBRIC, "eng")
+    jobs = spark.createDataFrame([("eng", "job")], "role string, job_text string")
+    settings = run.ScoreSettings(delays=(0.0,), wave_rows=8)
+    assert run.stage_progress(store) is None
+    log, original = str(tmp_path / "calls"), store.once
+
+    def lost(table, df):
+        if "-single-2-" in table:
+            raise OSError("lost")
+        return original(table, df)
+
+    store.once = lost
+    with pytest.raises(OSError):
+        run.run_score(store, rubrics, jobs, Scorer("chat_completion", "m", logging(log)), AS_OF, settings=settings)
+    store.once = original
+    first = asked(log)
+    progress = {r.wave: r for r in run.stage_progress(store).collect()}
+    assert sorted(progress) == list(range(5)) and sum(r.due for r in progress.values()) == count
+    assert [progress[w].waiting for w in range(2)] == [0, 0]
+    assert all(progress[w].waiting == progress[w].due for w in range(2, 5))
+    assert sum(r.due for r in progress.values() if r.wave < 2) == len(set(first))
+
+    # Other waves in the settings change nothing now.
+    settings = run.ScoreSettings(delays=(0.0,), wave_rows=3)
+    summary = run.run_score(store, rubrics, jobs, Scorer("chat_completion", "m", logging(log)), AS_OF, settings=settings)
+    later = asked(log)[len(first) :]
+    assert set(first).isdisjoint(later) and len(set(first) | set(later)) == count
+    bad = sum(t.startswith("ERROR") for t in words.values())
+    # Only failures are asked twice.
+    assert len(first) + len(later) == count + bad
+    assert summary.first().stage2_scored == count - bad and summary.first().failed == bad
+    assert run.stage_progress(store) is None
+    assert store.read("results").count() == count
+
+
+def logging(path):
+    def call(request):
+        with open(path, "a") as out:
+            out.write(json.loads(request)["messages"][1]["content"].split("CANDIDATE_ID: ")[-1].split("\n")[0] + "\n")
+        return answer(request)
+
+    return call
+
+
+def asked(path):
+    with open(path) as calls:
+        return calls.read().splitlines()
+
+
+def test_failed_parses_are_retried(spark, tmp_path):
+    inputs(tmp_path)
+    store = Store(spark, str(tmp_path / "store"), 4)
+    run.run_ingest(
+        store,
+        read_candidates(spark, str(tmp_path / "in.csv"), "eng"),
+        resume_contents(spark, str(tmp_path / "pdf"), "eng"),
+        AS_OF,
+    )
+    broken = {k for k, v in _after_parse(store, AS_OF, reader).items() if v == "unparseable"}
+    assert broken
+    # Without the option nothing is due, with it the failures alone are.
+    assert run.run_parse(store, AS_OF, [("plain", reader)]).count() == 0
+    mended = _after_parse(store, AS_OF, lambda content: [long("OK 4")], retry_failed=True)
+    assert all(mended[k] == "discovered" for k in broken)
+    texts = extract.useful(store.read("texts")).filter("text like 'OK 4%'")
+    assert {r.candidate_id for r in texts.collect()} >= broken
+    stamped = store.read("state").filter("resume_parsed_at is not null")
+    assert broken <= {r.candidate_id for r in stamped.collect()}
+
+
+def _after_parse(store, as_of, how, **more):
+    run.run_parse(store, as_of, [("plain", how)], **more)
+    return statuses(store)
+
+
+def test_run_metadata(spark, tmp_path):
+    inputs(tmp_path)
+    store = Store(spark, str(tmp_path / "store"), 4)
+    first = start(spark, tmp_path, store, notes={"job_id": "j1", "source_url": "u"})
+
+    def held(df):
+        return {r.key: r.value for r in df.collect()}
+
+    assert held(first["meta"]) == {"created_at": AS_OF, "role": "Builder", "job_id": "j1", "source_url": "u"}
+    again = run.run_all(
+        store,
+        str(tmp_path / "out2"),
+        "2024-06-01 00:00:00",
+        rubric_row(spark, {**RUBRIC, "role": "Maker"}, "eng"),
+        spark.createDataFrame([("eng", "job")], "role string, job_text string"),
+        SCORER,
+        readers=[("plain", reader)],
+        notes={"job_id": "j2"},
+    )
+    assert held(again["meta"]) == {"created_at": AS_OF, "role": "Maker", "job_id": "j2", "source_url": "u"}
+
+
 def counting(path):
     def call(request):
         open(path, "a").close()
