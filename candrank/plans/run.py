@@ -24,8 +24,9 @@ from candrank.plans.joins import fits
 from candrank.plans.scratch import written
 from candrank.schemas import KEY
 from candrank.sources.candidates import IngestError, unknown_columns
+from candrank.sources.files import write_files
 from candrank.sources.rankings import write_ranked
-from candrank.sources.resumes import ranked_bundle
+from candrank.sources.resumes import ResumeScan, ranked_bundle
 from candrank.sources.store import Store
 
 
@@ -107,7 +108,8 @@ def run_ingest(
         last = _without_roles(store.read("metadata"), roles).unionByName(last, True)
     store.write("metadata", last)
     if "content" in resumes.columns:
-        _keep_resumes(store, resumes)
+        # A file known already, as a scan of changes finds it, comes without its content.
+        _keep_resumes(store, resumes.filter(F.col("content").isNotNull()))
     found = ingest.resume_presence(
         ingest.keep_first(ingest.normalise(ours)), resumes.select(*KEY).distinct()
     )
@@ -119,6 +121,14 @@ def run_ingest(
     )
 
 
+def run_ingest_folder(store: Store, raw: DataFrame, path: str, role: str, as_of, **more) -> DataFrame:
+    """:func:`run_ingest` of a role with its resume folder, of which only changed files are read."""
+    scan = ResumeScan(store, path, role)
+    summary = run_ingest(store, raw, scan.resumes, as_of, **more)
+    scan.done()
+    return summary
+
+
 def run_parse(
     store: Store,
     as_of,
@@ -325,10 +335,13 @@ def run_rank(
     top: int = C.DEFAULT_TOP_N,
     strict_metadata: bool = False,
     trust_reply_id: bool = True,
+    bundle_files: bool = False,
 ) -> DataFrame:
     """Write the full ranking, the top N and the bundle under ``out``; return the summary.
 
-    ``out`` must be new: a ranking never mixes with the files of an earlier one.
+    ``out`` must be new: a ranking never mixes with the files of an earlier one. With
+    ``bundle_files`` the bundle's resumes are written as files of their own as well, under
+    ``out/ranked_files``, N per role at most.
     """
     now = current_state(store)
     metadata, _ = _metadata(store, strict_metadata)
@@ -347,6 +360,8 @@ def run_rank(
         bundle = ranked_bundle(first, none)
     bundle.write.partitionBy("role").parquet(f"{out}/ranked_resumes")
     copied = store.spark.read.schema(bundle.schema).parquet(f"{out}/ranked_resumes")
+    if bundle_files:
+        write_files(copied, f"{out}/ranked_files")
     return ranking.rank_summary(ranked, first, copied.select("role"))
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candrank.operators.ranking import with_bundle_names
+from candrank.plans.joins import fits
+from candrank.plans.scratch import written
 from candrank.sources.candidates import IngestError
+from candrank.sources.store import Store
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -33,6 +38,71 @@ def resume_contents(spark: SparkSession, path: str, role: str) -> DataFrame:
     return _keyed(_files(spark, path, "*.pdf"), role, ".pdf", "content")
 
 
+def resume_listing(spark: SparkSession, path: str, role: str) -> DataFrame:
+    """(role, candidate_id, path, length, modified) of the files there are; contents are not read."""
+    found = _files(spark, path, "*.pdf")
+    return _keyed(found, role, ".pdf", "path", "length", F.col("modificationTime").alias("modified"))
+
+
+def listing_changes(now: DataFrame, before: DataFrame) -> DataFrame:
+    """``now`` and what is gone since ``before``, with ``change``: new, changed, same or gone.
+
+    A file changed if its length or its time of modification did, later or earlier.
+    """
+    key = ["role", "candidate_id"]
+    old = before.select(*key, F.col("path").alias("_path"), F.col("length").alias("_length"), F.col("modified").alias("_modified"))
+    both = now.join(old, key, "full")
+    same = (F.col("length") == F.col("_length")) & (F.col("modified") == F.col("_modified"))
+    change = (
+        F.when(F.col("path").isNull(), "gone")
+        .when(F.col("_path").isNull(), "new")
+        .when(same, "same")
+        .otherwise("changed")
+    )
+    return both.select(*key, F.coalesce("path", "_path").alias("path"), "length", "modified", change.alias("change"))
+
+
+def changed_contents(spark: SparkSession, path: str, changes: DataFrame) -> DataFrame:
+    """(role, candidate_id, content) of new and changed files.
+
+    Times and lengths no changed file has are pushed to the scan, which does not open the others;
+    among the files left, the changed ones are found by their path.
+    """
+    wanted = changes.filter(F.col("change").isin("new", "changed")).select("role", "candidate_id", "path", "length", "modified")
+    first, least, most = wanted.agg(F.min("modified"), F.min("length"), F.max("length")).first()
+    files = _files(spark, path, "*.pdf")
+    if first is None:
+        files = files.limit(0)
+    else:
+        due = F.col("modificationTime") >= F.lit(first)
+        files = files.filter(due & (F.col("length") >= least) & (F.col("length") <= most))
+    keys = wanted.drop("length", "modified")
+    keys = F.broadcast(keys) if fits(keys) else keys
+    return files.select("path", "content").join(keys, "path").select("role", "candidate_id", "content")
+
+
+class ResumeScan:
+    """A folder's files now, with contents where they are new or changed since the last scan.
+
+    ``resumes`` is what an ingest takes: a key per file, and the contents of changed files only.
+    ``done()`` keeps the listing in the store, one for each folder and role. Call it once the
+    ingest is through; without it the next scan reads the same files again.
+    """
+
+    def __init__(self, store: Store, path: str, role: str):
+        self._store = store
+        self._name = "listing/" + hashlib.sha256(f"{role}|{path.rstrip('/')}".encode()).hexdigest()[:24]
+        self._now = written(resume_listing(store.spark, path, role), "listing")
+        before = store.read(self._name) if store.exists(self._name) else self._now.limit(0)
+        self.changes = written(listing_changes(self._now, before), "listing-changes")
+        contents = written(changed_contents(store.spark, path, self.changes), "changed-contents")
+        keys = self._now.select("role", "candidate_id")
+        self.resumes = keys.join(contents, ["role", "candidate_id"], "left")
+
+    def done(self) -> None:
+        self._store.write(self._name, self._now)
+
+
 def ranked_bundle(
     top: DataFrame, resumes: DataFrame, max_literals: int = 1000
 ) -> DataFrame:

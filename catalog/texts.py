@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -20,6 +21,12 @@ from catalog.base import (
 from candrank import constants as C
 from candrank.functions import text as T
 from candrank.operators import extract, requests, rubric
+from candrank.plans.scratch import new_path
+from candrank.sources.documents import read_documents
+from candrank.sources.files import write_files
+from candrank.sources.resumes import ResumeScan
+from candrank.sources.rubrics import read_job_description
+from candrank.sources.store import Store
 
 
 def page_assembly(spark, sf, block=extract.PAGES_PER_BLOCK):
@@ -72,6 +79,57 @@ def read_files(spark, sf):
     )
 
 
+def _as_files(spark, sf, sql: str, suffix: str, path: str):
+    """Write (role, candidate_id, content) as files; the folder of role r0."""
+    rows = spark.sql(sql, documents=table(spark, sf, "documents"))
+    name = F.concat("candidate_id", F.lit(suffix)).alias("file_name")
+    return write_files(rows.select("role", name, "content"), path)
+
+
+def resume_scan(spark, sf):
+    """Two scans of a folder: a third of its files changed between them and a fifth are new."""
+    path, store = new_path(spark, "resumes"), Store(spark, new_path(spark, "scans"))
+    first = "SELECT 'all' AS role, 'c' || doc_id AS candidate_id, cast(text AS binary) AS content FROM {documents} WHERE doc_id % 5 <> 4"
+    later = "SELECT 'all' AS role, 'c' || doc_id AS candidate_id, cast(text || '+' || source AS binary) AS content FROM {documents} WHERE doc_id % 3 = 0 OR doc_id % 5 = 4"
+    _as_files(spark, sf, first, ".pdf", path)
+    ResumeScan(store, f"{path}/role=all", "all").done()
+    _as_files(spark, sf, later, ".pdf", path)
+    scan = ResumeScan(store, f"{path}/role=all", "all")
+    changes = scan.changes.select("role", "candidate_id", "change")
+    return scan.resumes.join(changes, ["role", "candidate_id"]).select(
+        "candidate_id", "change", F.md5("content").alias("digest")
+    )
+
+
+def document_files(spark, sf):
+    """Every document as a JSON file of its own, read back by name."""
+    path = new_path(spark, "score-files")
+    sql = """SELECT 'r' || (doc_id % 5) AS role, 'c+' || doc_id || ' x' AS candidate_id,
+                    cast(to_json(named_struct('summary', text)) AS binary) AS content FROM {documents}"""
+    _as_files(spark, sf, sql, ".json", path)
+    roles = [read_documents(spark, f"{path}/role=r{i}", f"r{i}") for i in range(5)]
+    every = roles[0]
+    for more in roles[1:]:
+        every = every.unionByName(more)
+    return every.select(
+        "role", "candidate_id", F.md5(F.get_json_object("document", "$.summary")).alias("digest")
+    )
+
+
+def job_text(spark, sf):
+    """A job text per region, written as a file and read back without white space around it."""
+    path = new_path(spark, "jobs")
+    rows = spark.sql(
+        """SELECT 'r' || r_regionkey AS role, 'job.txt' AS file_name,
+                  cast(chr(10) || ' We hire in' || chr(10) || r_name || chr(9) || chr(10) AS binary) AS content
+           FROM {region}""",
+        region=table(spark, sf, "region"),
+    )
+    found = write_files(rows, path).collect()
+    every = [read_job_description(spark, f"{path}/role={r.role}/{r.file_name}", r.role) for r in found]
+    return reduce(DataFrame.unionByName, every)
+
+
 _PARSE = """
 SELECT 'r' || (d.doc_id % 5) AS role, 'c' || d.doc_id AS candidate_id, d.text AS text,
        'first' AS extractor, CASE WHEN l.toxic = 1 THEN d.text END AS error
@@ -286,6 +344,21 @@ QUERIES = {
                CASE WHEN bad = 1 THEN 'cannot decode' END AS error
         FROM t""",
     ),
+    "resume_scan": (
+        resume_scan,
+        """SELECT 'c' || doc_id AS candidate_id,
+           CASE WHEN doc_id % 5 = 4 THEN 'new' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'same' END AS change,
+           CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 4 THEN md5(text || '+' || source) END AS digest FROM documents""",
+    ),
+    "document_files": (
+        document_files,
+        """SELECT 'r' || (doc_id % 5) AS role, 'c+' || doc_id || ' x' AS candidate_id, md5(text) AS digest FROM documents""",
+    ),
+    "job_text": (
+        job_text,
+        """SELECT 'r' || r_regionkey AS role,
+           'We hire in' || chr(10) || r_name AS job_text FROM region""",
+    ),
     "parse_events": (
         parse_events,
         _PARSED_ALL

@@ -5,12 +5,13 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from candrank.operators import extract, ranking, requests, scoring, state
 from candrank.operators.scoring import Scorer
 from candrank.plans import run
 from candrank.sources.candidates import IngestError, read_candidates
-from candrank.sources.resumes import resume_contents
+from candrank.sources.resumes import ResumeScan, resume_contents
 from candrank.sources.rubrics import rubric_row
 from candrank.sources.store import Store
 
@@ -183,6 +184,54 @@ def test_single_mode_end_to_end(spark, tmp_path, buckets):
     assert bytes(bundle[1].content).decode() == long("OK 3")
 
 
+def test_bundle_as_files_and_header_only_rankings(spark, tmp_path):
+    inputs(tmp_path)
+    store = Store(spark, str(tmp_path / "store"), 4)
+    start(spark, tmp_path, store)
+    # A role of which nothing is ranked.
+    raw = spark.createDataFrame([("idle", "x/1", 1)], "role string, candidate_id string, n int")
+    run.run_ingest(store, raw.select("role", "candidate_id", _seq().alias("ingest_seq")), raw.limit(0), AS_OF)
+    run.run_rank(store, str(tmp_path / "files"), bundle_files=True)
+    folder = tmp_path / "files/ranked_files/role=eng"
+    assert {f.name: f.read_bytes().decode() for f in folder.iterdir() if f.name[0] != "."} == {
+        "001_c2.pdf": (tmp_path / "pdf/c2.pdf").read_text(),
+        "002_c1.pdf": (tmp_path / "pdf/c1.pdf").read_text(),
+    }
+    for name in ("ranked", "ranked_full"):
+        (bare,) = [f for f in (tmp_path / "files" / name / "role=idle").iterdir() if f.name[0] not in "._"]
+        full = [f for f in (tmp_path / "files" / name / "role=eng").iterdir() if f.suffix == ".csv"]
+        assert bare.read_text() == full[0].read_text().splitlines()[0] + "\n"
+
+
+def _seq():
+    return F.struct(F.lit("f").alias("file"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row"))
+
+
+def test_scan_reads_changed_files_only(spark, tmp_path):
+    folder, store = tmp_path / "pdf", Store(spark, str(tmp_path / "store"), 4)
+    folder.mkdir()
+    for name in "abcd":
+        (folder / f"{name}.pdf").write_text(f"first {name}")
+    raw = spark.createDataFrame([("eng", k, i) for i, k in enumerate("abcde")], "role string, candidate_id string, ingest_seq int")
+    run.run_ingest_folder(store, raw, str(folder), "eng", AS_OF)
+    (folder / "b.pdf").write_text("second b")
+    os.utime(folder / "c.pdf", (1_000_000, 1_000_000))  # older than before, still another file
+    (folder / "c.pdf").open("a").close()
+    (folder / "d.pdf").unlink()
+    (folder / "e.pdf").write_text("first e")
+    scan = ResumeScan(store, str(folder), "eng")
+    assert {r.candidate_id: r.change for r in scan.changes.collect()} == {"a": "same", "b": "changed", "c": "changed", "d": "gone", "e": "new"}
+    assert {r.candidate_id for r in scan.resumes.filter("content is not null").collect()} == {"b", "c", "e"}
+    # A scan that was not ended is made again.
+    run.run_ingest_folder(store, raw, str(folder), "eng", AS_OF)
+    assert {r.candidate_id: bytes(r.content).decode() for r in store.read("resumes").collect()} == {
+        "a": "first a", "b": "second b", "c": "first c", "d": "first d", "e": "first e"
+    }
+    assert statuses(store) == {"a": "ok", "b": "ok", "c": "ok", "d": "no_resume", "e": "no_resume"}
+    still = ResumeScan(store, str(folder), "eng")
+    assert still.resumes.filter("content is not null").count() == 0 and still.resumes.count() == 4
+
+
 def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
 
