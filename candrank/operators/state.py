@@ -88,6 +88,58 @@ def upsert(state: DataFrame, candidates: DataFrame, as_of, sticky_no_resume: boo
     )
 
 
+ARRIVAL = ("source_url", "current_title", "current_company", "has_resume", "ingest_seq")
+
+
+def arrivals(candidates: DataFrame, as_of, number: int, sticky_no_resume: bool = True) -> DataFrame:
+    """The candidates of one ingest as rows that can be kept and applied later, in order of ``number``."""
+    return candidates.select(
+        *KEY,
+        *ARRIVAL,
+        F.lit(number).cast("long").alias("number"),
+        instant(as_of).alias("at"),
+        F.lit(sticky_no_resume).alias("sticky"),
+    )
+
+
+def upsert_arrivals(state: DataFrame, arrived: DataFrame) -> DataFrame:
+    """What :func:`upsert` gives for one ingest after the other, from all their rows at once.
+
+    ``arrived``: rows of :func:`arrivals`, one per key and number; the rows of a key are reduced
+    to one, so any number of ingests costs one join. The setting of a key's last ingest holds.
+    """
+    order, has = F.col("number"), F.col("has_resume")
+    shown = F.struct("source_url", "current_title", "current_company", "has_resume", "at", "sticky")
+    each = arrived.groupBy(*KEY).agg(
+        F.max_by(shown, order).alias("_last"),
+        F.min_by(F.struct("ingest_seq", "at"), order).alias("_first"),
+        F.max(F.when(has, F.struct("number", "at"))).alias("_found"),
+        F.max(~has).alias("_missed"),
+    )
+    both = state.join(each, list(KEY), "full")
+    seen, last = F.col("_last").isNotNull(), F.col("_last")
+    known = F.coalesce("status", F.lit("discovered"))
+    profiled = F.when(known.isin("discovered", "failed_scrape"), F.lit("ok")).otherwise(known)
+    # Without a resume once, a candidate stays so, or is taken up again by a last ingest with one.
+    kept = F.when(F.col("_missed"), F.lit("no_resume")).otherwise(profiled)
+    renewed = F.when(F.col("_missed") | (known == "no_resume"), F.lit("ok")).otherwise(profiled)
+    status = F.when(last["sticky"], kept).when(last["has_resume"], renewed).otherwise(F.lit("no_resume"))
+    changed = {
+        "applicant_url": last["source_url"],
+        "current_title": last["current_title"],
+        "current_company": last["current_company"],
+        "profile_scraped_at": last["at"],
+        "resume_downloaded_at": F.coalesce(F.col("_found")["at"], F.col("resume_downloaded_at")),
+        "status": status,
+        "last_error": F.lit(None).cast("string"),
+        "updated_at": last["at"],
+    }
+    rows = {name: F.when(seen, value).otherwise(F.col(name)) for name, value in changed.items()}
+    rows["created_at"] = F.coalesce("created_at", F.col("_first")["at"])
+    rows["ingest_seq"] = F.coalesce("ingest_seq", F.col("_first")["ingest_seq"])
+    return both.select(*KEY, *[rows.get(c, F.col(c)).alias(c) for c in STATE_COLUMNS if c not in KEY])
+
+
 def apply_events(state: DataFrame, events: DataFrame, as_of) -> DataFrame:
     """Apply one event per key.
 

@@ -32,16 +32,35 @@ from candrank.sources.store import Store
 
 
 def current_state(store: Store, seq_type=None) -> DataFrame:
+    """The last version of the state with the arrivals that were added to it since."""
     if store.exists("state"):
-        return store.read("state")
+        stored, added = store.read("state"), _arrivals(store)
+        return state.upsert_arrivals(stored, store.read(added)) if store.exists(added) else stored
     if seq_type is None:
         raise FileNotFoundError("nothing has been ingested yet")
     return state.empty_state(store.spark, seq_type)
 
 
+def _arrivals(store: Store) -> str:
+    """The table of what arrived since the state was last written."""
+    return f"arrivals/{_label(store)}"
+
+
+def settle(store: Store) -> None:
+    """Write the state with its arrivals, if there are any, as its next version."""
+    if store.exists("state") and store.exists(_arrivals(store)):
+        store.write("state", current_state(store))
+
+
+def stored_metadata(store: Store) -> DataFrame:
+    """The last row per untrimmed id, of the stored rows and those added since."""
+    rows = store.read("metadata")
+    return ingest.metadata_keep_last(rows) if store.appended("metadata") else rows
+
+
 def _metadata(store: Store, strict: bool) -> tuple[DataFrame, list[str]]:
     """The lookup of input columns: last row per untrimmed id, or the state's own rows."""
-    lookup = ingest.metadata_keep_first(store.read("candidates")) if strict else store.read("metadata")
+    lookup = ingest.metadata_keep_first(store.read("candidates")) if strict else stored_metadata(store)
     return lookup, [c for c in lookup.columns if c not in ("role", "ingest_seq")]
 
 
@@ -88,7 +107,9 @@ def run_ingest(
     whatever an earlier ingest found. With a ``content`` column the contents are kept too,
     for parsing, the newest per key. The raw rows replace the kept ones of the same roles,
     or with ``accumulate`` join them, as files arriving one by one need; rows of a named
-    ``batch`` join once. Rows without a role stop the ingest.
+    ``batch`` join once. Then metadata and state are added to as well, so that what an ingest
+    writes follows its own rows; a read puts them together, and the next stage settles the
+    state. Rows without a role stop the ingest.
     """
     if "candidate_id" not in raw.columns:
         raise IngestError(f"required column candidate_id is missing; found {raw.columns}")
@@ -98,15 +119,13 @@ def run_ingest(
     last = ingest.metadata_keep_last(ours)
     if accumulate or not store.exists("candidates"):
         store.append("candidates", ours, part=batch)
-        if store.exists("metadata"):
-            # Later rows win, so the old lookup and the new rows give the new lookup.
-            last = ingest.metadata_keep_last(store.read("metadata").unionByName(last))
+        # Later rows win, so the old lookup and the new rows are the new lookup.
+        store.append("metadata", last, part=batch)
     else:
         roles = ours.select("role").distinct()
         kept = _without_roles(store.read("candidates"), roles)
         store.write("candidates", kept.unionByName(ours, True))
-        last = _without_roles(store.read("metadata"), roles).unionByName(last, True)
-    store.write("metadata", last)
+        store.write("metadata", _without_roles(stored_metadata(store), roles).unionByName(last, True))
     if "content" in resumes.columns:
         # A file known already, as a scan of changes finds it, comes without its content.
         _keep_resumes(store, resumes.filter(F.col("content").isNotNull()))
@@ -114,8 +133,12 @@ def run_ingest(
         ingest.keep_first(ingest.normalise(ours)), resumes.select(*KEY).distinct()
     )
     arrived = store.write("arrived", found)
-    before = current_state(store, raw.schema["ingest_seq"].dataType)
-    store.write("state", state.upsert(before, arrived, as_of, sticky_no_resume))
+    if accumulate and store.exists("state"):
+        number = store.versions("input")[-1]
+        store.append(_arrivals(store), state.arrivals(arrived, as_of, number, sticky_no_resume), part=batch)
+    else:
+        before = current_state(store, raw.schema["ingest_seq"].dataType)
+        store.write("state", state.upsert(before, arrived, as_of, sticky_no_resume))
     return ingest.ingest_summary(arrived).withColumn(
         "unknown_columns", F.lit(", ".join(unknown_columns(raw.columns)))
     )
@@ -145,6 +168,7 @@ def run_parse(
     text, extractor, error) come from a decoder outside; of several readings of a key the
     largest is taken, a text before none.
     """
+    settle(store)
     if retry_failed:
         _put_back(store, as_of)
     before, label = current_state(store), _label(store)
@@ -220,6 +244,7 @@ def run_score(
         rubric.check(rubrics)
     # A repeated key in an answer keeps its last value.
     store.spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    settle(store)
     if settings.retry_failed:
         _put_back(store, as_of)
     prefixes = written(role_prefixes(rubrics, jobs), "prefixes")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import AS_OF, BLANKS, PRESENT, RAW, duck, select
 from candrank.operators import ingest
-from candrank.plans.run import run_ingest
+from candrank.plans.run import current_state, run_ingest
 from candrank.plans.scratch import new_path
 from candrank.sources.candidates import read_candidates
 from candrank.sources.store import Store
@@ -110,7 +110,7 @@ def incremental_ingest(spark, sf):
         new_path(spark, "stream-checkpoint"),
     )
     query.awaitTermination()
-    return store.read("state").select(
+    return current_state(store).select(
         "role", "candidate_id", "applicant_url", "current_title", "current_company", "status"
     )
 

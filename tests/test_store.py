@@ -1,11 +1,14 @@
 """Versions, buckets, lookups, and the stream over the same store."""
 
 import csv
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candrank.plans import joins
+from candrank.plans.run import current_state, run_ingest, run_parse, stored_metadata
 from candrank.plans.scratch import shared_folder, written
 from candrank.sources.store import Store
 from candrank.streaming.drops import candidate_stream, ingest_stream
@@ -137,7 +140,7 @@ def test_stream_of_drops(spark, tmp_path):
     def arrive():
         stream = candidate_stream(spark, str(tmp_path / "in"), ["candidate_id", "current_title", "extra"])
         ingest_stream(stream, lambda: present, store, lambda n: f"2024-05-0{n + 1} 00:00:00", str(tmp_path / "cp")).awaitTermination()
-        return {(r.role, r.candidate_id): (r.status, r.current_title, str(r.created_at)[:10]) for r in store.read("state").collect()}
+        return {(r.role, r.candidate_id): (r.status, r.current_title, str(r.created_at)[:10]) for r in current_state(store).collect()}
 
     put(tmp_path / "in", "eng", "1.csv", [["a", "first", "x"], [" a ", "second", "y"], ["c", "", ""]])
     assert arrive() == {
@@ -153,3 +156,81 @@ def test_stream_of_drops(spark, tmp_path):
         ("ops", "a"): ("ok", "t", "2024-05-02"),
     }
     assert store.read("candidates").count() == 6
+
+
+def _bytes(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+
+def test_a_batch_writes_as_much_as_it_brings(spark, tmp_path):
+    """State and metadata of 20,000 candidates are not written again for a batch of three."""
+    raw = "role string, candidate_id string, current_title string, source_url string, current_company string, ingest_seq long"
+    many = keyed(spark, 20_000).select(
+        "role", "candidate_id", F.md5("candidate_id").alias("current_title"), F.sha1("candidate_id").alias("source_url"),
+        F.sha2("candidate_id", 256).alias("current_company"), F.xxhash64("candidate_id").alias("ingest_seq"),
+    )
+    store = Store(spark, str(tmp_path / "store"), 2)
+    present = many.select("role", "candidate_id").filter("substr(candidate_id, 2) % 2 = 0")
+    run_ingest(store, many, present, "2024-01-01", accumulate=True, batch="b0")
+    whole = _bytes(tmp_path / "store")
+    for number in (1, 2, 2):  # the second is replayed
+        rows = [("000", "c0", f"new {number}", None, None, 10**18 + number), ("000", "c3", "t", "", "", 7), ("new", "x", "t", "u", "c", 8 + number)]
+        run_ingest(store, spark.createDataFrame(rows, raw), present, f"2024-02-0{number}", accumulate=True, batch=f"b{number}")
+    assert _bytes(tmp_path / "store") - whole < 0.1 * whole
+    assert store.versions("state") == [1] and store.versions("metadata") == [1]
+    now = {(r.role, r.candidate_id): (r.status, r.current_title, str(r.updated_at)[:10], str(r.created_at)[:10]) for r in current_state(store).collect()}
+    assert len(now) == 20_001
+    assert now["000", "c0"] == ("ok", "new 2", "2024-02-02", "2024-01-01")
+    assert now["000", "c3"] == ("no_resume", "t", "2024-02-02", "2024-01-01")
+    assert now["new", "x"] == ("no_resume", "t", "2024-02-02", "2024-02-01")
+    last = {r.candidate_id: r.current_title for r in stored_metadata(store).filter("role in ('000', 'new')").collect()}
+    assert last["c0"] == "new 2" and last["x"] == "t" and len(last) == 6668
+    # The next stage settles what arrived.
+    readings = spark.createDataFrame([("000", "c0", "t" * 300, "p", None)], "role string, candidate_id string, text string, extractor string, error string")
+    run_parse(store, "2024-03-01", readings=readings)
+    settled = {(r.role, r.candidate_id): (r.status, r.current_title, str(r.updated_at)[:10], str(r.created_at)[:10]) for r in store.read("state").collect()}
+    assert settled == now | {("000", "c0"): ("ok", "new 2", "2024-03-01", "2024-01-01")}
+
+
+@pytest.mark.parametrize("sticky", [True, False])
+def test_arrivals_at_once_as_one_after_the_other(spark, sticky):
+    from candrank.operators import state
+
+    rng = random.Random(4)
+    statuses = [None, "discovered", "failed_scrape", "ok", "no_resume", "scored", "knocked_out"]
+    ids = [f"c{i}" for i in range(40)]
+    schema = "role string, candidate_id string, source_url string, current_title string, current_company string, has_resume boolean, ingest_seq long"
+    held = [("r", k, rng.choice(statuses[1:]), i) for i, k in enumerate(ids) if i % 2]
+    empty = state.empty_state(spark, T.LongType())
+    before = spark.createDataFrame(held, "role string, candidate_id string, status string, ingest_seq long")
+    before = empty.unionByName(before.withColumn("created_at", F.lit("2023-01-01").cast("timestamp")), allowMissingColumns=True)
+    one_by_one, every = before, None
+    for number in range(4):
+        rows = [("r", k, f"u{number}", rng.choice([None, f"t{number}"]), "c", rng.random() < 0.6, 100 * number + i) for i, k in enumerate(ids) if rng.random() < 0.6]
+        found = spark.createDataFrame(rows, schema)
+        at = f"2024-01-0{number + 1}"
+        one_by_one = written(state.upsert(one_by_one, found, at, sticky), "upserted")
+        part = state.arrivals(found, at, number, sticky)
+        every = part if every is None else every.unionByName(part)
+    got = state.upsert_arrivals(before, every)
+    want = {r.candidate_id: r.asDict() for r in one_by_one.collect()}
+    for row in got.collect():
+        assert row.asDict() == want.pop(row.candidate_id)
+    assert not want
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_appended_parts_group_and_join(spark, tmp_path, how):
+    """A key in several parts is one group, whatever it is joined to afterwards."""
+    store = Store(spark, str(tmp_path / "store"), 4)
+    rows = keyed(spark, 30, v=F.length("candidate_id"))
+    other = store.write("other", rows)
+    for part in ("a", "b"):
+        store.append("parts", rows, part=part)
+    once = store.read("parts").groupBy("role", "candidate_id").agg(F.max_by(F.struct("v"), "v").alias("m"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(other.join(once, ["role", "candidate_id"], how).collect()) == 30
+        assert other.join(once, ["role", "candidate_id"], how).count() == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
