@@ -100,7 +100,9 @@ def _blocks(
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
             block.add(doc_id.as_py(), text.as_py() or "")
             if block.chars >= chars:
-                yield first + number, block
+                full, block = block, None
+                yield first + number, full
+                del full
                 block, number = Block(compiled, positions), number + 1
     if block.texts:
         yield first + number, block
@@ -146,6 +148,8 @@ def encode(
                 else [pa.array([], t) for t in _types(_WORDS)],
                 names=_names(_WORDS),
             )
+            # The next block is read before this loop turns, and two are not held at a time.
+            del block, raw, hashed, part, order, rows
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _blocks(batches, pattern, block_chars, True):
@@ -159,6 +163,7 @@ def encode(
                 ],
                 names=_names(_POSITIONS),
             )
+            del block
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, known, part = rank_encoding(ranks_path, pattern), {}, None
