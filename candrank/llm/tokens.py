@@ -116,12 +116,21 @@ _SURE = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ÿ]*\Z")
 _UNSURE = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u017f\u180e\u2028\u2029]")
 
 
+_MARKS = frozenset(".,;:!?")
+
+
 def pre_tokens(find, span: str) -> list[str]:
     """The matches in a span of any script.
 
     A span stays whole for the encoder where it has a character whose class readings of the
     pattern could differ in: one that is not assigned yet, or one of ``_UNSURE``.
     """
+    # Most are a word, or a word and a mark; letters are of one class to every reading.
+    word = span[1:] if span[:1] == " " else span
+    if word.isalpha():
+        return [span]
+    if word[-1:] in _MARKS and word[:-1].isalpha():
+        return [span[:-1], span[-1]]
     if _SURE.match(span):
         return find(span)
     if _UNSURE.search(span) or any(category(c) in ("Cn", "Cs") for c in set(span)):
