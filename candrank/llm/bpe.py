@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from candrank.llm.tokens import REMEMBERED, pre_tokens, rank_encoding, ranks, spans
 
-BLOCK_CHARS = 10_000_000
+BLOCK_CHARS = 7_000_000
 #: Parts into which words are dealt by their checksum.
 WORD_PARTS = 512
 
