@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candrank import constants as C
 from candrank.functions.text import drop_invalid, head, strip
+from candrank.plans.joins import fits
+from candrank.plans.scratch import written
 from candrank.schemas import KEY, PAGES
 
 # bytes of one file -> page texts
 PageReader = Callable[[bytes], list[str]]
 
 PAGES_PER_BLOCK = 10_000
+_ROW_MASK = (1 << 33) - 1
 
 
 def _joined(parts: Column) -> Column:
@@ -23,23 +28,51 @@ def _joined(parts: Column) -> Column:
     return F.array_join(F.transform(kept, lambda p: p["text"]), "\n")
 
 
+def _listed(pages: DataFrame, keys: list[str], listed: DataFrame, how: str) -> DataFrame:
+    """``pages`` of the listed keys (left_semi) or of all others (left_anti); null keys match."""
+    names = {k: f"_listed_{k}" for k in keys}
+    other = listed.select(*[F.col(k).alias(n) for k, n in names.items()])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return pages.join(F.broadcast(other) if fits(other) else other, same, how)
+
+
+def numbered_pieces(pages: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Pages with ``_run`` and ``_piece``, which order the pieces of a document of ``block`` pages at most.
+
+    The pages are range-sorted by document, page and text over many tasks. A piece is so many
+    rows of a task's run, counted and not read off the page numbers: any number of pages of
+    one number is cut like any other.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK))
+    return (
+        pages.select(*keys, "page", "text")
+        .orderBy(*keys, "page", "text")
+        .withColumns({"_run": F.spark_partition_id(), "_piece": F.floor(row / block)})
+    )
+
+
 def assemble_pages(pages: DataFrame, keys: list[str], block: int = PAGES_PER_BLOCK) -> DataFrame:
     """One text per document: its non-empty pages in page order, joined and stripped.
 
-    While page numbers stay below ``block`` a group holds ``block`` pages at most and one
-    shuffle does. A longer document is first joined block by block on many tasks, so no
-    task sorts more than ``block`` pieces of it at a time.
+    Pages of one number are in the order of their texts. Documents are counted first, by key
+    alone. Those of ``block`` pages at most are joined in one shuffle. Longer ones are
+    joined piece by piece on many tasks, then from their pieces, so no task sorts more than
+    ``block`` pages of a document at a time, however its pages are numbered.
     """
-    top = pages.agg(F.max("page")).first()[0]
-    piece = F.sort_array(F.collect_list(F.struct("page", "text")))
-    if top is None or top < block:
-        texts = pages.groupBy(*keys).agg(_joined(piece).alias("text"))
+    sizes = pages.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    long = written(sizes.filter(F.col("_n") > block).select(*keys), "long-documents")
+    in_page_order = F.sort_array(F.collect_list(F.struct("page", "text")))
+    if long.isEmpty():
+        texts = pages.groupBy(*keys).agg(_joined(in_page_order).alias("text"))
     else:
-        blocks = pages.groupBy(*keys, F.floor(F.col("page") / block).alias("_block")).agg(
-            _joined(piece).alias("text")
+        short = _listed(pages, keys, long, "left_anti").groupBy(*keys).agg(_joined(in_page_order).alias("text"))
+        pieces = (
+            numbered_pieces(_listed(pages, keys, long, "left_semi"), keys, block)
+            .groupBy(*keys, "_run", "_piece")
+            .agg(_joined(in_page_order).alias("text"))
         )
-        in_order = F.sort_array(F.collect_list(F.struct("_block", "text")))
-        texts = blocks.groupBy(*keys).agg(_joined(in_order).alias("text"))
+        in_order = F.sort_array(F.collect_list(F.struct("_run", "_piece", "text")))
+        texts = short.unionByName(pieces.groupBy(*keys).agg(_joined(in_order).alias("text")))
     return texts.withColumn("text", strip(F.col("text")))
 
 

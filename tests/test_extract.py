@@ -24,6 +24,26 @@ def test_pages_join_in_order(spark, block):
     assert {r.doc: r.text for r in got} == expected
 
 
+def test_pages_of_one_number_are_cut_into_bounded_pieces(spark):
+    hot = spark.range(50_000).select(
+        F.lit("hot").alias("doc"),
+        F.when(F.col("id") % 5 > 0, 7).otherwise(F.col("id") % 11).cast("int").alias("page"),
+        F.lpad(((F.col("id") * 7919) % 50_000).cast("string"), 6, "0").alias("text"),
+    )
+    others = spark.createDataFrame([("a", 1, "y"), ("a", 0, "x"), (None, 0, "n")], "doc string, page int, text string")
+    pages = hot.unionByName(others).repartition(4)
+    cut = extract.numbered_pieces(pages, ["doc"], 1_000).groupBy("doc", "_run", "_piece").count()
+    assert cut.agg(F.max("count")).first()[0] <= 1_000 and cut.count() >= 50
+    got = {r.doc: r.text for r in extract.assemble_pages(pages, ["doc"], 1_000).collect()}
+    rows = sorted((r.page, r.text) for r in hot.collect())
+    assert got == {"hot": "\n".join(t for _, t in rows), "a": "x\ny", None: "n"}
+
+
+def test_long_document_without_key(spark):
+    pages = spark.createDataFrame([(None, p, str(p)) for p in range(6)], "doc string, page int, text string")
+    assert extract.assemble_pages(pages, ["doc"], 2).collect() == [(None, "0\n1\n2\n3\n4\n5")]
+
+
 def test_only_empty_pages(spark):
     df = spark.createDataFrame([("a", 0, ""), ("a", 1, None)], "doc string, page int, text string")
     assert extract.assemble_pages(df, ["doc"]).first().text == ""
