@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candrank import constants as C
-from candrank.operators import extract, ingest, ranking, rubric, scoring, state
+from candrank.operators import audit, extract, ingest, ranking, rubric, scoring, state
 from candrank.operators.requests import candidate_blocks, role_prefixes
 from candrank.plans.joins import fits
 from candrank.plans.scratch import written
 from candrank.schemas import KEY
 from candrank.sources.candidates import IngestError, unknown_columns
+from candrank.sources.documents import criteria_view
 from candrank.sources.files import write_files
 from candrank.sources.rankings import write_ranked
 from candrank.sources.resumes import ResumeScan, ranked_bundle
@@ -390,6 +391,31 @@ def run_rank(
     return ranking.rank_summary(ranked, first, copied.select("role"))
 
 
+def run_audit(
+    store: Store, rubrics: DataFrame, groups: DataFrame | None = None, top: int = C.DEFAULT_TOP_N
+) -> dict[str, DataFrame]:
+    """Audit the scored candidates; nothing of the run changes.
+
+    Writes ``audit``, the recomputed totals, and ``score_bins``, the sketch of totals by the columns
+    of ``groups`` (role, candidate_id, one row per candidate, and what candidates reported of
+    themselves), where the first ``top`` per role count as selected. Sketches of several stores
+    merge by ``audit.merged_bins``. Candidates without a row in ``groups`` are a group of nulls.
+    """
+    now = current_state(store)
+    documents = scoring.latest_documents(store.read("results"))
+    scored = now.filter(F.col("status") == "scored").select(*KEY)
+    answers = criteria_view(documents.select(*KEY, "document").join(scored, list(KEY), "left_semi"))
+    totals = store.write("audit", audit.recomputed_totals(answers, rubrics))
+    narrow = ranking.scored_order(now, documents)
+    key = ["role", "state_id"]
+    rows = narrow.join(ranking.rank_numbers(narrow, key), key).withColumnRenamed("state_id", "candidate_id")
+    names = [] if groups is None else [c for c in groups.columns if c not in KEY]
+    if groups is not None:
+        rows = rows.select(*KEY, "weighted_total", "rank").join(groups, list(KEY), "left")
+    bins = store.write("score_bins", audit.score_bins(rows, names, F.col("rank") <= top))
+    return {"totals": audit.audit_summary(totals), "groups": audit.distributions(bins, names)}
+
+
 def run_all(
     store: Store,
     out: str,

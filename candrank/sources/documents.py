@@ -34,6 +34,9 @@ def _fields(text: str | None) -> tuple[str | None, str | None]:
             recommend = bool(recommend)
         kept = {k: document[k] for k in ("candidate_id", "weighted_total") if k in document}
         kept |= {"recommend": recommend}
+        criteria = document.get("criteria")
+        if isinstance(criteria, list):
+            kept["criteria"] = [{k: c[k] for k in ("id", "score") if k in c} for c in criteria if isinstance(c, dict)]
         # A lone surrogate is written as a question mark, as in Java.
         summary = summary.encode("utf-8", "replace").decode() if isinstance(summary, str) else None
         return json.dumps(kept), summary
@@ -79,6 +82,29 @@ def document_view(texts: DataFrame) -> DataFrame:
     )
 
 
+def criteria_view(texts: DataFrame) -> DataFrame:
+    """(role, candidate_id, document) -> the criteria and the claimed total, for an audit.
+
+    A score or total that is no number is null, and so are the criteria where the document
+    has no list of them. Unreadable documents are left out as in :func:`document_view`.
+    """
+    doc = F.col("_doc")
+    criteria = F.transform(
+        # What is no object has neither id nor score; a long document is read without it.
+        F.filter(V.items(doc, "$.criteria"), V.is_object),
+        lambda c: F.struct(
+            V.text(V.field(c, "$.id")).alias("id"), V.number(V.field(c, "$.score")).alias("score")
+        ),
+    )
+    readable = F.filter(F.array("_doc"), V.is_object)
+    return _parsed(texts).select("role", "candidate_id", F.explode(readable).alias("_doc")).select(
+        "role",
+        "candidate_id",
+        criteria.alias("criteria"),
+        V.number(V.field(doc, "$.weighted_total")).alias("weighted_total"),
+    )
+
+
 def unreadable_documents(texts: DataFrame) -> DataFrame:
     """(role, candidate_id, reason): the documents that :func:`document_view` leaves out."""
     doc = V.settled(_parsed(texts), _kind=V.kind(F.col("_doc")))

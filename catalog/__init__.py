@@ -1,8 +1,8 @@
 """Registered queries: each operator over the given tables, with its SQL counterpart."""
 
-from catalog import answers, ingest, ranking, scoring, state, texts
+from catalog import answers, audit, ingest, ranking, scoring, state, texts
 
-MODULES = (ingest, state, texts, answers, scoring, ranking)
+MODULES = (ingest, state, texts, answers, scoring, ranking, audit)
 
 
 def queries() -> dict:

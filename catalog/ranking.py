@@ -56,7 +56,7 @@ def stored_documents(spark, sf):
     return document_view(_documents(spark, sf)).withColumn("summary", F.md5("summary"))
 
 
-def _rows(spark, sf):
+def ranked_rows(spark, sf):
     people = table(spark, sf, "documents").select(
         F.concat(F.lit("r"), F.col("doc_id") % 5).alias("role"),
         F.concat(F.lit("c"), "doc_id").alias("candidate_id"),
@@ -74,15 +74,15 @@ def _shown(ranked):
 
 
 def rank_full(spark, sf, runs=None):
-    return _shown(ranking.rank_all(_rows(spark, sf), runs=runs))
+    return _shown(ranking.rank_all(ranked_rows(spark, sf), runs=runs))
 
 
 def rank_top(n, spark, sf):
-    return _shown(ranking.top_n(_rows(spark, sf), n))
+    return _shown(ranking.top_n(ranked_rows(spark, sf), n))
 
 
 def rank_formatted(spark, sf):
-    return ranking.formatted(ranking.rank_all(_rows(spark, sf))).withColumn("summary", F.md5("summary"))
+    return ranking.formatted(ranking.rank_all(ranked_rows(spark, sf))).withColumn("summary", F.md5("summary"))
 
 
 _RESUMES = """
@@ -99,19 +99,19 @@ def _bundle(spark, sf, ranked):
 
 def rank_bundle(spark, sf):
     """Resumes of the top 50 under their names; a missing resume is left out."""
-    top = written(ranking.projected(ranking.top_n(_rows(spark, sf))), "top")
+    top = written(ranking.projected(ranking.top_n(ranked_rows(spark, sf))), "top")
     return _bundle(spark, sf, top).select(
         "role", "rank", "file_name", F.md5("content").alias("digest")
     )
 
 
 def rank_bundle_names(spark, sf):
-    ranked = written(ranking.projected(ranking.rank_all(_rows(spark, sf))), "ranked")
+    ranked = written(ranking.projected(ranking.rank_all(ranked_rows(spark, sf))), "ranked")
     return ranking.with_bundle_names(ranked).select("role", "rank", "file_name")
 
 
 def rank_summary(spark, sf):
-    ranked = written(ranking.projected(ranking.rank_all(_rows(spark, sf))), "ranked")
+    ranked = written(ranking.projected(ranking.rank_all(ranked_rows(spark, sf))), "ranked")
     top = ranked.filter(F.col("rank") <= 50)
     return ranking.rank_summary(ranked, top, _bundle(spark, sf, top))
 
@@ -119,7 +119,7 @@ def rank_summary(spark, sf):
 def ranked_files(spark, sf):
     """Write the full ranking as CSV, line breaks and quotes included, and read it back."""
     path = new_path(spark, "ranked-csv")
-    write_ranked(ranking.rank_all(_rows(spark, sf)), path)
+    write_ranked(ranking.rank_all(ranked_rows(spark, sf)), path)
     back = (
         spark.read.schema(RANKED_SCHEMA)
         .option("header", True)
@@ -131,7 +131,7 @@ def ranked_files(spark, sf):
     return back.withColumn("summary", F.md5("summary"))
 
 
-_SQL = duck(f"""
+ROWS_SQL = duck(f"""
 WITH state AS ({_STATE}), f AS ({_FIELDS}), lab AS (SELECT doc_id, true AS known FROM labels),
 r AS (
   SELECT f.role, f.reply_id AS candidate_id, '' AS name,
@@ -160,29 +160,29 @@ QUERIES = {
         duck(f"""WITH f AS ({_FIELDS}) SELECT role, candidate_id, reply_id, total AS weighted_total,
         doc_id % 4 = 0 AS recommend, md5(text) AS summary FROM f WHERE NOT broken"""),
     ),
-    "rank_full": (rank_full, f"{_SQL} SELECT {_COLUMNS} FROM r"),
-    "rank_full_by_runs": (partial(rank_full, runs=48), f"{_SQL} SELECT {_COLUMNS} FROM r"),
-    "rank_top_n": (partial(rank_top, 50), f"{_SQL} SELECT {_COLUMNS} FROM r WHERE rank <= 50"),
-    "rank_per_role": (partial(rank_top, 3), f"{_SQL} SELECT {_COLUMNS} FROM r WHERE rank <= 3"),
-    "rank_formatted": (rank_formatted, f"{_SQL} {_TEXT}"),
+    "rank_full": (rank_full, f"{ROWS_SQL} SELECT {_COLUMNS} FROM r"),
+    "rank_full_by_runs": (partial(rank_full, runs=48), f"{ROWS_SQL} SELECT {_COLUMNS} FROM r"),
+    "rank_top_n": (partial(rank_top, 50), f"{ROWS_SQL} SELECT {_COLUMNS} FROM r WHERE rank <= 50"),
+    "rank_per_role": (partial(rank_top, 3), f"{ROWS_SQL} SELECT {_COLUMNS} FROM r WHERE rank <= 3"),
+    "rank_formatted": (rank_formatted, f"{ROWS_SQL} {_TEXT}"),
     "rank_bundle_names": (
         rank_bundle_names,
-        f"""{_SQL} SELECT role, rank,
+        f"""{ROWS_SQL} SELECT role, rank,
         lpad(cast(rank AS varchar), cast(greatest(3, length(cast(size AS varchar))) AS integer), '0') || '_' || candidate_id || '.pdf' AS file_name
         FROM r""",
     ),
     "rank_bundle": (
         rank_bundle,
-        f"""{_SQL} SELECT r.role, rank,
+        f"""{ROWS_SQL} SELECT r.role, rank,
         lpad(cast(rank AS varchar), 3, '0') || '_' || candidate_id || '.pdf' AS file_name, md5(p.text) AS digest
         FROM r JOIN {_FILES} p USING (role, candidate_id) WHERE rank <= 50""",
     ),
     "rank_summary": (
         rank_summary,
-        f"""{_SQL} SELECT r.role, count(*) AS ranked, count(*) FILTER (rank <= 50) AS top_n_written,
+        f"""{ROWS_SQL} SELECT r.role, count(*) AS ranked, count(*) FILTER (rank <= 50) AS top_n_written,
         count(*) FILTER (rank <= 50 AND p.role IS NOT NULL) AS resumes_copied
         FROM r LEFT JOIN {_FILES} p USING (role, candidate_id) GROUP BY r.role""",
     ),
-    "rank_large_n": (partial(rank_top, 200_000), f"{_SQL} SELECT {_COLUMNS} FROM r WHERE rank <= 200000"),
-    "ranked_files": (ranked_files, f"{_SQL} {_TEXT}"),
+    "rank_large_n": (partial(rank_top, 200_000), f"{ROWS_SQL} SELECT {_COLUMNS} FROM r WHERE rank <= 200000"),
+    "ranked_files": (ranked_files, f"{ROWS_SQL} {_TEXT}"),
 }

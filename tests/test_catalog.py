@@ -19,7 +19,8 @@ CHECKED = (
     "invalid_utf8_drop rubric_violations rubric_block prompt_build request_command parse_chat "
     "parse_envelope attempts_resolved validate_full validate_knockout two_stage_outcome "
     "rank_full_by_runs rank_top_n rank_bundle ranked_files "
-    "store_reopened store_partial_append reingest_state run_summary input_retained"
+    "store_reopened store_partial_append reingest_state run_summary input_retained "
+    "weighted_recompute score_by_group"
 ).split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are absent")

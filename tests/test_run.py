@@ -184,6 +184,24 @@ def test_single_mode_end_to_end(spark, tmp_path, buckets):
     assert bytes(bundle[1].content).decode() == long("OK 3")
 
 
+@pytest.mark.parametrize("buckets", [None, 4])
+def test_audit_of_a_run(spark, tmp_path, buckets):
+    inputs(tmp_path)
+    store = Store(spark, str(tmp_path / "store"), buckets)
+    start(spark, tmp_path, store)
+    groups = spark.createDataFrame([("eng", "c1", "x"), ("eng", "c3", "x")], "role string, candidate_id string, g string")
+    before = statuses(store)
+    found = run.run_audit(store, rubric_row(spark, RUBRIC, "eng"), groups, top=1)
+    totals = {r.candidate_id: (float(r.recomputed), float(r.claimed), r.verdict) for r in store.read("audit").collect()}
+    assert totals == {"c1": (5.4, 3.0, "differs"), "c2": (5.4, 9.5, "differs")}
+    summary = found["totals"].first()
+    assert (summary.answers, summary.differs, float(summary.largest_difference)) == (2, 2, 4.1)
+    shares = {r.g: (r.rows, r.selected, r.q_50, r.ks, r.impact_ratio) for r in found["groups"].collect()}
+    assert shares == {"x": (1, 0, 3.0, 0.5, 0.0), None: (1, 1, 9.5, 0.5, 1.0)}
+    assert run.run_audit(store, rubric_row(spark, RUBRIC, "eng"))["groups"].first().rows == 2
+    assert statuses(store) == before
+
+
 def test_bundle_as_files_and_header_only_rankings(spark, tmp_path):
     inputs(tmp_path)
     store = Store(spark, str(tmp_path / "store"), 4)
