@@ -6,7 +6,9 @@ by several islands: an individual is a list of whole bins; a crossover injects t
 bins of one parent into the other, drops the bins that hold the same pieces again, and
 best-fits the displaced pieces. Between epochs the islands of a region send their best
 individual to the next island. What the best individual of a region fills well is final; the
-pieces of its other bins move on to a wider region of the next round, until one region is left.
+pieces of its other bins are dealt anew to regions of the next round, until one region is left
+or a round leaves more than ``STALLED`` of its pieces. Pieces are dealt by a number of the row, so
+any number of equal rows fills no region.
 
 Defined results: a null or empty text is one piece of the end id; repeated rows are packed
 as rows of their own; null ids stay null; an empty table gives no rows; further columns
@@ -34,6 +36,7 @@ ISLANDS = 2
 EPOCHS = 2
 INDIVIDUALS = 4
 FILLED = 0.998
+STALLED = 0.9
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
@@ -173,6 +176,12 @@ _RECORD = np.dtype(
 )
 
 
+def dealt(rows: DataFrame, regions: int, level: int) -> DataFrame:
+    """``rows`` of a written table with ``region``: equally many each, whatever they hold."""
+    number = F.monotonically_increasing_id()
+    return rows.withColumn("region", F.pmod(F.xxhash64(number, F.lit(level)), F.lit(regions)))
+
+
 def _pack_round(rows: DataFrame, n: int, wide: int, level: int, capacity: int) -> DataFrame:
     """Rows with ``bin`` and ``filled`` (the tokens in that bin), by region."""
     regions = blocks_for(n, wide)
@@ -236,10 +245,7 @@ def _pack_round(rows: DataFrame, n: int, wide: int, level: int, capacity: int) -
             }
         )
 
-    dealt = rows.withColumn(
-        "region", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(regions))
-    )
-    islands = dealt.groupBy("region").applyInPandas(found, _ISLAND)
+    islands = dealt(rows, regions, level).groupBy("region").applyInPandas(found, _ISLAND)
     for epoch in range(1, EPOCHS):
         islands = islands.groupBy("region").applyInPandas(migrate(epoch), _ISLAND)
     return islands.groupBy("region").applyInPandas(
@@ -262,7 +268,7 @@ def pack(
         if done is not None and n == 0:
             break
         packed = written(_pack_round(left, n, region, level, capacity), "packed")
-        last = n <= region or (before is not None and n > 0.9 * before)
+        last = n <= region or (before is not None and n > STALLED * before)
         final = packed if last else packed.filter(F.col("filled") >= FILLED * capacity)
         done = final if done is None else done.unionByName(final)
         if last:
