@@ -3,11 +3,14 @@
 A text is a row of words (white space apart; long ones cut after ``WORD`` characters). Its
 k-mers of ``K`` words are numbered by occurrence, so that a repeated k-mer counts each time.
 A hash deals the numbered k-mers to ``SLOTS`` slots; in each slot the two with the smallest
-hash are taken, put back into the order of the text, and hashed as a tuple. The share of equal
-tuples falls with the edit distance: moved text changes it, which it does not for plain MinHash.
+hash are taken, put back into the order of the text, and hashed as a tuple. A slot with a single
+one, as most slots of a short text, takes the smallest of the next filled slot as its second, so
+that order counts at any length. The share of equal tuples falls with the edit distance: moved
+text changes it, which it does not for plain MinHash.
 
 Defined results: a null text is empty and has no k-mers, two such fingerprints are alike (1.0);
-fewer words than ``K`` are one k-mer; repeated rows of one id and text are one place in the
+fewer words than ``K`` are one k-mer, and a lone k-mer a tuple by itself; texts of more than
+2 ** ``PLACE_BITS`` words, some 300 MB at least, are beyond it; repeated rows of one id and text are one place in the
 order of documents and share all results; null ids come first; rows of one id and several
 texts are ordered by a hash of the text; a single document is its own next one; an empty table
 gives no rows; further columns are not read.
@@ -64,8 +67,8 @@ def signature(rows: DataFrame, text: str, out: str) -> DataFrame:
         (
             "_pairs",
             f"transform(_heads, p -> named_struct('slot', cast({slot.format('get(_numbered, p)')} as int), "
-            f"'a', get(_numbered, p), 'b', if({slot.format('get(_numbered, p + 1)')} = "
-            f"{slot.format('get(_numbered, p)')}, get(_numbered, p + 1), null)))",
+            f"'a', get(_numbered, p), "
+            f"'b', get(_numbered, if(p + 1 < size(_numbered), p + 1, if(p = 0, -1, 0)))))",
         ),
         (
             "_tuples",
