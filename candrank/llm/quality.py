@@ -3,8 +3,8 @@
 The text view counts pairs of neighbouring bytes and repeated words; the metadata view knows
 the source, the language, the length and the layout of a page, not its words. Both are logistic
 models fitted on a bounded sample: ``LABELLED`` labelled and ``UNLABELLED`` other documents,
-taken by a hash of their id. In each round either model labels the documents it is surest of
-for the other one. Each is then calibrated on held-out labelled documents, and the mean of the
+taken by a hash of their id. In each round either model labels the documents it is surest of,
+a share ``SURE`` of the others at any size, for the other one. Each is then calibrated on held-out labelled documents, and the mean of the
 two calibrated log odds scores every document. A document is rejected where that score is
 below the largest cut that keeps ``KEEP_SHARE`` of the good held-out documents.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 LABELLED = 4_000
 UNLABELLED = 4_000
 ROUNDS = 4
-SURE = 200
+SURE = 0.05
 KEEP_SHARE = 0.995
 TEXT_FEATURES = 1024
 META_FEATURES = 64
@@ -109,22 +109,28 @@ def co_train(
     y: np.ndarray,
     other: tuple[np.ndarray, np.ndarray],
     rounds: int = ROUNDS,
-    sure: int = SURE,
+    sure: float = SURE,
 ) -> list[np.ndarray]:
-    """Weights of both views after rounds of exchanged pseudo-labels."""
+    """Weights of both views after rounds of exchanged pseudo-labels.
+
+    A view labels the share ``sure`` of the other documents at a time, one of each kind at least, as
+    long as two are left.
+    """
+    each = max(2, round(sure * len(other[0])))
     given = [(v, y) for v in views]
     free = np.ones(len(other[0]), bool)
     weights = [fit_logistic(*g) for g in given]
     for _ in range(rounds):
         for me, peer in ((0, 1), (1, 0)):
             at = np.flatnonzero(free)
-            if len(at) < 4 * sure:
+            take = min(each, len(at))
+            if take < 2:
                 break
             order = at[np.argsort((other[me] @ weights[me].astype(other[me].dtype))[at])]
             # As many of each kind as the labels have.
-            bad = max(1, int(sure * (y <= 0).mean()))
-            chosen = np.r_[order[:bad], order[-(sure - bad) :]]
-            mark = np.r_[np.zeros(bad), np.ones(sure - bad)]
+            bad = min(take - 1, max(1, int(take * (y <= 0).mean())))
+            chosen = np.r_[order[:bad], order[-(take - bad) :]]
+            mark = np.r_[np.zeros(bad), np.ones(take - bad)]
             free[chosen] = False
             x, z = given[peer]
             given[peer] = (np.vstack([x, other[peer][chosen]]), np.r_[z, mark])

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 import public_tokenizers
 from candrank.llm import bpe, edit_counts, exact_dedup, kneser_ney, near_dedup, order_minhash
@@ -179,6 +180,25 @@ def test_packing(docs, empty):
     assert packing.pack(empty, WORD_PATH).count() == 0
 
 
+def test_equal_rows_fill_no_region(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, 0, 20, 5)] * 9_000 + [(i, 0, 0, 30, 7) for i in range(1_000)],
+        "doc_id long, piece int, start long, length long, ids_crc32 long",
+    )
+    for level in (1, 2):
+        sizes = [r["count"] for r in packing.dealt(rows, 10, level).groupBy("region").count().collect()]
+        assert len(sizes) == 10 and max(sizes) < 1_200
+
+
+def test_packing_needs_few_more_sequences_than_tokens(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["word"] * rng.choice((rng.randint(1, 60), rng.randint(60, 500))))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(docs, WORD_PATH, capacity=512, region=150).collect()
+    least = -(-sum(r.length for r in got) // 512)
+    assert len({r.sequence_id for r in got}) <= least * 1.02 + 1
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(2)
     lengths = [rng.randint(1, 100) for _ in range(300)]
@@ -303,6 +323,76 @@ def test_order_minhash_sees_order(spark):
     assert got[1].near_next == 1.0 and got[2].near_next < 0.3
 
 
+def fingerprint_of(text, k=3, slots=64, bits=27):
+    """The tuple hash of each slot in plain Python; -1 for an empty one."""
+    high = ~((1 << bits) - 1)
+
+    def hashed(*parts):
+        seed = 42
+        for part in parts:
+            raw = part.encode() if isinstance(part, str) else part[0].to_bytes(part[1], "little", signed=True)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    words = re.findall("[^ \\t\\n\\x0b\\f\\r]{1,16}", text)
+    seen, numbered = Counter(), []
+    for place in range(max(len(words) - k, 0) + 1 if words else 0):
+        kmer = hashed(*words[place : place + k]) & high
+        numbered.append((hashed((kmer, 8), (seen[kmer], 4)) & high, place))
+        seen[kmer] += 1
+    numbered.sort()
+    out = [-1] * slots
+    for at, (value, place) in enumerate(numbered):
+        slot = (value >> 58) & 63
+        if out[slot] != -1:
+            continue
+        if len(numbered) == 1:
+            out[slot] = hashed((value, 8)) & 0xFFFFFF
+            continue
+        # The second of the slot, or where there is none the first of the next filled slot.
+        other, other_place = numbered[(at + 1) % len(numbered)]
+        pair = ((value, 8), (other, 8)) if place < other_place else ((other, 8), (value, 8))
+        out[slot] = hashed(*pair) & 0xFFFFFF
+    return out
+
+
+def alike(a, b):
+    either = sum(x >= 0 or y >= 0 for x, y in zip(a, b, strict=True))
+    return sum(x == y >= 0 for x, y in zip(a, b, strict=True)) / either if either else 1.0
+
+
+def test_order_minhash_is_that_of_plain_python(spark):
+    rng = random.Random(9)
+    many = [f"w{rng.randrange(40)}" for _ in range(700)]
+    held = [
+        *("", "one", "two words", "a b c", "a b c d", "x x x x x x x x x", "naïve 漢字\u3000z " * 9, "w" * 70),
+        *(" ".join(many[:n]) for n in (9, 40, 130, 700)),
+    ]
+    docs = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
+    got = sorted(order_minhash.fingerprint(docs).collect(), key=lambda r: r.doc_id)
+    for r in got:
+        text, after = held[r.doc_id], held[(r.doc_id + 1) % len(held)]
+        n = len(text) // 4
+        edited = text[: len(text) - n] + after[:n]
+        own, changed = fingerprint_of(text), fingerprint_of(edited)
+        for printed, signed in ((r.fingerprint, own), (r.edited_fingerprint, changed)):
+            assert printed == "".join("------" if x < 0 else f"{x:06x}" for x in signed)
+        assert r.near_edited == alike(own, changed)
+        assert r.near_next == alike(own, fingerprint_of(after))
+
+
+def test_order_counts_in_short_texts(spark):
+    rng = random.Random(10)
+    for n, most in ((40, 0.6), (100, 0.45)):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        swapped = " ".join(words[n // 2 :] + words[: n // 2])
+        last = " ".join(words[:-1] + ["other"])
+        held = [" ".join(words), swapped, " ".join(words), last]
+        docs = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
+        got = {r.doc_id: r.near_next for r in order_minhash.fingerprint(docs).collect()}
+        assert got[0] < most < 0.75 < got[2]
+
+
 def test_wrappers(spark):
     page = (
         "<html><head><title>t</title></head><body><nav><a href=/a>menu</a></nav><div class='ad'>buy</div>"
@@ -354,6 +444,55 @@ def test_quality(spark, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
+def views(rng, n, noise):
+    y = rng.random(n) < 0.7
+    sides = [np.c_[np.ones(n), (2 * y - 1)[:, None] * 0.6 + rng.normal(0, noise, (n, 4))] for _ in range(2)]
+    return tuple(x.astype(np.float32) for x in sides), y.astype(float)
+
+
+@pytest.mark.parametrize("free", [0, 1, 2, 113, 601, 4_000])
+def test_labels_are_exchanged_at_any_size(monkeypatch, free):
+    rng = np.random.default_rng(3)
+    known, y = views(rng, 60, 1.0)
+    other, truth = views(rng, free, 1.0)
+    fits = []
+    plainly = quality.fit_logistic
+
+    def counted(x, z):
+        fits.append((len(x), z))
+        return plainly(x, z)
+
+    monkeypatch.setattr(quality, "fit_logistic", counted)
+    quality.co_train(known, y, other)
+    if free < 2:
+        assert len(fits) == 2
+        return
+    # What a view was given beyond the labels, at the end.
+    given = sum(max(n for n, _ in fits[2 + k :: 2]) - 60 for k in (0, 1) if fits[2 + k :: 2])
+    each = max(2, round(quality.SURE * free))
+    assert given == min(2 * quality.ROUNDS * each, free)
+    assert all({0.0, 1.0} <= set(z[60:]) for n, z in fits[2:])
+
+
+def test_exchange_helps_where_labels_are_few():
+    rng = np.random.default_rng(5)
+    gains = []
+    for _ in range(8):
+        known, y = views(rng, 24, 1.0)
+        if len(set(y)) < 2:
+            continue
+        other, _ = views(rng, 1_200, 1.0)
+        test, truth = views(rng, 2_000, 1.0)
+
+        def right(weights):
+            z = sum(x @ w for x, w in zip(test, weights, strict=True))
+            return ((z > 0) == (truth > 0)).mean()
+
+        alone = [quality.fit_logistic(x, y) for x in known]
+        gains.append(right(quality.co_train(known, y, other)) - right(alone))
+    assert np.mean(gains) > 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
