@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from candrank.plans.joins import fits
 from candrank.plans.scratch import written
 
-__all__ = ["UPPER", "LOWER", "FOLD", "table", "text_of", "written", "blocks_for", "text_key", "rows_kept"]
+__all__ = ["UPPER", "LOWER", "FOLD", "table", "text_of", "written", "blocks_for", "text_key", "rows_kept", "fresh"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a text's digest that are carried beside its id.
@@ -35,21 +35,31 @@ def text_key(column: str = "text") -> Column:
     return F.substring(F.unhex(F.sha2(F.translate(text_of(column), UPPER, LOWER), 256)), 1, KEY_BYTES)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, longer where ``columns`` has them already, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def rows_kept(docs: DataFrame, stays: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id and text are in ``stays``, one of each.
 
     ``stays`` has each (doc_id, text_key) once, with the number ``n`` of its rows.
     """
+    key, own, its_id, text, n = fresh(docs.columns, "__key", "__own", "__id", "__text", "__n")
     stays = written(stays, "stays").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), F.col("n").alias("__n")
+        F.col("doc_id").alias(its_id), F.col("text_key").alias(text), F.col("n").alias(n)
     )
     # A measured few come to the texts; beyond that the texts are dealt by id.
     stays = F.broadcast(stays) if fits(stays) else stays
-    chosen = docs.withColumns({"__key": F.col("doc_id").cast("long"), "__own": text_key()}).join(
-        stays, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__text"))
+    chosen = docs.withColumns({key: F.col("doc_id").cast("long"), own: text_key()}).join(
+        stays, F.col(key).eqNullSafe(F.col(its_id)) & (F.col(own) == F.col(text))
     )
-    added = ("__key", "__own", "__id", "__text", "__n")
-    once = chosen.filter("__n = 1").drop(*added)
+    once = chosen.filter(F.col(n) == 1).select(docs.columns)
     # Only rows that share an id and a text are compared with each other.
-    more = chosen.filter("__n > 1").dropDuplicates(["__key", "__own"]).drop(*added)
+    more = chosen.filter(F.col(n) > 1).dropDuplicates([key, own]).select(docs.columns)
     return once.unionByName(more)

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candrank.llm.common import fresh
+
 LABELLED = 4_000
 UNLABELLED = 4_000
 ROUNDS = 4
@@ -233,8 +235,9 @@ def score(docs: DataFrame, model) -> DataFrame:
         )
 
     udf = F.pandas_udf(values, "p_text double, p_meta double, quality_score double, keep boolean")
-    return docs.withColumn("__q", udf("text", "source", "lang")).select(
-        *docs.columns, *(F.col(f"__q.{name}").alias(name) for name in added)
+    (judged,) = fresh(docs.columns, "__q")
+    return docs.withColumn(judged, udf("text", "source", "lang")).select(
+        *docs.columns, *(F.col(f"{judged}.{name}").alias(name) for name in added)
     )
 
 

@@ -12,6 +12,8 @@ import pytest
 import xxhash
 
 import public_tokenizers
+from pyspark.sql import functions as F
+
 from candrank.llm import bpe, edit_counts, exact_dedup, kneser_ney, near_dedup, order_minhash
 from candrank.llm import packing, quality, sharding, tokens, wrappers
 from candrank.llm.common import FOLD
@@ -515,6 +517,23 @@ def test_pipeline(spark, tmp_path):
     assert re.match(r"quality", corpus_pipeline.STAGES[0][0])
 
 
+def test_stages_on_empty_tables_and_clashing_columns(spark, docs, empty):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    clash = {f"{name}{more}": i for i, name in enumerate(("__key", "__own", "__id", "__text", "__n", "__q")) for more in ("", "_")}
+    names = {**clash, "text_key": 9, "keep_id": 9, "component_id": 9, "keep": 9, "quality_score": 9}
+    for table in (empty, docs):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, table.withColumns({c: F.lit(v) for c, v in names.items()}), sf)
+            assert left.columns == [*table.columns, *names], name
+            rows = left.collect()
+            assert all(r[c] == v for r in rows for c, v in names.items())
+            assert bool(rows) == (table is docs) and len(rows) == stage(spark, table, sf).count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, table.withColumn("__key", F.lit(1)), sf)
+        assert packed.isEmpty() == (table is empty)
+
+
 NEAR = " ".join(f"n{i}" for i in range(100))
 REPEATED = [
     (None, "first text without a number"),
