@@ -3,6 +3,12 @@
 Each stage reads what the one before it wrote and returns the columns of documents, the last
 one the packed pieces. Its result can't be said in SQL, so tests compare the stages with
 brute-force versions.
+
+Defined results: a null text counts as empty, null and repeated ids are rows like others, told
+apart by their texts; of rows with equal id and text one stays after the exact stage; ties go to the
+largest doc_id there and to the smallest in the near stage; without labels of both kinds no
+document is rejected; an empty table gives no rows in any stage; further columns pass
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
