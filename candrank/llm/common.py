@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candrank.plans.joins import fits
 from candrank.plans.scratch import written
 
-__all__ = ["UPPER", "LOWER", "FOLD", "table", "text_of", "written", "blocks_for", "text_key", "rows_kept", "fresh"]
+__all__ = ["UPPER", "LOWER", "FOLD", "table", "text_of", "written", "blocks_for", "text_key", "rows_kept", "fresh", "trimmed"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a text's digest that are carried beside its id.
@@ -45,6 +49,18 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def trimmed(rows: Iterator) -> Iterator:
+    """The same rows; at their end what the task freed goes back to the system.
+
+    Workers outlive their tasks, so that what the allocators keep would add to the next stage.
+    """
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def rows_kept(docs: DataFrame, stays: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id and text are in ``stays``, one of each.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candrank.llm.common import FOLD, KEY_BYTES, rows_kept, written
+from candrank.llm.common import FOLD, KEY_BYTES, rows_kept, trimmed, written
 from candrank.plans.joins import fits
 
 WORDS = 4
@@ -156,7 +156,7 @@ def sets(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
                 names=["doc_id", "text_key", "node", "n_shingles", "bands", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SET)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: trimmed(run(batches)), _SET)
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, most: int, percent: int) -> DataFrame:

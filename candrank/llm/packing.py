@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candrank.llm.common import blocks_for, written
+from candrank.llm.common import blocks_for, trimmed, written
 from candrank.llm.tokens import WordPieces
 
 CAPACITY = 2048
@@ -58,7 +58,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
             out = pd.DataFrame(rows, columns=_COLUMNS)
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, _PIECE)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.mapInPandas(lambda batches: trimmed(cut(batches)), _PIECE)
 
 
 def longest_first(lengths: list[int], items: list[int]) -> list[int]:

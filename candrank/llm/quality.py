@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candrank.llm.common import fresh
+from candrank.llm.common import fresh, trimmed
 
 LABELLED = 4_000
 UNLABELLED = 4_000
@@ -153,7 +153,7 @@ def _featured(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return docs.mapInPandas(run, "doc_id long, y double, t binary, m binary")
+    return docs.mapInPandas(lambda batches: trimmed(run(batches)), "doc_id long, y double, t binary, m binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED):
