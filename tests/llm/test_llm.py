@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -638,3 +639,54 @@ def test_runs_of_rows_without_ids(spark):
     docs = spark.createDataFrame([(None if i % 2 else 5, f"t{i}") for i in range(400)], "doc_id long, text string")
     rows = exact_dedup.exact_dedup(docs.repartition(4), run_rows=10).collect()
     assert len(rows) == 400 and {r.group_size for r in rows} == {1}
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><p>{0}<section class=comments><article class=comment>nice</article><article class=comment>{1}</article></section></article>",
+        "<article><p>{0}</p><article>{1}</article></article>",
+        "<main><article><p>{0}</p><div class=comments><p>{1}</p><p>{1}</p></div></article></main>",
+        "<div class=content><p>{0}</div><div id=comments><p>{1}</div>",
+        "<article><p>{0}</p></article><div class=more><article><p>Another story</article></div>",
+        "<main><article><p>{0}</p></article><article><h3><a href=/x>Another</a></h3><p>story</article></main>",
+    ],
+)
+def test_comments_and_other_stories_are_left_out(page):
+    """Also where comments are longer than the article."""
+    text = BODY.format(1)
+    assert wrappers.extracted(page.format(text, "What readers say of it. " * 12), None) == text
+
+
+def test_long_comments_of_a_host_stay_out(spark):
+    page = "<body><div class=content><p>{0}</div><div class=discussion><p>{1}</div>"
+    rows = [(k, "http://talk.example/", page.format(BODY.format(k), f"Reader {k} says. " * 40)) for k in range(6)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: BODY.format(k) for k in range(6)}
+
+
+def test_links_are_told_from_text():
+    found = wrappers.regions("<div class=a><ul><li><a href=/x>one</a><li><a href=/y>two</a></ul></div><div class=b><a name=c>It says much more.")
+    assert [(r.signature, r.linked, sum(map(len, r.blocks))) for r in found] == [("div.a", 6, 6), ("div.b", 18, 18)]
+    (one,) = wrappers.regions("<div><p><a name=x>one <a href=/y>two</a> and free text</p></div>")
+    assert (one.blocks, one.linked) == (["one two and free text"], 0)
+
+
+def test_quotes_and_brackets_in_tags():
+    page = "<article title='a > b' data-x=\"<p>no\"><p class=\"a\"id=b>1 < 2 <3 and {0}</p></article>"
+    assert wrappers.extracted(page.format(BODY), None) == f"1 < 2 <3 and {BODY}"
+    # What a quote leaves open ends with the next bracket.
+    assert wrappers.extracted('<p title="x>one</p><p>two', None) == "one\n\ntwo"
+
+
+@pytest.mark.parametrize(
+    "one", ["<div>", '<a "', "<b>", "<", "<p>word ", "<article>x", '<a x="', "<a x='\"><p>", "</script ", "<div class=a>x</div><p>y"]
+)
+def test_time_follows_the_length_of_a_page(one):
+    def seconds(n: int) -> float:
+        begin = time.process_time()
+        wrappers.wrapper_of(wrappers.regions(one * (n // len(one)) + "<p>x"))
+        return time.process_time() - begin
+
+    # Eight times the page in at most thirty times the time; with the square it would be 64.
+    assert seconds(800_000) < max(30 * seconds(100_000), 3)
