@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from candrank.llm.bpe import restored, squeezed
 from candrank.llm.common import FOLD, blocks_for
-from candrank.plans.scratch import new_path
+from candrank.plans.scratch import new_path, written
 
 BLOCK_CHARS = 16_000_000
 PART_CHARS = 16_000_000
@@ -53,8 +53,9 @@ _START, _END = b" start", b" end"  # no word holds a space
 _GRAMS = "part long, block long, words binary, u binary, w binary, d binary"
 _PAIRS = (
     "part long, words binary, w binary, c binary, context binary, stats binary, at binary, d binary, "
-    "blocks binary, n1 long, n2 long, n3 long, n4 long, types long, hot binary"
+    "blocks binary, n1 long, n2 long, n3 long, n4 long, types long, hot array<struct<word:long,n:long,one:long,two:long,more:long>>"
 )
+_HOT = ("word", "n", "one", "two", "more")
 MOST_BUCKETS = 20_000
 
 
@@ -151,7 +152,7 @@ def _part_of(key: np.ndarray, other: np.ndarray, hot: np.ndarray, parts: int) ->
 
 
 def vocabulary(read: DataFrame, block_chars: int, parts: int) -> DataFrame:
-    """One row: the training tokens, the distinct words of them, and the most frequent ones."""
+    """Per part of the words: the training tokens, the distinct words of them, and its most frequent ones."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for _, block in _blocks(batches, block_chars):
@@ -214,11 +215,13 @@ def perplexity_scores(
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = blocks_for(size, part_chars, 4)
-    tops = vocabulary(read, block_chars, parts).collect()  # at most 1 / HOT_SHARE words a part
-    total, distinct = sum(r.tokens for r in tops), sum(r.distinct for r in tops)
-    hot = np.array(
-        [w for r in tops for w, n in zip(r.top, r.n, strict=True) if n >= HOT_SHARE * total], np.int64
-    ).view(np.uint64)
+    tops = written(vocabulary(read, block_chars, parts), "vocabulary")
+    total, distinct = (int(x or 0) for x in tops.agg(F.sum("tokens"), F.sum("distinct")).first())
+    # At most 1 / HOT_SHARE words have such a share of all tokens, whatever the parts.
+    frequent = (
+        tops.select(F.explode(F.arrays_zip("top", "n")).alias("w")).filter(F.col("w.n") >= HOT_SHARE * total).collect()
+    )
+    hot = np.array([r.w.top for r in frequent], np.int64).view(np.uint64)
     start = word_hash(_START)
     hot = np.unique(np.r_[hot, np.uint64(start)])
 
@@ -272,7 +275,7 @@ def perplexity_scores(
         ).astype(np.int64)
         # A hot word's counts here are a share of its counts.
         is_hot = np.isin(pu[contexts], hot)
-        hot_stats = np.c_[pu[contexts][is_hot].view(np.int64), stats[is_hot]].astype(np.int64)
+        hot_stats = np.c_[pu[contexts][is_hot].view(np.int64), stats[is_hot]].tolist()
         names = np.where(is_hot, np.searchsorted(hot, pu[contexts]) + 1, 0)
         words, at = np.unique(pw, return_inverse=True)
         row = (
@@ -287,7 +290,7 @@ def perplexity_scores(
             pdf["block"].to_numpy(np.int64).tobytes(),
             *(int((c == k).sum()) for k in (1, 2, 3, 4)),
             int((c > 0).sum()),
-            hot_stats.tobytes(),
+            [dict(zip(_HOT, x, strict=True)) for x in hot_stats],
         )
         return pd.DataFrame([row], columns=[f.split()[0] for f in _PAIRS.split(", ")])
 
@@ -300,12 +303,17 @@ def perplexity_scores(
         int(x or 0)
         for x in counted.agg(*(F.sum(c) for c in ("n1", "n2", "n3", "n4", "types"))).first()
     )
-    # Rows of at most 1 / HOT_SHARE + 1 words for each part.
-    shares = [r.hot for r in counted.filter("octet_length(hot) > 0").select("hot").collect()]
+    # One row for each hot word, at most 1 / HOT_SHARE + 1.
+    shares = (
+        counted.select(F.explode("hot").alias("h"))
+        .groupBy("h.word")
+        .agg(*(F.sum(f"h.{c}").alias(c) for c in _HOT[1:]))
+        .collect()
+    )
     hot_context = np.zeros((len(hot) + 1, 4), np.int64)
-    for blob in shares:
-        rows = np.frombuffer(blob, np.int64).reshape(-1, 5)
-        np.add.at(hot_context, np.searchsorted(hot, rows[:, 0].view(np.uint64)) + 1, rows[:, 1:])
+    for r in shares:
+        at = np.searchsorted(hot, np.array([r.word], np.int64).view(np.uint64))[0]
+        hot_context[at + 1] = [r[c] for c in _HOT[1:]]
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A part's words by ranges of their hashes: bigrams that end in each, and tokens."""
