@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,16 +50,22 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def trimmed(rows: Iterator) -> Iterator:
-    """The same rows; at their end what the task freed goes back to the system.
+    """The same rows; before and after them what tasks freed goes back to the system.
 
     Workers outlive their tasks, so that what the allocators keep would add to the next stage.
     """
+    _give_back()
     yield from rows
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    _give_back()
 
 
 def rows_kept(docs: DataFrame, stays: DataFrame) -> DataFrame:

@@ -179,12 +179,15 @@ def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
         nodes.join(wanted.distinct(), "n", "left_semi").select("node", "n", "first_id"), "wanted"
     )
 
-    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingles(words)
-        for pdf in batches:
-            own = [shingled(t) for t in pdf["text"]]
-            yield pd.DataFrame(
-                {"node": [digest(x) for x in own], "own": [x.view(np.int64) for x in own]}
+        for batch in batches:
+            own = [shingled(t.as_py()) for t in batch.column(0)]
+            ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digest(x) for x in own], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["node", "own"],
             )
 
     text = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text")
@@ -195,7 +198,7 @@ def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int)
     # A repeated id can have another text, so sets are found by their digest.
     return (
         read.select("text")
-        .mapInPandas(full, "node binary, own array<long>")
+        .mapInArrow(lambda batches: trimmed(full(batches)), "node binary, own array<long>")
         .join(wanted.select("node", "n"), "node")
         .dropDuplicates(["n"])
         .select("n", "own")

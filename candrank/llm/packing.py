@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,22 +45,32 @@ _COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordPieces(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = words.ids(text or "") + end
+        for batch in batches:
+            # The row of each piece, and its numbers.
+            rows: list[int] = []
+            numbers: list[tuple[int, int, int, int]] = []
+            for row, text in enumerate(batch.column(1)):
+                ids = words.ids(text.as_py() or "") + end
                 n = len(ids) // 4
                 for k, at in enumerate(range(0, n, capacity)):
                     own = ids[4 * at : 4 * min(n, at + capacity)]
-                    rows.append((doc_id, k, at, len(own) // 4, zlib.crc32(own)))
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+                    rows.append(row)
+                    numbers.append((k, at, len(own) // 4, zlib.crc32(own)))
+            columns = np.array(numbers, np.int64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(rows, pa.int64())),
+                    pa.array(columns[0].astype(np.int32)),
+                    *(pa.array(np.ascontiguousarray(c)) for c in columns[1:]),
+                ],
+                names=_COLUMNS,
+            )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInPandas(lambda batches: trimmed(cut(batches)), _PIECE)
+    return texts.mapInArrow(lambda batches: trimmed(cut(batches)), _PIECE)
 
 
 def longest_first(lengths: list[int], items: list[int]) -> list[int]:
