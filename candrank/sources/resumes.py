@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +17,31 @@ from candrank.sources.candidates import IngestError
 from candrank.sources.store import Store
 
 
-def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+#: What opening a file counts for in a scan. At Spark's own 4 MB a task takes 32 small files only,
+#: and of a folder of very many the tasks cost ten times what their reading does.
+OPEN_COST_BYTES = 64 * 1024
+_OPEN_COST = "spark.sql.files.openCostInBytes"
+
+
+def _files(spark: SparkSession, path: str, pattern: str, **options: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).options(**options)
     try:
-        return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+        return files.load(path)
     except AnalysisException as e:
         raise IngestError(f"{path}: resume folder not found") from e
 
 
+@contextmanager
+def _many_files(spark: SparkSession) -> Iterator[None]:
+    """Scans that run within take as many small files to a task as their bytes allow."""
+    before = spark.conf.get(_OPEN_COST)
+    spark.conf.set(_OPEN_COST, str(OPEN_COST_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_OPEN_COST, before)
+
+
 def _keyed(files: DataFrame, role: str, suffix: str, *columns: str) -> DataFrame:
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     stem = F.left(name, F.length(name) - len(suffix))
@@ -38,9 +58,12 @@ def resume_contents(spark: SparkSession, path: str, role: str) -> DataFrame:
     return _keyed(_files(spark, path, "*.pdf"), role, ".pdf", "content")
 
 
-def resume_listing(spark: SparkSession, path: str, role: str) -> DataFrame:
-    """(role, candidate_id, path, length, modified) of the files there are; contents are not read."""
-    found = _files(spark, path, "*.pdf")
+def resume_listing(spark: SparkSession, path: str, role: str, files: DataFrame | None = None) -> DataFrame:
+    """(role, candidate_id, path, length, modified) of the files there are; contents are not read.
+
+    ``files`` passes on a listed folder, which is not listed again.
+    """
+    found = _files(spark, path, "*.pdf") if files is None else files
     return _keyed(found, role, ".pdf", "path", "length", F.col("modificationTime").alias("modified"))
 
 
@@ -62,15 +85,17 @@ def listing_changes(now: DataFrame, before: DataFrame) -> DataFrame:
     return both.select(*key, F.coalesce("path", "_path").alias("path"), "length", "modified", change.alias("change"))
 
 
-def changed_contents(spark: SparkSession, path: str, changes: DataFrame) -> DataFrame:
-    """(role, candidate_id, content) of new and changed files.
+def changed_contents(
+    spark: SparkSession, path: str, changes: DataFrame, files: DataFrame | None = None
+) -> DataFrame:
+    """(role, candidate_id, content) of new and changed files; see ``resume_listing`` for ``files``.
 
     Times and lengths no changed file has are pushed to the scan, which does not open the others;
     among the files left, the changed ones are found by their path.
     """
     wanted = changes.filter(F.col("change").isin("new", "changed")).select("role", "candidate_id", "path", "length", "modified")
     first, least, most = wanted.agg(F.min("modified"), F.min("length"), F.max("length")).first()
-    files = _files(spark, path, "*.pdf")
+    files = _files(spark, path, "*.pdf") if files is None else files
     if first is None:
         files = files.limit(0)
     else:
@@ -92,10 +117,14 @@ class ResumeScan:
     def __init__(self, store: Store, path: str, role: str):
         self._store = store
         self._name = "listing/" + hashlib.sha256(f"{role}|{path.rstrip('/')}".encode()).hexdigest()[:24]
-        self._now = written(resume_listing(store.spark, path, role), "listing")
+        # The folder is listed once; a file that goes before it is read has no content.
+        files = _files(store.spark, path, "*.pdf", ignoreMissingFiles="true")
+        with _many_files(store.spark):
+            self._now = written(resume_listing(store.spark, path, role, files), "listing")
         before = store.read(self._name) if store.exists(self._name) else self._now.limit(0)
         self.changes = written(listing_changes(self._now, before), "listing-changes")
-        contents = written(changed_contents(store.spark, path, self.changes), "changed-contents")
+        with _many_files(store.spark):
+            contents = written(changed_contents(store.spark, path, self.changes, files), "changed-contents")
         keys = self._now.select("role", "candidate_id")
         self.resumes = keys.join(contents, ["role", "candidate_id"], "left")
 

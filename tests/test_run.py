@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from candrank.operators import extract, ranking, requests, scoring, state
 from candrank.operators.scoring import Scorer
 from candrank.plans import run
+from candrank.sources import resumes as resume_files
 from candrank.sources.candidates import IngestError, read_candidates
 from candrank.sources.resumes import ResumeScan, resume_contents
 from candrank.sources.rubrics import rubric_row
@@ -250,6 +251,22 @@ def test_scan_reads_changed_files_only(spark, tmp_path):
     assert still.resumes.filter("content is not null").count() == 0 and still.resumes.count() == 4
 
 
+def test_scan_lists_a_folder_once_in_few_tasks(spark, tmp_path, monkeypatch):
+    folder, store, listed = tmp_path / "pdf", Store(spark, str(tmp_path / "store")), []
+    folder.mkdir()
+    for i in range(400):
+        (folder / f"{i}.pdf").write_text(f"text {i}")
+    found = resume_files._files
+    monkeypatch.setattr(resume_files, "_files", lambda *a, **b: listed.append(a) or found(*a, **b))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    scan = ResumeScan(store, str(folder), "eng")
+    assert len(listed) == 1 and spark.conf.get("spark.sql.files.openCostInBytes") == before
+    # A task writes a file; small files come to as many tasks as there are cores, not to 32 each.
+    assert len(scan._now.inputFiles()) <= spark.sparkContext.defaultParallelism
+    texts = {r.candidate_id: bytes(r.content).decode() for r in scan.resumes.collect()}
+    assert texts == {str(i): f"text {i}" for i in range(400)}
+
+
 def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
 
