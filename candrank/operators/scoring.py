@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from time import sleep
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,9 @@ from candrank.schemas import ATTEMPT, KEY
 
 MODES = ("single", "two-stage")
 
+#: Bytes of requests that a task turns into Python texts, and asks, at a time.
+PIECE_BYTES = 2 * 1024 * 1024
+
 # request body (JSON text) -> raw answer text; raising counts as a failed attempt
 Call = Callable[[str], str]
 
@@ -110,7 +117,8 @@ def build_requests(
 def call_scorer(requests: DataFrame, call: Call, attempt: int, threads: int = 1) -> DataFrame:
     """One call per request, ``threads`` in flight per task.
 
-    The result must be written before it is used: evaluating it again calls again.
+    Of a batch a task holds the answers to two pieces of ``PIECE_BYTES`` at most, whatever the
+    input's size. The result must be written before it is used: evaluating it again calls again.
     """
 
     def one(request: str):
@@ -119,20 +127,43 @@ def call_scorer(requests: DataFrame, call: Call, attempt: int, threads: int = 1)
         except Exception as e:
             return None, str(e) or type(e).__name__, datetime.now(timezone.utc)
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def answered(keys: pa.RecordBatch, futures: list) -> pa.RecordBatch:
+        answers = [f.result() for f in futures]
+        columns = [
+            pa.array([attempt] * len(answers), pa.int32()),
+            *[pa.array([a[i] for a in answers], pa.string(), from_pandas=True) for i in (0, 1)],
+            pa.array([a[2] for a in answers], pa.timestamp("us", "UTC")),
+        ]
+        return pa.RecordBatch.from_arrays(
+            [*keys.columns, *columns], names=[*KEY, "attempt", "raw", "error", "answered_at"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The next piece is asked while the last answers of one are awaited.
+        asked: deque = deque()
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
-                answers = list(pool.map(one, batch["request"]))
-                out = batch[list(KEY)].copy()
-                out["attempt"] = attempt
-                out["raw"] = [a[0] for a in answers]
-                out["error"] = [a[1] for a in answers]
-                out["answered_at"] = pd.to_datetime([a[2] for a in answers], utc=True)
-                yield out
-
-    return requests.select(*KEY, "request").mapInPandas(run, ATTEMPT)
+                for piece in _pieces(batch, threads):
+                    futures = [pool.submit(one, r.as_py()) for r in piece.column("request")]
+                    asked.append((piece.select(list(KEY)), futures))
+                    del piece, futures
+                    if len(asked) > 1:
+                        yield answered(*asked.popleft())
+            while asked:
+                yield answered(*asked.popleft())
+
+    return requests.select(*KEY, "request").mapInArrow(run, ATTEMPT)
+
+
+def _pieces(batch: pa.RecordBatch, threads: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about ``PIECE_BYTES`` of requests, a row for each thread at least."""
+    sizes = pc.binary_length(batch.column("request")).fill_null(0).to_numpy(zero_copy_only=False)
+    piece = np.cumsum(sizes, dtype=np.int64) // PIECE_BYTES
+    start = 0
+    while start < len(sizes):
+        stop = max(int(np.searchsorted(piece, piece[start], "right")), start + threads)
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def parsed_attempts(attempts: DataFrame, dialect: str, tool: str) -> DataFrame:

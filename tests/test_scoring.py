@@ -4,6 +4,7 @@ import json
 import os
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,41 @@ def test_full_pass_replaces_the_knockout_document(spark):
         f"{KEYS}, stage string, document string, run string",
     )
     assert {r.candidate_id: r.document for r in scoring.latest_documents(docs).collect()} == {"a": "new", "b": "y"}
+
+
+def test_answers_leave_a_task_in_pieces():
+    """A task holds the answers to two pieces of requests, however large its batch is."""
+    given, held, most = [], 0, 0
+
+    class Requests:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            given.append(run)
+
+    def call(request):
+        nonlocal held, most
+        held += 1
+        most = max(most, held)
+        if request.endswith("7"):
+            raise RuntimeError("busy")
+        return request
+
+    scoring.call_scorer(Requests(), call, 3, 2)
+    texts = ["x" * 100_000 + str(i) for i in range(200)] + [None, "y" * 9_000_000]
+    batch = pa.RecordBatch.from_pydict(
+        {"role": ["eng"] * len(texts), "candidate_id": [str(i) for i in range(len(texts))], "request": texts}
+    )
+    rows = []
+    for out in given[0](iter([batch, batch.slice(0, 0), batch.slice(3, 1)])):
+        assert out.schema.names == ["role", "candidate_id", "attempt", "raw", "error", "answered_at"]
+        held -= out.num_rows
+        rows += out.to_pylist()
+    each = scoring.PIECE_BYTES // 100_000 + 1
+    assert held == 0 and most <= 2 * each + 2
+    assert [int(r["candidate_id"]) for r in rows] == [*range(len(texts)), 3]
+    assert all(r["attempt"] == 3 and r["answered_at"].tzinfo for r in rows)
+    for r, text in zip(rows, [*texts, texts[3]], strict=True):
+        failed = text is None or text.endswith("7")
+        assert r["raw"] == (None if failed else text) and (r["error"] is None) == (not failed)
