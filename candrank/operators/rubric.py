@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from candrank import constants as C
 from candrank.functions.text import fixed
 
+#: Items of which a task checks the rubrics.
+TASK_ITEMS = 500_000
+
 
 def rubric_items(rubrics: DataFrame) -> DataFrame:
     """Rubric rows -> (role, kind, item_id, weight), one row per knockout or criterion."""
@@ -28,15 +31,23 @@ def violations(items: DataFrame, rubrics: DataFrame | None = None) -> DataFrame:
 
     Weights are summed as decimals, so the sum does not depend on row order. ``rubrics``
     lets a rubric without any criterion show up as a weight sum of zero.
+
+    The items are counted and dealt to tasks of about ``TASK_ITEMS``: partitions made by their
+    compressed bytes hold very many such narrow rows, and the groups of a task take its memory.
     """
     weight = F.col("weight")
     criterion = F.col("kind") == "criterion"
-    per_id = items.groupBy("role", "kind", "item_id").agg(
+    tasks = -(-items.count() // TASK_ITEMS)
+
+    def dealt(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.repartition(tasks, *by) if tasks > 1 else rows
+
+    per_id = dealt(items, "role", "kind", "item_id").groupBy("role", "kind", "item_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(criterion, weight.cast("decimal(18,9)"))).alias("w"),
         F.count_if(criterion & ~F.coalesce((weight > 0) & (weight <= 1), F.lit(False))).alias("out"),
     )
-    per_role = per_id.groupBy("role").agg(
+    per_role = dealt(per_id, "role").groupBy("role").agg(
         F.coalesce(F.sum("w"), F.lit(0).cast("decimal(18,9)")).alias("total"),
         F.sum("out").alias("out"),
         *[

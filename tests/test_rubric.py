@@ -149,3 +149,21 @@ def test_request_layouts(spark):
     assert command["prompt"] == f"{row.prefix}\n\n--- CANDIDATE ---\n{row.block}\n\n{C.COMMAND_TASK}"
     with pytest.raises(ValueError):
         requests.request_json("other", "m")
+
+
+def test_violations_dealt_to_bounded_tasks(spark, monkeypatch):
+    items = spark.createDataFrame(
+        [(f"r{i % 20}", "criterion" if i % 3 else "knockout", f"c{i % 7}", 0.4 if i % 3 else None) for i in range(200)]
+        + [(None, "criterion", None, 2.0), ("r1", "criterion", "c1", None)],
+        "role string, kind string, item_id string, weight double",
+    )
+
+    def found():
+        return sorted(map(str, rubric.violations(items).collect()))
+
+    together = found()
+    monkeypatch.setattr(rubric, "TASK_ITEMS", 20)
+    assert found() == together and len(together) > 20
+    plan = rubric.violations(items)._jdf.queryExecution().executedPlan().toString()
+    # Both groups take the tasks that the items were dealt to, and make no partitions of their own.
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
