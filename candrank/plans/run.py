@@ -284,8 +284,15 @@ def _stage(store, stage, queue, scorer, prefixes, settings, as_of) -> DataFrame:
     def build(keys: DataFrame | None) -> DataFrame:
         return request(blocks if keys is None else blocks.join(keys, list(KEY), "left_semi"))
 
+    # Requests dealt by key to a divisor of the buckets lie as the buckets do: all rows of one are
+    # in one task, and the answers, the widest rows of a run, are stored where they were given.
+    aligned = bool(store.buckets and tasks) and store.buckets % tasks == 0
+
     def save(answers: DataFrame, *place: int) -> DataFrame:
-        return store.once("-".join([f"attempts/{name}", *map(str, place)]), answers)
+        table = "-".join([f"attempts/{name}", *map(str, place)])
+        if aligned:
+            store.comes_aligned(table)
+        return store.once(table, answers)
 
     # Waves once begun are gone on with, whatever the settings are now.
     if settings.wave_rows or store.once_written(f"due/{name}"):

@@ -42,6 +42,7 @@ class Store:
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
+        self._aligned: set[str] = set()
 
     # -- versions ---------------------------------------------------------------------
     def _fs_path(self, path: str):
@@ -90,6 +91,10 @@ class Store:
         return f"{self.root}/{table}/v={max(used) + 1:08d}"
 
     # -- tables -----------------------------------------------------------------------
+    def comes_aligned(self, table: str) -> None:
+        """From now on, new versions of ``table`` are written as ``aligned``, see :meth:`write`."""
+        self._aligned.add(table)
+
     def _buckets_for(self, path: str, schema: T.StructType) -> int | None:
         table = path[len(self.root) + 1 :].rpartition("/")[0]
         return self.buckets if set(KEY) <= set(schema.names) and table not in RAW_TABLES else None
@@ -112,7 +117,7 @@ class Store:
         out = fs.create(note, True)
         out.write(json.dumps({"schema": df.schema.jsonValue(), "buckets": buckets}).encode("utf-8"))
         out.close()
-        self._save(path, df, aligned, buckets)
+        self._save(path, df, aligned or table in self._aligned, buckets)
         return self._open(path, df.schema, buckets)
 
     def append(self, table: str, df: DataFrame, aligned: bool = False, part: str | None = None) -> DataFrame:

@@ -299,6 +299,26 @@ def test_bucketed_stages_move_no_rows(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("concurrency, stays", [(2, True), (4, True), (3, False)])
+def test_answers_are_stored_where_they_were_given(spark, tmp_path, monkeypatch, concurrency, stays):
+    store, given = Store(spark, str(tmp_path / "store"), 4), []
+    save = Store._save
+
+    def seen(self, path, df, aligned, buckets):
+        if "/attempts/" in path:
+            given.append(aligned)
+        save(self, path, df, aligned, buckets)
+
+    monkeypatch.setattr(Store, "_save", seen)
+    inputs(tmp_path)
+    start(spark, tmp_path, store, concurrency=concurrency)
+    assert set(given) == {stays}
+    for name in store.names("attempts"):
+        files = [f for f in os.listdir(tmp_path / "store" / "attempts" / name / "v=00000001") if f.endswith(".parquet")]
+        # A bucket is one file either way.
+        assert len(files) == len({f.partition("_")[2] for f in files})
+
+
 def test_two_stage_and_retry(spark, tmp_path):
     inputs(tmp_path)
     store = Store(spark, str(tmp_path / "store"), 4)
