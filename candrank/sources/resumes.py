@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from candrank.operators.ranking import with_bundle_names
 from candrank.plans.joins import fits
 from candrank.plans.scratch import written
+from candrank.schemas import KEY
 from candrank.sources.candidates import IngestError
+from candrank.sources.folders import contents, listed
 from candrank.sources.store import Store
 
 
@@ -24,6 +26,12 @@ _OPEN_COST = "spark.sql.files.openCostInBytes"
 
 
 def _files(spark: SparkSession, path: str, pattern: str, **options: str) -> DataFrame:
+    """The files listed by a task, or else Spark's listing with their ``content``."""
+    found = listed(spark, path, pattern.removeprefix("*"))
+    return _spark_files(spark, path, pattern, **options) if found is None else found
+
+
+def _spark_files(spark: SparkSession, path: str, pattern: str, **options: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).options(**options)
     try:
         return files.load(path)
@@ -54,8 +62,11 @@ def resume_presence(spark: SparkSession, path: str, role: str) -> DataFrame:
 
 
 def resume_contents(spark: SparkSession, path: str, role: str) -> DataFrame:
-    """Keys with file contents. Keep them in a bucketed table and read that afterwards."""
-    return _keyed(_files(spark, path, "*.pdf"), role, ".pdf", "content")
+    """Keys with file contents. Keep them in a bucketed table and read that afterwards.
+
+    Spark lists the folder, on the driver; ``ResumeScan`` doesn't.
+    """
+    return _keyed(_spark_files(spark, path, "*.pdf"), role, ".pdf", "content")
 
 
 def resume_listing(spark: SparkSession, path: str, role: str, files: DataFrame | None = None) -> DataFrame:
@@ -90,12 +101,15 @@ def changed_contents(
 ) -> DataFrame:
     """(role, candidate_id, content) of new and changed files; see ``resume_listing`` for ``files``.
 
-    Times and lengths no changed file has are pushed to the scan, which does not open the others;
-    among the files left, the changed ones are found by their path.
+    Their paths are dealt to tasks, which open no others. In a folder that Spark listed, times and
+    lengths no changed file has are pushed to the scan, which does not open the others; among the
+    files left, the changed ones are found by their path.
     """
-    wanted = changes.filter(F.col("change").isin("new", "changed")).select("role", "candidate_id", "path", "length", "modified")
-    first, least, most = wanted.agg(F.min("modified"), F.min("length"), F.max("length")).first()
+    wanted = changes.filter(F.col("change").isin("new", "changed")).select(*KEY, "path", "length", "modified")
     files = _files(spark, path, "*.pdf") if files is None else files
+    if "content" not in files.columns:
+        return contents(wanted.drop("modified"), missing_ok=True).filter(F.col("content").isNotNull())
+    first, least, most = wanted.agg(F.min("modified"), F.min("length"), F.max("length")).first()
     if first is None:
         files = files.limit(0)
     else:
@@ -119,14 +133,22 @@ class ResumeScan:
         self._name = "listing/" + hashlib.sha256(f"{role}|{path.rstrip('/')}".encode()).hexdigest()[:24]
         # The folder is listed once; a file that goes before it is read has no content.
         files = _files(store.spark, path, "*.pdf", ignoreMissingFiles="true")
-        with _many_files(store.spark):
-            self._now = written(resume_listing(store.spark, path, role, files), "listing")
+        self._now = resume_listing(store.spark, path, role, files)
+        by_spark = "content" in files.columns
+        if by_spark:
+            with _many_files(store.spark):
+                self._now = written(self._now, "listing")
         before = store.read(self._name) if store.exists(self._name) else self._now.limit(0)
         self.changes = written(listing_changes(self._now, before), "listing-changes")
-        with _many_files(store.spark):
-            contents = written(changed_contents(store.spark, path, self.changes, files), "changed-contents")
-        keys = self._now.select("role", "candidate_id")
-        self.resumes = keys.join(contents, ["role", "candidate_id"], "left")
+        if by_spark:
+            with _many_files(store.spark):
+                changed = written(changed_contents(store.spark, path, self.changes, files), "changed-contents")
+            self.resumes = self._now.select(*KEY).join(changed, list(KEY), "left")
+        else:
+            # A name is there once, so each key's content is read where the key is, and not joined.
+            due = F.when(F.col("change").isin("new", "changed"), F.col("path")).alias("path")
+            there = self.changes.filter(F.col("change") != "gone").select(*KEY, due, "length")
+            self.resumes = written(contents(there, missing_ok=True), "changed-contents", compression="zstd")
 
     def done(self) -> None:
         self._store.write(self._name, self._now)

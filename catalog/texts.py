@@ -96,9 +96,8 @@ def resume_scan(spark, sf):
     _as_files(spark, sf, later, ".pdf", path)
     scan = ResumeScan(store, f"{path}/role=all", "all")
     changes = scan.changes.select("role", "candidate_id", "change")
-    return scan.resumes.join(changes, ["role", "candidate_id"]).select(
-        "candidate_id", "change", F.md5("content").alias("digest")
-    )
+    digests = scan.resumes.select("role", "candidate_id", F.md5("content").alias("digest"))
+    return digests.join(changes, ["role", "candidate_id"]).select("candidate_id", "change", "digest")
 
 
 def document_files(spark, sf):
