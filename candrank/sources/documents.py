@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candrank.functions import variant as V
+from candrank.sources.folders import contents, listed
 
 #: Characters from which a document is read in Python; Spark's parser refuses much longer texts.
 LONG_CHARS = 4_000_000
@@ -116,6 +117,13 @@ def unreadable_documents(texts: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, role: str) -> DataFrame:
     """``<path>/<candidate_id>.json`` files as (role, candidate_id, document)."""
+    found = listed(spark, path, ".json")
+    if found is not None:
+        name = F.element_at(F.split("path", "/"), -1)
+        key = F.left(name, F.length(name) - 5).alias("candidate_id")
+        read = contents(found.select(key, "path", "length"))
+        document = F.col("content").cast("string").alias("document")
+        return read.select(F.lit(role).alias("role"), "candidate_id", document)
     files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     # The name comes encoded as in a URI, where a plus sign is only a plus sign.
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from candrank.sources import folders, resumes
 from candrank.sources.candidates import IngestError
+from candrank.sources.documents import read_documents
 from candrank.sources.files import write_files
 from candrank.sources.resumes import ResumeScan, resume_presence
 from candrank.sources.store import Store
@@ -53,6 +54,15 @@ def test_scan_keeps_no_files_on_the_driver(spark, tmp_path, monkeypatch, no_spar
     assert len(resume_presence(spark, str(folder), "eng").inputFiles()) == 1
 
 
+def test_documents_keep_no_files_on_the_driver(spark, tmp_path, no_spark_listing):
+    for i in range(40):
+        (tmp_path / f"c+{i} x.json").write_text(f'{{"n":\n {i}}}')
+    docs = read_documents(spark, str(tmp_path), "r")
+    assert {tuple(r) for r in docs.collect()} == {("r", f"c+{i} x", f'{{"n":\n {i}}}') for i in range(40)}
+    # Planned from a listing, not from forty files.
+    assert len(docs.inputFiles()) == 1
+
+
 def odd_folder(folder):
     folder.mkdir()
     for name in ("a.pdf", "b c.pdf", "ünï%20+.pdf", "x.y.pdf", ".pdf", ".h.pdf", "_u.pdf", "_k=1.pdf", "_metadata.pdf", "n.PDF", "n.txt"):
@@ -79,6 +89,16 @@ def test_listing_is_sparks(spark, tmp_path):
     assert {(r.name, bytes(r.content)) for r in read.collect()} == {(r.path, bytes(r.content)) for r in by_spark.collect()}
 
 
+def test_documents_have_their_bytes(spark, tmp_path):
+    given = {"bom": b"\xef\xbb\xbf{}", "bad": b'{"a": "\xff\xc3"}\r\n', "zero": b"\0", "long": b"x" * 100_000}
+    for name, data in given.items():
+        (tmp_path / f"{name}.json").write_bytes(data)
+    found = read_documents(spark, str(tmp_path), "r").select("candidate_id", F.hex("document").alias("x"))
+    assert {r.candidate_id: bytes.fromhex(r.x) for r in found.collect()} == given
+    by_spark = spark.read.option("pathGlobFilter", "*.json").text(str(tmp_path), wholetext=True)
+    assert {bytes.fromhex(r.x) for r in by_spark.select(F.hex("value").alias("x")).collect()} == set(given.values())
+
+
 def test_spark_lists_what_a_task_does_not(spark, tmp_path):
     (tmp_path / "pdf/year=1").mkdir(parents=True)
     (tmp_path / "pdf/year=1/a.pdf").write_text("a")
