@@ -1,9 +1,9 @@
 """Folders of very many small files, listed and read by tasks.
 
-Spark's file readers keep the status of every file on the driver, about 1 KB each, and plan its
-tasks there. Here one task lists a folder in batches, the listing is a table like any other, and
-the files it names are read by tasks that the table's rows are dealt to. The driver sees counts.
-It holds for folders of a mounted file system (``file:``), which all executors reach.
+Spark's file readers keep the status of every file on the driver and plan their tasks there. Here
+one task lists a folder in batches, the listing is a table like any other, and the files it names
+are read by tasks that the table's rows are dealt to. The driver sees counts. It holds for folders
+of a mounted file system (``file:``), which all executors reach.
 """
 
 from __future__ import annotations
